@@ -31,7 +31,7 @@ FENCE = 3.0
 MEASURES = (
     ("word_chars", "n_words", 2.0),
     ("n_symbols", "n_words", 0.1),
-    ("n_dup_lines", "n_lines", 0.3),
+    ("n_dup_lines", "n_lines", 0.5),
     ("n_repeat_words", "n_words", 0.3),
     ("n_upper", "word_chars", 0.15),
 )
@@ -193,7 +193,7 @@ WITH w AS (
 ), v AS (
   SELECT rid, lang, source, unnest([
     {m: 0, x: word_chars / n_words, s: 2.0::DOUBLE}, {m: 1, x: n_symbols / n_words, s: 0.1::DOUBLE},
-    {m: 2, x: n_dup_lines / n_lines, s: 0.3::DOUBLE}, {m: 3, x: n_repeat_words / n_words, s: 0.3::DOUBLE},
+    {m: 2, x: n_dup_lines / n_lines, s: 0.5::DOUBLE}, {m: 3, x: n_repeat_words / n_words, s: 0.3::DOUBLE},
     {m: 4, x: n_upper / word_chars, s: 0.15::DOUBLE}], recursive := true)
   FROM m WHERE n_words > 0
 ), b AS (
