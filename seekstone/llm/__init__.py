@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function) and ORACLE (name -> DuckDB SQL), by operator number.
-MODULES = ("mixing", "bpe", "gif", "quality")
+MODULES = ("mixing", "quality", "bpe", "minhash", "gif")
 
 
 def _all(kind: str) -> dict:
