@@ -89,7 +89,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def all_of(frames: list[DataFrame]) -> DataFrame:
+    """The union of frames of one schema that :func:`written` returned, as one scan."""
+    paths = [f.written_path for f in frames]
+    return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*paths)
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -4,11 +4,12 @@ A text's set is its distinct word shingles as 64-bit hashes (fewer words than a
 whole sequence as one). Signatures use two permutations: sigma sends each shingle to one of D
 places, and coordinate k is the least value of pi, shifted circularly by k, over those places.
 Texts with equal sets are one class. Bands of signature coordinates deal the classes to buckets.
-In each bucket every class is compared with one centre (the least); those that fail are dealt
-again among themselves, until no bucket has two left. As Jaccard distance is a metric, a class
-that fails can link to one that passed only if both lie near the limit, and just such pairs of
-different components are compared as well; so no link between members of a bucket is lost, and
-no bucket's pairs are all made. All links are confirmed on whole sets. At similarity 0.85 a
+In each bucket every class is compared with one centre (the class that shares most buckets, as
+an original does with its copies); those without a link to a centre are dealt again among
+themselves, with a bounded number of centres, until no bucket has two left. As Jaccard distance
+is a metric, a class that failed with a centre can link to one that passed only if both lie near
+the limit, and just such pairs of different components are compared as well; so no link between
+members of a bucket is lost, and no large bucket's pairs are all made. All links are confirmed on whole sets. At similarity 0.85 a
 linked pair shares no bucket with probability 4e-7 (0.8: 5e-5).
 
 Defined cases: null and empty texts have no set, and stay; rows without doc_id link like others,
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, pack, pick, slices, table, unpack, written
+from ._common import all_of, bound_batches, pack, pick, slices, table, unpack, written
 from ._hashing import mix64, stream64, word_hashes
 
 BANDS, ROWS = 25, 5
+#: Centres, about, that a bucket has in each round after the first.
+CENTRES = 16
 #: Places of the circulant permutation.
 PLACES_LOG = 22
 _SIGMA = stream64(2, 21)
@@ -175,6 +178,33 @@ def _mixed(rows: DataFrame, key: str = "bucket") -> DataFrame:
     return rows.join(many, F.col(key) == F.col("__k")).drop("__k")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Add rank: classes that share buckets with many others come first as centres."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("__n")).withColumnRenamed("bucket", "__b")
+    score = rows.join(sizes, F.col("bucket") == F.col("__b")).groupBy("fp").agg(F.sum(F.col("__n") - 1).alias("__score"))
+    score = score.withColumnRenamed("fp", "__fp")
+    return rows.join(score, F.col("fp") == F.col("__fp")).select("bucket", "fp", F.struct(F.col("__score").alias("score"), F.col("fp").alias("fp")).alias("rank"))
+
+
+def _stars(left: DataFrame, step: int) -> DataFrame:
+    """bucket, a, b: every class a of a bucket with each of its centres b.
+
+    The first round has one centre, the best by rank; later rounds have it and about CENTRES
+    more, drawn by hash, so a small bucket is done in one round and none makes more than a
+    bounded number of comparisons for each of its rows.
+    """
+    best = left.groupBy("bucket").agg(F.max("rank").alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = best.select(F.col("bucket").alias("__b"), F.col("best.fp").alias("__best"), "n")
+    rows = left.join(best, F.col("bucket") == F.col("__b"))
+    is_centre = F.col("fp") == F.col("__best")
+    if step:
+        is_centre = is_centre | (F.pmod(F.xxhash64("fp", F.lit(step)), F.col("n")) < CENTRES)
+    rows = written(rows.select("bucket", "fp", is_centre.alias("centre")), "minhash-rows")
+    centres = rows.where("centre").select(F.col("bucket").alias("__b"), F.col("fp").alias("b"))
+    pairs = rows.join(centres, F.col("bucket") == F.col("__b")).where("not centre or fp > b")
+    return written(pairs.select("bucket", F.col("fp").alias("a"), "b", "centre"), "minhash-stars")
+
+
 def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root of all classes that are linked with another."""
     classes = sketched.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key", "buckets")).alias("r"))
@@ -183,32 +213,30 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     left = written(dealt.join(shared, F.col("bucket") == F.col("__b")).select("bucket", "fp"), "minhash-buckets")
     wanted = left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key")
     sets = _sets_of(docs, wanted, width)
+    left = written(_ranked(left), "minhash-ranked")
 
     reach = 1 - percent / 100
-    links: DataFrame | None = None
-    known: DataFrame | None = None  # all pairs compared
-    told: DataFrame | None = None  # star, fp, distance, linked: every comparison with a centre, by bucket and round
+    known: list[DataFrame] = []  # a, b, distance, linked: all comparisons, each made once
+    told: list[DataFrame] = []  # star, fp, distance, linked: those that may matter across a star
     step = 0
     while True:
-        centre = left.groupBy("bucket").agg(F.min("fp").alias("b"), F.max("fp").alias("__hi")).where("b != __hi").select(F.col("bucket").alias("__b"), "b")
-        cand = written(left.join(centre, F.col("bucket") == F.col("__b")).where("fp != b").select("bucket", F.col("fp").alias("a"), "b"), "minhash-stars")
+        cand = _stars(left, step)
         pairs = cand.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = _verify(pairs, sets, percent)
-        known = found if known is None else known.union(found)
-        star = cand.join(known, ["a", "b"]).select(F.concat_ws(":", F.col("bucket").cast("string"), F.lit(str(step))).alias("star"), "bucket", F.col("a").alias("fp"), "distance", "linked")
-        # only what may matter again: those that failed, and those that passed near the limit
-        star = written(star.where(f"not linked or distance > {reach * 1e-9}"), "minhash-told")
-        told = star if told is None else told.union(star)
-        links = components(known.where("linked").select("a", "b"))
-        rest = _labelled(star.where("not linked").select("bucket", "fp"), links)
-        left = written(_mixed(rest).select("bucket", "fp"), "minhash-rest")
+        if known:
+            pairs = pairs.join(all_of(known).select("a", "b"), ["a", "b"], "left_anti")
+        known.append(_verify(pairs, sets, percent))
+        star = cand.join(all_of(known), ["a", "b"])
+        name = F.concat(F.col("bucket").cast("string"), F.lit(":"), F.hex("b"))
+        told.append(written(star.where(f"linked or distance <= {2 * reach + 1e-9}").select(name.alias("star"), F.col("a").alias("fp"), "distance", "linked"), "minhash-told"))
+        # left: rows that are no centre and have no link to one of their bucket's centres
+        lone = star.where("not centre").groupBy("bucket", "a").agg(F.max("linked").alias("__linked")).where("not __linked").select(F.col("bucket").alias("__b"), F.col("a").alias("__a"))
+        left = written(left.join(lone, (F.col("bucket") == F.col("__b")) & (F.col("fp") == F.col("__a")), "left_semi"), "minhash-left")
         step += 1
-        if left.isEmpty():
+        if left.groupBy("bucket").count().where("count > 1").isEmpty():
             break
-    near = _labelled(told.where(f"linked or distance <= {2 * reach + 1e-9}"), links)
-    near = _mixed(near, "star")
+    linked = all_of(known).where("linked").select("a", "b")
+    links = components(linked)
+    near = _mixed(_labelled(all_of(told), links), "star")
     out, inn = near.where("not linked").alias("f"), near.where("linked").alias("v")
     cross = out.join(inn, (F.col("f.star") == F.col("v.star")) & (F.col("f.label") != F.col("v.label")) & (F.col("v.distance") >= F.col("f.distance") - reach - 1e-9))
     pairs = cross.select(F.greatest("f.fp", "v.fp").alias("a"), F.least("f.fp", "v.fp").alias("b")).distinct()
