@@ -35,16 +35,30 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
+#: Bytes hashed at once, but for longer texts: what fits in a processor's cache.
+_AT_ONCE = 50_000
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, in order, and the number of words of each text.
 
     Words are runs of bytes other than space and \\t \\n \\v \\f \\r.
     """
+    parts, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= _AT_ONCE or i == len(texts) - 1:
+            parts.append(_word_hashes(texts[start : i + 1]))
+            start, held = i + 1, 0
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, n)
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     space = _SPACE[raw]
     begins = ~space
     begins[1:] &= space[:-1]
