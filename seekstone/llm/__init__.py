@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function) and ORACLE (name -> DuckDB SQL), by operator number.
-MODULES = ("mixing", "line_dedup", "quality", "lm", "warc", "bpe", "minhash", "gif")
+MODULES = ("mixing", "line_dedup", "quality", "toxicity", "lm", "warc", "bpe", "minhash", "gif")
 
 
 def _all(kind: str) -> dict:
