@@ -5,12 +5,14 @@ whole sequence as one). Signatures use two permutations: sigma sends each shingl
 places, and coordinate k is the least value of pi, shifted circularly by k, over those places.
 Texts with equal sets are one class. Bands of signature coordinates deal the classes to buckets.
 In each bucket every class is compared with one centre (the class that shares most buckets, as
-an original does with its copies); those without a link to a centre are dealt again among
-themselves, with a bounded number of centres, until no bucket has two left. As Jaccard distance
+an original does with its copies). Those that have no link to it are dealt again, by many long
+bands of coordinates of their own that unlinked classes hardly share, and compared with a bounded
+number of centres a round, until no bucket has two left. As Jaccard distance
 is a metric, a class that failed with a centre can link to one that passed only if both lie near
 the limit, and just such pairs of different components are compared as well; so no link between
 members of a bucket is lost, and no large bucket's pairs are all made. All links are confirmed on whole sets. At similarity 0.85 a
-linked pair shares no bucket with probability 4e-7 (0.8: 5e-5).
+linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), and none of the second dealing
+with 2e-6.
 
 Defined cases: null and empty texts have no set, and stay; rows without doc_id link like others,
 but a component's id is its least doc_id, and null only if it has none; a row is kept if its
@@ -32,20 +34,20 @@ from ._common import all_of, bound_batches, pack, pick, slices, table, unpack, w
 from ._hashing import mix64, stream64, word_hashes
 
 BANDS, ROWS = 25, 5
+#: Bands of the second dealing, whose rows follow from the limit, and the chance that it loses a link.
+FINE_BANDS, FINE_LOSS = 180, 2e-6
 #: Centres, about, that a bucket has in each round after the first.
 CENTRES = 16
 #: Places of the circulant permutation.
 PLACES_LOG = 22
 _SIGMA = stream64(2, 21)
-_BAND_MIX = stream64(ROWS, 22)
-_CHUNK = 1 << 14
+_CHUNK = 1 << 21
 
 
-@functools.lru_cache(maxsize=1)
-def _shifts() -> np.ndarray:
-    """Row i: the values that place i has in pi shifted by 0, 1, ... (a view of one array)."""
+@functools.lru_cache(maxsize=2)
+def _shifts(k: int) -> np.ndarray:
+    """Row i: the values that place i has in pi shifted by 0 to k - 1 (a view of one array)."""
     pi = np.random.default_rng(23).permutation(1 << PLACES_LOG).astype(np.int32)
-    k = BANDS * ROWS
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: k - 1]]), k)
 
 
@@ -72,22 +74,22 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS coordinates of a set that isn't empty."""
+def signature(shingles: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
+    """k coordinates of a set that isn't empty."""
     with np.errstate(over="ignore"):
         place = ((mix64(shingles * _SIGMA[0] + _SIGMA[1])) >> np.uint64(64 - PLACES_LOG)).astype(np.int64)
-    shifts, best = _shifts(), None
-    for i in range(0, len(place), _CHUNK):
-        least = shifts[place[i : i + _CHUNK]].min(axis=0)
+    shifts, best, step = _shifts(k), None, max(1, _CHUNK // k)
+    for i in range(0, len(place), step):
+        least = shifts[place[i : i + step]].min(axis=0)
         best = least if best is None else np.minimum(best, least)
     return best
 
 
-def bucket_keys(signatures: np.ndarray) -> np.ndarray:
+def bucket_keys(signatures: np.ndarray, bands: int, seed: int) -> np.ndarray:
     """64-bit keys of the bands, one row a signature."""
-    parts = signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    parts = signatures.astype(np.uint64).reshape(len(signatures), bands, -1)
     with np.errstate(over="ignore"):
-        sums = (parts * _BAND_MIX).sum(axis=2) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums = (parts * stream64(parts.shape[2], seed)).sum(axis=2) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return mix64(sums).view(np.int64)
 
 
@@ -100,7 +102,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist(), width)
             full = [s for s in sets if s.size]
-            keys = iter(bucket_keys(np.array([signature(s) for s in full])) if full else ())
+            keys = iter(bucket_keys(np.array([signature(s) for s in full]), BANDS, 22) if full else ())
             fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
             buckets = pa.array([next(keys) if s.size else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -187,56 +189,87 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def _stars(left: DataFrame, step: int) -> DataFrame:
-    """bucket, a, b: every class a of a bucket with each of its centres b.
+    """bucket, a, b, centre: every class a of a bucket with each of its centres b (written).
 
     The first round has one centre, the best by rank; later rounds have it and about CENTRES
-    more, drawn by hash, so a small bucket is done in one round and none makes more than a
-    bounded number of comparisons for each of its rows.
+    more, drawn by hash (the same classes in all buckets), so a small bucket is done in one
+    round and none makes more than a bounded number of comparisons for each of its rows.
     """
     best = left.groupBy("bucket").agg(F.max("rank").alias("best"), F.count("*").alias("n")).where("n > 1")
     best = best.select(F.col("bucket").alias("__b"), F.col("best.fp").alias("__best"), "n")
     rows = left.join(best, F.col("bucket") == F.col("__b"))
-    is_centre = F.col("fp") == F.col("__best")
-    if step:
-        is_centre = is_centre | (F.pmod(F.xxhash64("fp", F.lit(step)), F.col("n")) < CENTRES)
+    if not step:
+        pairs = rows.where("fp != __best").select("bucket", F.col("fp").alias("a"), F.col("__best").alias("b"), F.lit(False).alias("centre"))
+        return written(pairs, "minhash-stars")
+    draw = F.shiftrightunsigned(F.xxhash64("fp", F.lit(step)), 12) / F.lit(float(1 << 52))
+    is_centre = (F.col("fp") == F.col("__best")) | (draw * F.col("n") < CENTRES)
     rows = written(rows.select("bucket", "fp", is_centre.alias("centre")), "minhash-rows")
     centres = rows.where("centre").select(F.col("bucket").alias("__b"), F.col("fp").alias("b"))
     pairs = rows.join(centres, F.col("bucket") == F.col("__b")).where("not centre or fp > b")
     return written(pairs.select("bucket", F.col("fp").alias("a"), "b", "centre"), "minhash-stars")
 
 
+def _round(left: DataFrame, step: int, known: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+    """Compare with centres, adding to ``known``; the rows left (no centre, linked with none,
+    not alone in their bucket), written."""
+    cand = _stars(left, step)
+    pairs = cand.select("a", "b").distinct()
+    if known:
+        pairs = pairs.join(all_of(known).select("a", "b"), ["a", "b"], "left_anti")
+    known.append(_verify(pairs, sets, percent))
+    star = cand.where("not centre").join(all_of(known).select("a", "b", "linked"), ["a", "b"])
+    lone = star.groupBy("bucket", "a").agg(F.max("linked").alias("linked")).where("not linked").select("bucket", F.col("a").alias("fp"))
+    more = lone.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("bucket").alias("__b"))
+    rank = F.struct(F.xxhash64("fp").alias("score"), F.col("fp").alias("fp"))
+    return written(lone.join(more, F.col("bucket") == F.col("__b")).select("bucket", "fp", rank.alias("rank")), "minhash-left")
+
+
+def fine_rows(percent: int) -> int:
+    """Rows of a band of the second dealing, as many as FINE_LOSS allows."""
+    return max(1, int(np.log(1 - FINE_LOSS ** (1 / FINE_BANDS)) / np.log(percent / 100)))
+
+
+def _fine(sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, fp of the classes by many long bands of coordinates of their own."""
+    rows = fine_rows(percent)
+
+    def run(batches):
+        for batch in batches:
+            sigs = [signature(np.frombuffer(s.as_buffer(), np.uint64), FINE_BANDS * rows) for s in batch.column(1)]
+            keys = bucket_keys(np.array(sigs), FINE_BANDS, 25) if sigs else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k in keys], pa.list_(pa.int64()))], names=["fp", "buckets"])
+
+    return sets.mapInArrow(run, "fp binary, buckets array<long>").select("fp", F.explode("buckets").alias("bucket"))
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """The rows (bucket, fp) of buckets with two classes at least, written."""
+    many = dealt.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select(F.col("bucket").alias("__b"))
+    return written(dealt.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp"), "minhash-buckets")
+
+
 def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root of all classes that are linked with another."""
     classes = sketched.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key", "buckets")).alias("r"))
-    dealt = classes.select("fp", F.explode("r.buckets").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select(F.col("bucket").alias("__b"))
-    left = written(dealt.join(shared, F.col("bucket") == F.col("__b")).select("bucket", "fp"), "minhash-buckets")
+    left = _shared(classes.select("fp", F.explode("r.buckets").alias("bucket")))
     wanted = left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key")
     sets = _sets_of(docs, wanted, width)
-    left = written(_ranked(left), "minhash-ranked")
 
-    reach = 1 - percent / 100
     known: list[DataFrame] = []  # a, b, distance, linked: all comparisons, each made once
-    told: list[DataFrame] = []  # star, fp, distance, linked: those that may matter across a star
-    step = 0
-    while True:
-        cand = _stars(left, step)
-        pairs = cand.select("a", "b").distinct()
-        if known:
-            pairs = pairs.join(all_of(known).select("a", "b"), ["a", "b"], "left_anti")
-        known.append(_verify(pairs, sets, percent))
-        star = cand.join(all_of(known), ["a", "b"])
-        name = F.concat(F.col("bucket").cast("string"), F.lit(":"), F.hex("b"))
-        told.append(written(star.where(f"linked or distance <= {2 * reach + 1e-9}").select(name.alias("star"), F.col("a").alias("fp"), "distance", "linked"), "minhash-told"))
-        # left: rows that are no centre and have no link to one of their bucket's centres
-        lone = star.where("not centre").groupBy("bucket", "a").agg(F.max("linked").alias("__linked")).where("not __linked").select(F.col("bucket").alias("__b"), F.col("a").alias("__a"))
-        left = written(left.join(lone, (F.col("bucket") == F.col("__b")) & (F.col("fp") == F.col("__a")), "left_semi"), "minhash-left")
+    lone = _round(written(_ranked(left), "minhash-ranked"), 0, known, sets, percent)
+    again = lone.select("fp").distinct()
+    fine = _shared(written(_fine(sets.join(again, "fp", "left_semi"), percent), "minhash-fine"))
+    left = fine.withColumn("rank", F.struct(F.xxhash64("fp").alias("score"), F.col("fp").alias("fp")))
+    step = 1
+    while not left.isEmpty():
+        left = _round(left, step, known, sets, percent)
         step += 1
-        if left.groupBy("bucket").count().where("count > 1").isEmpty():
-            break
-    linked = all_of(known).where("linked").select("a", "b")
-    links = components(linked)
-    near = _mixed(_labelled(all_of(told), links), "star")
+    compared = all_of(known)
+    links = components(compared.where("linked").select("a", "b"))
+    # across a star: one that failed and one that passed, both near the limit, of different components
+    reach = 1 - percent / 100
+    near = compared.where(f"linked or distance <= {2 * reach + 1e-9}").select(F.col("b").alias("star"), F.col("a").alias("fp"), "distance", "linked")
+    near = written(_mixed(_labelled(near, links), "star"), "minhash-near")
     out, inn = near.where("not linked").alias("f"), near.where("linked").alias("v")
     cross = out.join(inn, (F.col("f.star") == F.col("v.star")) & (F.col("f.label") != F.col("v.label")) & (F.col("v.distance") >= F.col("f.distance") - reach - 1e-9))
     pairs = cross.select(F.greatest("f.fp", "v.fp").alias("a"), F.least("f.fp", "v.fp").alias("b")).distinct()
