@@ -1,15 +1,343 @@
-"""The library's registered queries and their DuckDB counterparts."""
+"""The library's registered queries over the driver's tables, and their DuckDB counterparts.
+
+Tables stand in for files and vectors: documents for files and their texts, embeddings for indexed
+vectors (the queries are the rows whose id is divisible by 50), pages for paths and HTML headings.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seekstone.chunkers.registry import fallback_windows
+from seekstone.config import EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, LANGUAGES, Settings
+from seekstone.functions import embed as em
+from seekstone.functions import text as tx
+from seekstone.operators import evaluate as ev
+from seekstone.operators.search import nearest, post_filter, top_k
+from seekstone.plans import store
+
+QUERY_STEP = 50
+K = 5
+KS = [1, 3, 5, 10]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("file_path"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk the documents, embed the chunks and rank them against one question."""
+    chunks = fallback_windows(_files(spark, sf_dir)).withColumn("chunk_id", F.xxhash64("file_path", "ordinal"))
+    own = em.build_embedder(Settings())
+    question = em.encode_one(own, "which passage talks about the answer to the question")
+    hits = nearest(em.embed(chunks, "embed_text"), question, 10)
+    return hits.select("rank", "score", "file_path", "start_line", "end_line", "symbol_name")
+
+
+# vectors
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("int").alias("label"))
+    return rows, rows.where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("query_id"), "embedding", "label")
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, queries = _vectors(spark, sf_dir)
+    return top_k(vectors, queries, K).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def vector_topk_label_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, queries = _vectors(spark, sf_dir)
+    hits = top_k(vectors, queries, 4 * K, ("label",)).join(queries.select("query_id", F.col("label").alias("wanted")), "query_id")
+    return post_filter(hits, F.col("label") == F.col("wanted"), K).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def vector_topk_label_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, queries = _vectors(spark, sf_dir)
+    return top_k(vectors, queries, K, ("label",), same="label").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+_SCORED = f"""scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS id, q.label AS wanted, v.label AS label,
+         round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS s
+  FROM embeddings q, embeddings v WHERE q.vec_id % {QUERY_STEP} = 0
+)"""
+_RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)"
+
+
+# texts
+
+def _windows(window: int, overlap: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        chunks = fallback_windows(_files(spark, sf_dir), Settings(window_lines=window, overlap_lines=overlap))
+        return chunks.select("file_path", "symbol_name", "start_line", "end_line", F.sha2("code_text", 256).alias("text_hash"), F.sha2("embed_text", 256).alias("embed_hash"))
+
+    return query
+
+
+def _windows_sql(window: int, overlap: int, where: str = "") -> str:
+    step = max(window - overlap, 1)
+    return f"""
+WITH d AS (SELECT 'docs/' || doc_id || '.txt' AS file_path, doc_id || '.txt' AS name, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+l AS (SELECT file_path, name, text, CASE WHEN raw[-1] = '' THEN raw[:-2] ELSE raw END AS ls FROM d {where}),
+w AS (SELECT *, unnest(range(0, (CASE WHEN len(ls) = 0 THEN 0 ELSE 1 + ceil(greatest(len(ls) - {window}, 0) / {step}::DOUBLE) END)::BIGINT)) AS i FROM l),
+x AS (SELECT *, array_to_string(ls[i * {step} + 1 : i * {step} + {window}], chr(10)) AS t FROM w)
+"""
+
+
+_BLANK = "regexp_matches(t, '[^ \\t\\n\\r\\f\\v]')"
+
+
+def _windows_oracle(window: int, overlap: int) -> str:
+    step = max(window - overlap, 1)
+    return _windows_sql(window, overlap) + f"""
+SELECT file_path, name || ':window' || (i + 1) AS symbol_name, (i * {step} + 1)::INT AS start_line,
+       least(i * {step} + {window}, len(ls))::INT AS end_line, sha256(t) AS text_hash, sha256('# ' || file_path || chr(10) || t) AS embed_hash
+FROM x WHERE {_BLANK}"""
+
+
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
+
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "documents").select(F.concat(F.lit("model-"), "source").alias("model"), F.length("source").alias("dimension")).distinct()
+    return names.select("model", "dimension", em.fingerprint_of(F.col("model"), F.col("dimension")).alias("fingerprint"))
+
+
+_SUFFIXES = [*LANGUAGES, *EXCLUDED_EXTENSIONS, ".PY", ".txt", "", ".d.ts"]
+_FOLDERS = [*EXCLUDED_DIRS, "src", "lib", "x.egg-info", ".github"]
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for every page: its folder and suffix follow from the page's id."""
+    at = lambda names: F.get(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % len(names)).cast("int"))
+    path = F.concat(at(_FOLDERS), F.lit("/page"), F.col("page_id").cast("string"), at(_SUFFIXES))
+    return _table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+def _sql_list(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+_PATHS = f"""p AS (SELECT page_id, ({_sql_list(_FOLDERS)})[page_id % {len(_FOLDERS)} + 1] || '/page' || page_id || ({_sql_list(_SUFFIXES)})[page_id % {len(_SUFFIXES)} + 1] AS path FROM pages),
+s AS (SELECT *, regexp_extract(path, '[^/]+?(\\.[^./]+)$', 1) AS ext FROM p)"""
+
+
+def language_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = tx.suffix(F.col("path"))
+    return _paths(spark, sf_dir).select("page_id", ext.alias("ext"), tx.basename(F.col("path")).alias("name"), tx.language_of(ext, LANGUAGES).alias("language"))
+
+
+def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    kept = ~F.arrays_overlap(folders, F.array(*[F.lit(d) for d in EXCLUDED_DIRS])) & ~tx.suffix(F.col("path")).isin(*EXCLUDED_EXTENSIONS)
+    return _paths(spark, sf_dir).where(kept).select("page_id", "path")
+
+
+# state: the previous snapshot lacks French documents, has older German ones, and has the pages
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    now = _files(spark, sf_dir).select("file_path", F.sha2("text", 256).alias("file_hash"), "lang")
+    older = F.when(F.col("lang") == "de", F.sha2(F.concat("file_hash", F.lit("old")), 256)).otherwise(F.col("file_hash"))
+    before = now.where("lang != 'fr'").select("file_path", older.alias("file_hash"))
+    gone = _table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("file_path"), F.sha2("url", 256).alias("file_hash"))
+    return now.drop("lang"), before.unionByName(gone)
+
+
+_PLAN = """n AS (SELECT 'docs/' || doc_id || '.txt' AS file_path, sha256(coalesce(text, '')) AS file_hash, lang FROM documents),
+o AS (SELECT file_path, CASE WHEN lang = 'de' THEN sha256(file_hash || 'old') ELSE file_hash END AS file_hash FROM n WHERE lang <> 'fr'
+      UNION ALL SELECT 'pages/' || page_id, sha256(url) FROM pages),
+plan AS (SELECT coalesce(n.file_path, o.file_path) AS file_path, n.file_hash,
+         CASE WHEN o.file_path IS NULL THEN 'new' WHEN n.file_path IS NULL THEN 'removed'
+              WHEN n.file_hash IS NOT DISTINCT FROM o.file_hash THEN 'unchanged' ELSE 'changed' END AS status
+         FROM n FULL JOIN o ON n.file_path = o.file_path)"""
+
+
+def change_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.change_plan(*_states(spark, sf_dir)).select("file_path", "file_hash", "status")
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.plan_counts(store.change_plan(*_states(spark, sf_dir)))
+
+
+def merge_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, before = _states(spark, sf_dir)
+    plan = store.change_plan(now, before)
+    fresh = plan.where("status in ('new', 'changed')").select("file_path", "file_hash")
+    return store.merge_chunks(before, plan, fresh).select("file_path", "file_hash")
+
+
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    chunks = fallback_windows(files)
+    return chunks.agg(F.count("*").alias("chunks")).crossJoin(files.agg(F.count("*").alias("files")))  # one row each
+
+
+# evaluation
+
+def line_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20-line windows of every document against two labelled spans."""
+    files = _files(spark, sf_dir)
+    hits = fallback_windows(files, Settings(window_lines=20, overlap_lines=5)).join(files.select("doc_id", "file_path"), "file_path")
+    hits = hits.select(F.col("doc_id").alias("query_id"), (F.col("ordinal") + 1).alias("rank"), F.col("ordinal").alias("chunk_id"), "file_path", F.concat(F.lit("w"), F.col("ordinal").cast("string")).alias("qualified_name"), "start_line", "end_line")
+    span = lambda symbol, a, b: F.struct(F.col("file_path").alias("file"), F.lit(symbol).alias("symbol"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line"))
+    queries = files.select(F.col("doc_id").alias("id"), F.array(span("first", 1, 15), span("w2", 70, 90)).alias("relevant"))
+    return ev.match_hits(hits, queries)
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    vectors, queries = _vectors(spark, sf_dir)
+    hits = top_k(vectors, queries, max(KS)).select("query_id", "rank", F.col("id").cast("string").alias("matched"))
+    relevant = queries.select("query_id", "label").join(vectors.select(F.col("id").cast("string").alias("key"), "label"), "label").select("query_id", "key")
+    groups = queries.select("query_id", F.concat(F.lit("label"), F.col("label").cast("string")).alias("repo"))
+    return hits, relevant, groups
+
+
+def _told(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    hits, relevant, groups = _retrieved(spark, sf_dir)
+    return ev.metrics(hits, relevant, KS), groups
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    for c in ("precision", "recall", "mrr"):
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_told(spark, sf_dir)[0])
+
+
+def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.summarize(*_told(spark, sf_dir)))
+
+
+def metrics_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.markdown_lines(ev.summarize(*_told(spark, sf_dir)), KS)
+
+
+_METRICS = f"""{_SCORED},
+r AS (SELECT *, {_RANKED} AS rank FROM scored),
+sizes AS (SELECT q.vec_id AS query_id, q.label, count(*) AS n FROM embeddings q JOIN embeddings v ON v.label = q.label WHERE q.vec_id % {QUERY_STEP} = 0 GROUP BY ALL),
+m AS (SELECT r.query_id, k::INT AS k, any_value(s.label) AS label, count(*) FILTER (rank <= k AND wanted = r.label) / count(*) FILTER (rank <= k) AS p,
+      count(DISTINCT id) FILTER (rank <= k AND wanted = r.label) / any_value(s.n) AS rc, coalesce(1.0::DOUBLE / min(rank) FILTER (wanted = r.label), 0) AS mrr
+      FROM r JOIN sizes s USING (query_id), (SELECT unnest({KS}) AS k) WHERE rank <= {max(KS)} GROUP BY r.query_id, k),
+g AS (SELECT CASE WHEN grouping(label) = 1 THEN NULL ELSE 'label' || label END AS repo, k, count(*) AS n_queries, avg(p) AS precision, avg(rc) AS recall, avg(mrr) AS mrr
+      FROM m GROUP BY GROUPING SETS ((k), (label, k)))"""
+
+
+# headers and headings
+
+def context_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header for every document: its source as class (none for src0), its first lines as imports."""
+    imports = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, 3)
+    held = F.when(F.col("source") != "src0", F.col("source"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
+    return rows.select("doc_id", F.sha2(tx.context_header(path, "#", held, imports), 256).alias("header_hash"))
+
+
+_HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"
+
+
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit(_HEADING), F.lit(0))
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "h"))
+    level = F.substring("h", 3, 1).cast("int")
+    title = F.trim(F.regexp_replace(F.regexp_extract("h", _HEADING, 2), "<[^>]+>", ""))
+    return rows.select("page_id", "pos", level.alias("level"), title.alias("title"))
+
+
+_HEADINGS = r"""h AS (SELECT page_id, unnest(hs) AS h, unnest(range(0, len(hs))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)(<h1\b[^>]*>.*?</h1\s*>|<h2\b[^>]*>.*?</h2\s*>|<h3\b[^>]*>.*?</h3\s*>|<h4\b[^>]*>.*?</h4\s*>|<h5\b[^>]*>.*?</h5\s*>|<h6\b[^>]*>.*?</h6\s*>)') AS hs FROM pages)),
+t AS (SELECT page_id, pos::INT AS pos, substr(h, 3, 1)::INT AS level, trim(regexp_replace(regexp_extract(h, '(?is)^<h[1-6]\b[^>]*>(.*)</h[1-6]\s*>$', 1), '<[^>]+>', '', 'g')) AS title FROM h)"""
+
+
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headings(spark, sf_dir)
+
+
+def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each heading with its ancestors: at every higher level, the last heading that no still higher one followed."""
+    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    parts = []
+    for n in range(1, 6):
+        own = F.max(F.when(F.col("level") == n, F.struct("pos", "title"))).over(before)
+        above = F.max(F.when(F.col("level") < n, F.col("pos"))).over(before)
+        parts.append(F.when((F.col("level") > n) & (own["pos"] > F.coalesce(above, F.lit(-1))), own["title"]))
+    return _headings(spark, sf_dir).select("page_id", "pos", F.concat_ws(" > ", *parts, "title").alias("breadcrumb"))
+
+
+_CRUMBS = ", ".join(
+    f"CASE WHEN level > {n} AND max(pos) FILTER (level = {n}) OVER o > coalesce(max(pos) FILTER (level < {n}) OVER o, -1) THEN arg_max(title, pos) FILTER (level = {n}) OVER o END"
+    for n in range(1, 6)
+)
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def oversize_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over the token limit as windows, others whole."""
+    s = Settings()
+    rows = _files(spark, sf_dir)
+    big = tx.token_count(F.col("text")) > s.max_chunk_tokens
+    cut = rows.where(big).select("doc_id", F.explode(tx.line_windows(F.col("text"), s.window_lines, s.overlap_lines)).alias("w"))
+    cut = cut.select("doc_id", "w.start_line", "w.end_line", F.sha2("w.text", 256).alias("text_hash"), F.lit(True).alias("truncated"))
+    whole = rows.where(~big).select("doc_id", F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.sha2("text", 256).alias("text_hash"), F.lit(False).alias("truncated"))
+    return cut.unionByName(whole)
 
 
 def queries() -> dict:
-    return {}
+    own = (
+        vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, fingerprint, language_dispatch, path_filters,
+        change_plan, index_stats, merge_snapshot, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
+        html_headings, breadcrumb, oversize_windows,
+    )
+    return {f.__name__: f for f in own} | {"line_windows_60_10": _windows(60, 10), "line_windows_20_5": _windows(20, 5)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    tokens = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda t: t <> ''))"
+    cases = " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in LANGUAGES.items())
+    cells = [f"max(CASE WHEN k = {k} THEN printf('%.3f', {c}) END)" for c in ("precision", "recall") for k in KS]
+    heads = ["repo", "queries", *[f"P@{k}" for k in KS], *[f"R@{k}" for k in KS], "MRR"]
+    body = " || ' | ' || ".join(["coalesce(repo, '**overall**')", "any_value(n_queries)", *cells, "printf('%.3f', max(mrr))"])
+    return {
+        "vector_topk": f"WITH {_SCORED} SELECT query_id, rank::INT AS rank, id, round(s, 6) AS score FROM (SELECT *, {_RANKED} AS rank FROM scored) WHERE rank <= {K}",
+        "vector_topk_label_postfilter": f"WITH {_SCORED}, f AS (SELECT * FROM (SELECT *, {_RANKED} AS r FROM scored) WHERE r <= {4 * K} AND label = wanted) SELECT query_id, rank::INT AS rank, id, round(s, 6) AS score FROM (SELECT *, {_RANKED} AS rank FROM f) WHERE rank <= {K}",
+        "vector_topk_label_exact": f"WITH {_SCORED} SELECT query_id, rank::INT AS rank, id, round(s, 6) AS score FROM (SELECT *, {_RANKED} AS rank FROM scored WHERE label = wanted) WHERE rank <= {K}",
+        "token_count": f"SELECT doc_id, {tokens}::INT AS n_tokens FROM documents",
+        "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
+        "fingerprint": "SELECT DISTINCT 'model-' || source AS model, length(source)::INT AS dimension, left(sha256('model-' || source || ':' || length(source)), 16) AS fingerprint FROM documents",
+        "language_dispatch": f"WITH {_PATHS} SELECT page_id, ext, string_split(path, '/')[-1] AS name, CASE {cases} ELSE 'text' END AS language FROM s",
+        "path_filters": f"WITH {_PATHS} SELECT page_id, path FROM s WHERE NOT list_has_any(string_split(path, '/')[:-2], {_sql_list(EXCLUDED_DIRS)}) AND ext NOT IN ({', '.join(repr(e) for e in EXCLUDED_EXTENSIONS)})",
+        "change_plan": f"WITH {_PLAN} SELECT file_path, file_hash, status FROM plan",
+        "index_stats": f"WITH {_PLAN} SELECT count(*) FILTER (status <> 'removed') AS files_scanned, count(*) FILTER (status IN ('new', 'changed')) AS files_indexed, count(*) FILTER (status = 'unchanged') AS files_skipped, count(*) FILTER (status = 'removed') AS files_removed FROM plan",
+        "merge_snapshot": f"WITH {_PLAN} SELECT file_path, file_hash FROM plan WHERE status <> 'removed'",
+        "index_status": _windows_sql(60, 10) + f"SELECT (SELECT count(*) FROM x WHERE {_BLANK}) AS chunks, (SELECT count(*) FROM documents) AS files",
+        "line_windows_60_10": _windows_oracle(60, 10),
+        "line_windows_20_5": _windows_oracle(20, 5),
+        "line_iou_match": _windows_sql(20, 5) + f""",
+hit AS (SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS query_id, i, i * 15 + 1 AS a, least(i * 15 + 20, len(ls)) AS b, file_path FROM x WHERE {_BLANK}),
+sp AS (SELECT * FROM (VALUES (0, 'first', 1, 15), (1, 'w2', 70, 90)) t(pos, symbol, c, d)),
+met AS (SELECT query_id, i, arg_min(file_path || '::' || symbol, pos) AS key FROM hit, sp
+        WHERE 'w' || i = symbol OR greatest(least(b, d) - greatest(a, c) + 1, 0) / (greatest(b, d) - least(a, c) + 1) >= 0.5 GROUP BY query_id, i)
+SELECT hit.query_id, (hit.i + 1)::INT AS rank, coalesce(key, '__miss__' || hit.i) AS matched FROM hit LEFT JOIN met ON met.query_id = hit.query_id AND met.i = hit.i""",
+        "retrieval_metrics": f"WITH {_METRICS} SELECT query_id, k, round(p, 6) AS precision, round(rc, 6) AS recall, round(mrr, 6) AS mrr FROM m",
+        "metrics_summary": f"WITH {_METRICS} SELECT repo, k, n_queries, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr FROM g",
+        "metrics_markdown": f"WITH {_METRICS}, b AS (SELECT repo, '| ' || {body} || ' |' AS line FROM g GROUP BY repo) SELECT 0 AS ord, '| {' | '.join(heads)} |' AS line UNION ALL SELECT 1, '|{'---|' * len(heads)}' UNION ALL SELECT (row_number() OVER (ORDER BY repo NULLS FIRST) + 1)::INT, line FROM b",
+        "context_header": "WITH d AS (SELECT doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')[1:3] AS im FROM documents) SELECT doc_id, sha256('# file: docs/' || doc_id || CASE WHEN source <> 'src0' THEN chr(10) || '# class: ' || source ELSE '' END || CASE WHEN len(im) > 0 THEN chr(10) || '# imports:' || chr(10) || array_to_string(list_transform(im, lambda x: '#   ' || x), chr(10)) ELSE '' END || chr(10)) AS header_hash FROM d",
+        "html_headings": f"WITH {_HEADINGS} SELECT page_id, pos, level, title FROM t",
+        "breadcrumb": f"WITH {_HEADINGS} SELECT page_id, pos, concat_ws(' > ', {_CRUMBS}, title) AS breadcrumb FROM t WINDOW o AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        "oversize_windows": _windows_sql(60, 10, f"WHERE {tokens} > 2000") + f"""SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS doc_id, (i * 50 + 1)::INT AS start_line, least(i * 50 + 60, len(ls))::INT AS end_line, sha256(t) AS text_hash, true AS truncated FROM x
+UNION ALL SELECT doc_id, 1, len(string_split(coalesce(text, ''), chr(10)))::INT, sha256(coalesce(text, '')), false FROM documents WHERE {tokens} <= 2000""",
+    }
