@@ -6,13 +6,14 @@ places, and coordinate k is the least value of pi, shifted circularly by k, over
 Texts with equal sets are one class. Bands of signature coordinates deal the classes to buckets.
 In each bucket every class is compared with one centre (the class that shares most buckets, as
 an original does with its copies). Those that have no link to it are dealt again, by many long
-bands of coordinates of their own that unlinked classes hardly share, and compared with a bounded
-number of centres a round, until no bucket has two left. As Jaccard distance
+bands of coordinates of their own that unlinked classes hardly share; in these buckets each class
+is held against a bounded number of others a round, until no bucket has two left, and those pairs
+are compared whose bit sketches allow a link. As Jaccard distance
 is a metric, a class that failed with a centre can link to one that passed only if both lie near
 the limit, and just such pairs of different components are compared as well; so no link between
 members of a bucket is lost, and no large bucket's pairs are all made. All links are confirmed on whole sets. At similarity 0.85 a
-linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), and none of the second dealing
-with 2e-6.
+linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), none of the second dealing
+with 2e-6, and is refused by its sketches with 3e-7.
 
 Defined cases: null and empty texts have no set, and stay; rows without doc_id link like others,
 but a component's id is its least doc_id, and null only if it has none; a row is kept if its
@@ -27,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import all_of, bound_batches, pack, pick, slices, table, unpack, written
@@ -36,8 +37,10 @@ from ._hashing import mix64, stream64, word_hashes
 BANDS, ROWS = 25, 5
 #: Bands of the second dealing, whose rows follow from the limit, and the chance that it loses a link.
 FINE_BANDS, FINE_LOSS = 180, 2e-6
-#: Centres, about, that a bucket has in each round after the first.
-CENTRES = 16
+#: Bits of the sketches that tell which pairs are worth a comparison.
+SKETCH_BITS = 1024
+#: Classes of a bucket that each of its classes is held against at once; larger buckets take rounds.
+CENTRES = 256
 #: Places of the circulant permutation.
 PLACES_LOG = 22
 _SIGMA = stream64(2, 21)
@@ -74,10 +77,11 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """k coordinates of a set that isn't empty."""
+def signature(shingles: np.ndarray, k: int = BANDS * ROWS, start: int = 0) -> np.ndarray:
+    """Coordinates start to start + k - 1 of a set that isn't empty."""
     with np.errstate(over="ignore"):
         place = ((mix64(shingles * _SIGMA[0] + _SIGMA[1])) >> np.uint64(64 - PLACES_LOG)).astype(np.int64)
+    place = (place + start) & ((1 << PLACES_LOG) - 1)  # a shift of pi is a shift of places
     shifts, best, step = _shifts(k), None, max(1, _CHUNK // k)
     for i in range(0, len(place), step):
         least = shifts[place[i : i + step]].min(axis=0)
@@ -85,6 +89,26 @@ def signature(shingles: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     return best
 
 
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The lowest bits of SKETCH_BITS coordinates that no band uses, as 64-bit integers."""
+    bits = signature(shingles, SKETCH_BITS, 1 << 20) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def least_matches(percent: int) -> int:
+    """Equal bits that two sketches have at least if their sets meet the limit, five standard
+    deviations below their expectation (a link falls below it with probability 3e-7)."""
+    p = (1 + percent / 100) / 2
+    return int(SKETCH_BITS * p - 5 * np.sqrt(SKETCH_BITS * p * (1 - p)))
+
+
+def _plausible(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sketches may belong to linked sets; part of a join's condition, so that the
+    join makes no other pairs."""
+    differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, d: n + d)
+    return differ <= SKETCH_BITS - least_matches(percent)
+
+
 def bucket_keys(signatures: np.ndarray, bands: int, seed: int) -> np.ndarray:
     """64-bit keys of the bands, one row a signature."""
     parts = signatures.astype(np.uint64).reshape(len(signatures), bands, -1)
@@ -114,7 +138,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """fp and set (sorted hashes as bytes) of the classes ``wanted`` (fp, doc_id, text_key)."""
+    """fp, set (sorted hashes as bytes) and bits (sketch) of the classes ``wanted`` (fp, doc_id, text_key)."""
     rows = pick(docs, "doc_id long", "text string").select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("r")
     w = wanted.alias("w")
     on = (F.col("r.text_key") == F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -123,9 +147,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "set"])
+            sketches = pa.array([bit_sketch(s).tolist() for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketches], names=["fp", "set", "bits"])
 
-    return written(found.mapInArrow(run, "fp binary, set binary"), "minhash-sets")
+    return written(found.mapInArrow(run, "fp binary, set binary, bits array<long>"), "minhash-sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,40 +213,35 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.join(score, F.col("fp") == F.col("__fp")).select("bucket", "fp", F.struct(F.col("__score").alias("score"), F.col("fp").alias("fp")).alias("rank"))
 
 
-def _stars(left: DataFrame, step: int) -> DataFrame:
-    """bucket, a, b, centre: every class a of a bucket with each of its centres b (written).
+def _first_stars(left: DataFrame) -> DataFrame:
+    """bucket, a, b: every class a of a bucket with its one centre b, the best by rank (written)."""
+    best = left.groupBy("bucket").agg(F.max("rank").alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = best.select(F.col("bucket").alias("__b"), F.col("best.fp").alias("b"))
+    rows = left.join(best, F.col("bucket") == F.col("__b")).where("fp != b")
+    return written(rows.select("bucket", F.col("fp").alias("a"), "b"), "minhash-stars")
 
-    The first round has one centre, the best by rank; later rounds have it and about CENTRES
-    more, drawn by hash (the same classes in all buckets), so a small bucket is done in one
-    round and none makes more than a bounded number of comparisons for each of its rows.
+
+def _unlinked(stars: DataFrame, compared: DataFrame) -> DataFrame:
+    """fp of the classes that failed with their bucket's centre, where another one did too."""
+    failed = stars.join(compared.where("not linked").select("a", "b"), ["a", "b"])
+    many = failed.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("bucket").alias("__b"))
+    return failed.join(many, F.col("bucket") == F.col("__b"), "left_semi").select(F.col("a").alias("fp")).distinct()
+
+
+def _within(left: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """Plausible pairs (a, b) of buckets' classes with their centres, and the rows left.
+
+    left: bucket, fp, bits. In buckets of at most CENTRES classes all are centres; in larger ones
+    about as many, drawn by hash, and all others are left for the next round.
     """
-    best = left.groupBy("bucket").agg(F.max("rank").alias("best"), F.count("*").alias("n")).where("n > 1")
-    best = best.select(F.col("bucket").alias("__b"), F.col("best.fp").alias("__best"), "n")
-    rows = left.join(best, F.col("bucket") == F.col("__b"))
-    if not step:
-        pairs = rows.where("fp != __best").select("bucket", F.col("fp").alias("a"), F.col("__best").alias("b"), F.lit(False).alias("centre"))
-        return written(pairs, "minhash-stars")
+    n = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "__b")
     draw = F.shiftrightunsigned(F.xxhash64("fp", F.lit(step)), 12) / F.lit(float(1 << 52))
-    is_centre = (F.col("fp") == F.col("__best")) | (draw * F.col("n") < CENTRES)
-    rows = written(rows.select("bucket", "fp", is_centre.alias("centre")), "minhash-rows")
-    centres = rows.where("centre").select(F.col("bucket").alias("__b"), F.col("fp").alias("b"))
-    pairs = rows.join(centres, F.col("bucket") == F.col("__b")).where("not centre or fp > b")
-    return written(pairs.select("bucket", F.col("fp").alias("a"), "b", "centre"), "minhash-stars")
-
-
-def _round(left: DataFrame, step: int, known: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
-    """Compare with centres, adding to ``known``; the rows left (no centre, linked with none,
-    not alone in their bucket), written."""
-    cand = _stars(left, step)
-    pairs = cand.select("a", "b").distinct()
-    if known:
-        pairs = pairs.join(all_of(known).select("a", "b"), ["a", "b"], "left_anti")
-    known.append(_verify(pairs, sets, percent))
-    star = cand.where("not centre").join(all_of(known).select("a", "b", "linked"), ["a", "b"])
-    lone = star.groupBy("bucket", "a").agg(F.max("linked").alias("linked")).where("not linked").select("bucket", F.col("a").alias("fp"))
-    more = lone.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("bucket").alias("__b"))
-    rank = F.struct(F.xxhash64("fp").alias("score"), F.col("fp").alias("fp"))
-    return written(lone.join(more, F.col("bucket") == F.col("__b")).select("bucket", "fp", rank.alias("rank")), "minhash-left")
+    rows = left.join(n, F.col("bucket") == F.col("__b")).select("bucket", "fp", "bits", "n", (draw * F.col("n") < CENTRES).alias("centre"))
+    rows = written(rows, "minhash-rows")
+    centres = rows.where("centre").select(F.col("bucket").alias("__b"), F.col("fp").alias("b"), F.col("bits").alias("__bits"))
+    on = (F.col("bucket") == F.col("__b")) & (~F.col("centre") | (F.col("fp") > F.col("b"))) & _plausible(F.col("bits"), F.col("__bits"), percent)
+    pairs = written(rows.join(centres, on).select(F.col("fp").alias("a"), "b").distinct(), "minhash-pairs")
+    return pairs, rows.where("not centre").select("bucket", "fp", "bits")
 
 
 def fine_rows(percent: int) -> int:
@@ -239,7 +259,8 @@ def _fine(sets: DataFrame, percent: int) -> DataFrame:
             keys = bucket_keys(np.array(sigs), FINE_BANDS, 25) if sigs else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k in keys], pa.list_(pa.int64()))], names=["fp", "buckets"])
 
-    return sets.mapInArrow(run, "fp binary, buckets array<long>").select("fp", F.explode("buckets").alias("bucket"))
+    keys = sets.select("fp", "set").mapInArrow(run, "fp binary, buckets array<long>")
+    return keys.select("fp", F.explode("buckets").alias("bucket"))
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -255,23 +276,26 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     wanted = left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key")
     sets = _sets_of(docs, wanted, width)
 
-    known: list[DataFrame] = []  # a, b, distance, linked: all comparisons, each made once
-    lone = _round(written(_ranked(left), "minhash-ranked"), 0, known, sets, percent)
-    again = lone.select("fp").distinct()
-    fine = _shared(written(_fine(sets.join(again, "fp", "left_semi"), percent), "minhash-fine"))
-    left = fine.withColumn("rank", F.struct(F.xxhash64("fp").alias("score"), F.col("fp").alias("fp")))
-    step = 1
-    while not left.isEmpty():
-        left = _round(left, step, known, sets, percent)
+    stars = _first_stars(_ranked(left))
+    compared = _verify(stars.select("a", "b").distinct(), sets, percent)
+    again = sets.join(_unlinked(stars, compared), "fp", "left_semi")
+    rest = _shared(written(_fine(again, percent), "minhash-fine")).join(sets.select("fp", "bits"), "fp").select("bucket", "fp", "bits")
+    known, step = [compared], 0
+    while True:
+        pairs, rest = _within(rest, percent, step)
+        known.append(_verify(pairs.join(all_of(known).select("a", "b"), ["a", "b"], "left_anti"), sets, percent))
         step += 1
-    compared = all_of(known)
-    links = components(compared.where("linked").select("a", "b"))
-    # across a star: one that failed and one that passed, both near the limit, of different components
+        if rest.isEmpty():
+            break
+    links = components(all_of(known).where("linked").select("a", "b"))
+    # across a first star: one that failed and one that passed, both near the limit, of different components
     reach = 1 - percent / 100
     near = compared.where(f"linked or distance <= {2 * reach + 1e-9}").select(F.col("b").alias("star"), F.col("a").alias("fp"), "distance", "linked")
-    near = written(_mixed(_labelled(near, links), "star"), "minhash-near")
+    near = _mixed(_labelled(near, links), "star").join(sets.select("fp", "bits"), "fp")
+    near = written(near, "minhash-near")
     out, inn = near.where("not linked").alias("f"), near.where("linked").alias("v")
-    cross = out.join(inn, (F.col("f.star") == F.col("v.star")) & (F.col("f.label") != F.col("v.label")) & (F.col("v.distance") >= F.col("f.distance") - reach - 1e-9))
+    on = (F.col("f.star") == F.col("v.star")) & (F.col("f.label") != F.col("v.label")) & (F.col("v.distance") >= F.col("f.distance") - reach - 1e-9)
+    cross = out.join(inn, on & _plausible(F.col("f.bits"), F.col("v.bits"), percent))
     pairs = cross.select(F.greatest("f.fp", "v.fp").alias("a"), F.least("f.fp", "v.fp").alias("b")).distinct()
     more = _verify(pairs, sets, percent).where("linked")
     if more.isEmpty():
