@@ -195,6 +195,11 @@ def features(text: str) -> set[str]:
     return words | {"4 " + w[:4] for w in words if len(w) > 4} | {"5 " + w[:5] for w in words if len(w) > 5}
 
 
+def weight_of(count: int) -> float:
+    """What a feature that a text has so often counts."""
+    return 1.0 + math.log(count)
+
+
 class Scorer:
     """Restores texts and scores them; what the workers share."""
 
@@ -204,27 +209,47 @@ class Scorer:
         self.four = {k[2:] for k in weights if k[:2] == "4 "}
         self.five = {k[2:] for k in weights if k[:2] == "5 "}
 
-    def hits(self, text: str | None) -> list[str]:
-        words = set(_WORDS.findall(restored(text, self.model, self.cache)))
-        four = {w[:4] for w in words if len(w) > 4} & self.four
-        five = {w[:5] for w in words if len(w) > 5} & self.five
-        return [*(words & self.words), *("4 " + w for w in four), *("5 " + w for w in five)]
+    def hits_in(self, text: str) -> dict[str, int]:
+        """How often a restored text has each feature of the classifier."""
+        words = _WORDS.findall(text)
+        kinds = set(words)
+        four = {w for w in kinds if len(w) > 4 and w[:4] in self.four}
+        five = {w for w in kinds if len(w) > 5 and w[:5] in self.five}
+        found = (kinds & self.words) | four | five
+        if not found:
+            return {}
+        out: Counter = Counter()
+        for w, n in Counter(w for w in words if w in found).items():
+            if w in self.words:
+                out[w] += n
+            if w in four:
+                out["4 " + w[:4]] += n
+            if w in five:
+                out["5 " + w[:5]] += n
+        return dict(out)
+
+    def hits(self, text: str | None) -> dict[str, int]:
+        return self.hits_in(restored(text, self.model, self.cache))
+
+    def score_of(self, hits: dict[str, int]) -> float:
+        z = self.bias + math.fsum(self.weights[h] * weight_of(n) for h, n in hits.items())
+        return 1 / (1 + math.exp(-min(max(z, -700.0), 700.0)))
 
     def score(self, text: str | None) -> float:
-        z = self.bias + math.fsum(self.weights[h] for h in self.hits(text))
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        return self.score_of(self.hits(text))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, n: int, penalty: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic regression over sparse rows of feature numbers, by Adam over all rows."""
-    cols = np.fromiter((c for r in rows for c in r), np.int64)
+def fit(rows: list[list[tuple[int, float]]], labels: np.ndarray, n: int, penalty: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Logistic regression over sparse rows of (feature number, value), by Adam over all rows."""
+    cols = np.fromiter((c for r in rows for c, _ in r), np.int64)
+    values = np.fromiter((v for r in rows for _, v in r), np.float64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, b = np.zeros(n), math.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        z = b + np.bincount(owner, w[cols], len(rows))
+        z = b + np.bincount(owner, w[cols] * values, len(rows))
         err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels) / len(rows)
-        grad = np.append(np.bincount(cols, err[owner], n) + penalty * w, err.sum())
+        grad = np.append(np.bincount(cols, err[owner] * values, n) + penalty * w, err.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -279,14 +304,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     names = [r["feature"] for r in chosen.select("feature").collect()]  # at most FEATURES rows
     at = {f: i for i, f in enumerate(names)}
 
+    blank = Scorer(model, dict.fromkeys(names, 0.0), 0.0)
+    knobs = spark.sparkContext.broadcast((blank.model, blank.weights))
+
     def vectors(batches):
+        own = Scorer(*knobs.value, 0.0)
         for batch in batches:
-            found = [sorted(at[f] for f in features(t) & at.keys()) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["f", "label"])
-
-    data = ready.mapInArrow(vectors, "f array<int>, label int").toArrow()  # at most ``sample`` rows
-    data = sorted(zip(data["f"].to_pylist(), data["label"].to_pylist()))  # the same order in every run
-    w, b = fit([f for f, _ in data], np.array([y for _, y in data], float), len(names))
+            found = [sorted((at[f], k) for f, k in own.hits_in(t).items()) for t in batch.column(0).to_pylist()]
+            feature = pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32()))
+            count = pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([feature, count, batch.column(1)], names=["f", "k", "label"])
+
+    data = ready.mapInArrow(vectors, "f array<int>, k array<int>, label int").toArrow()  # at most ``sample`` rows
+    data = sorted(zip(data["f"].to_pylist(), data["k"].to_pylist(), data["label"].to_pylist()))  # the same order in every run
+    rows_ = [[(f, weight_of(k)) for f, k in zip(fs, ks)] for fs, ks, _ in data]
+    w, b = fit(rows_, np.array([y for _, _, y in data], float), len(names))
     return Scorer(model, dict(zip(names, w.tolist())), b)
 
 
@@ -299,8 +331,7 @@ def score(df: DataFrame, scorer: Scorer, column: str = "text") -> DataFrame:
         own = Scorer(*shared.value)
         for batch in batches:
             hits = [own.hits(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            z = [own.bias + math.fsum(own.weights[h] for h in x) for x in hits]
-            p = [1 / (1 + math.exp(-min(max(v, -700.0), 700.0))) for v in z]
+            p = [own.score_of(x) for x in hits]
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64()), pa.array([sorted(x) for x in hits], pa.list_(pa.string()))], names=[*[f.name for f in keep], "score", "hits"])
 
