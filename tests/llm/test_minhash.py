@@ -1,0 +1,110 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seekstone.llm import minhash
+
+from .common import awkward, docs, empty
+
+
+def shingles(text, width):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def brute(rows, width, percent):
+    sets = {i: shingles(t, width) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def family(rng, n, copies, edits, start):
+    base = [str(rng.randint(0, 10**9)) for _ in range(n)]
+    out = []
+    for c in range(copies):
+        w = list(base)
+        for _ in range(edits[c % len(edits)]):
+            w[rng.randrange(n)] = str(rng.randint(0, 10**9))
+        out.append((start + c, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_brute_force(spark, width, percent):
+    rng = random.Random(width)
+    rows = [(i, " ".join(str(rng.randint(0, 10**9)) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    for k in range(8):  # families whose members lie on either side of the limit
+        rows += family(rng, 150, 25, (0, 1, 2, 4, 6, 9, 12), 1000 + 100 * k)
+    rows += [(5000, "Same Words HERE"), (5001, "same words here"), (5002, "two words"), (5003, "TWO  words"), (5004, "")]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.groups(docs(spark, rows), width, percent).collect()}
+    assert got == brute(rows, width, percent)
+
+
+def test_chain_links(spark):
+    """Versions that drift: each links with the next only."""
+    w = [f"w{i}" for i in range(200)]
+    rows = []
+    for v in range(12):
+        rows.append((v, " ".join(w)))
+        for j in range(5):
+            w[(v * 5 + j) * 3 % 200] = f"v{v}x{j}"
+    got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
+
+
+def test_signature_is_circulant():
+    s = np.array([3, 77, 10**15], np.uint64)
+    k = 60
+    sig = minhash.signature(s, k)
+    pi = np.random.default_rng(23).permutation(1 << minhash.PLACES_LOG)
+    with np.errstate(over="ignore"):
+        place = (minhash.mix64(s * minhash._SIGMA[0] + minhash._SIGMA[1]) >> np.uint64(64 - minhash.PLACES_LOG)).astype(int)
+    assert sig.tolist() == [min(pi[(p + j) % len(pi)] for p in place) for j in range(k)]
+    a, b = np.arange(1000, dtype=np.uint64) * np.uint64(2654435761), np.arange(200, 1200, dtype=np.uint64) * np.uint64(2654435761)
+    assert abs((minhash.signature(a, 2000) == minhash.signature(b, 2000)).mean() - 800 / 1200) < 0.05
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(60)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long").select(*[F.unhex(F.lpad(F.hex(c), 16, "0")).alias(c) for c in "ab"])
+    got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in minhash.components(df).collect()}
+    assert got == {x: root(x) for x in up if root(x) != x}
+
+
+def test_awkward(spark):
+    df = awkward(spark)
+    got = minhash.groups(df, 3, 85).collect()
+    assert len(got) == df.count() and minhash.groups(empty(spark)).count() == 0
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[2]["component_id"] == 1 and not by_id[2]["kept"] and by_id[3]["component_id"] == 1
+    assert all(by_id[i]["kept"] and by_id[i]["n_shingles"] == 0 for i in (4, 5, 6)) and by_id[12]["n_shingles"] == 1
+    nulls = [r for r in got if r["doc_id"] is None]
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in nulls if r["n_shingles"]) == [(118, 1, False)]
+    out = minhash.stage(spark, df, "")
+    assert out.columns == df.columns and out.count() == df.count() - 4 and minhash.stage(spark, empty(spark), "").count() == 0
