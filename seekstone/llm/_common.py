@@ -40,6 +40,12 @@ def pick(df: DataFrame, *specs: str) -> DataFrame:
     return flat.select(*[_exact(names, n).cast(t).alias(n) for n, t in pairs])
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, matched by exact case, with their own types."""
+    flat, own = _positional(df)
+    return flat.select(*[_exact(own, n).alias(n) for n in names])
+
+
 def pack(df: DataFrame, *specs: str) -> tuple[DataFrame, list[str]]:
     """As :func:`pick`, with the whole original row beside it in the struct ``__row``."""
     flat, names = _positional(df)

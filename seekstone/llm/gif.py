@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, pick, table
+from ._common import bound_batches, only, pick, table
 
 WIDTH, TILE = 24, 576
 #: A frame has up to so many 24 x 24 tiles, one below the other.
@@ -279,7 +279,7 @@ def payload_of(text: str | None) -> bytes:
 
 def store(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep``, n_bytes (of the text, long) and gif (binary) of every row."""
-    cols = df.select(*keep, F.col(column).cast("string").alias("__text"))
+    cols = only(df, *keep, column).withColumn(column, F.col(column).cast("string"))
 
     def run(batches):
         for batch in batches:
