@@ -39,6 +39,8 @@ BANDS, ROWS = 25, 5
 FINE_BANDS, FINE_LOSS = 180, 2e-6
 #: Bits of the sketches that tell which pairs are worth a comparison.
 SKETCH_BITS = 1024
+#: Edges of components in one file, about.
+EDGES_A_FILE = 100_000
 #: Classes of a bucket that each of its classes is held against at once; larger buckets take rounds.
 CENTRES = 256
 #: Places of the circulant permutation.
@@ -179,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
     and small stars until nothing changes; every step works on edges only."""
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     now = written(now, "components")
-    mark = None
+    n, mark = now.count(), None
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -187,8 +189,11 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         low = lower.withColumnRenamed("a", "u")
         small = large.join(low, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(lower.select("a", F.col("m").alias("b"))).distinct(), "components")
+        stars = small.union(lower.select("a", F.col("m").alias("b"))).distinct()
+        # the edges don't grow in number: as many files as they need, not as there are partitions
+        now = written(stars.coalesce(max(1, -(-n // EDGES_A_FILE))), "components")
         last, mark = mark, now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        n = mark[0]
         if last == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -229,7 +234,7 @@ def _unlinked(stars: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def _within(left: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """Plausible pairs (a, b) of buckets' classes with their centres, and the rows left.
+    """Plausible pairs (a, b) of buckets' classes with their centres, and the rows left over.
 
     left: bucket, fp, bits. In buckets of at most CENTRES classes all are centres; in larger ones
     about as many, drawn by hash, and all others are left for the next round.
@@ -240,7 +245,7 @@ def _within(left: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFr
     rows = written(rows, "minhash-rows")
     centres = rows.where("centre").select(F.col("bucket").alias("__b"), F.col("fp").alias("b"), F.col("bits").alias("__bits"))
     on = (F.col("bucket") == F.col("__b")) & (~F.col("centre") | (F.col("fp") > F.col("b"))) & _plausible(F.col("bits"), F.col("__bits"), percent)
-    pairs = written(rows.join(centres, on).select(F.col("fp").alias("a"), "b").distinct(), "minhash-pairs")
+    pairs = rows.join(centres, on).select(F.col("fp").alias("a"), "b").distinct()
     return pairs, rows.where("not centre").select("bucket", "fp", "bits")
 
 
@@ -264,15 +269,15 @@ def _fine(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """The rows (bucket, fp) of buckets with two classes at least, written."""
+    """The rows (bucket, fp) of buckets with two classes at least."""
     many = dealt.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select(F.col("bucket").alias("__b"))
-    return written(dealt.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp"), "minhash-buckets")
+    return dealt.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp")
 
 
 def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root of all classes that are linked with another."""
     classes = sketched.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key", "buckets")).alias("r"))
-    left = _shared(classes.select("fp", F.explode("r.buckets").alias("bucket")))
+    left = written(_shared(classes.select("fp", F.explode("r.buckets").alias("bucket"))), "minhash-buckets")
     wanted = left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key")
     sets = _sets_of(docs, wanted, width)
 
@@ -292,7 +297,6 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     reach = 1 - percent / 100
     near = compared.where(f"linked or distance <= {2 * reach + 1e-9}").select(F.col("b").alias("star"), F.col("a").alias("fp"), "distance", "linked")
     near = _mixed(_labelled(near, links), "star").join(sets.select("fp", "bits"), "fp")
-    near = written(near, "minhash-near")
     out, inn = near.where("not linked").alias("f"), near.where("linked").alias("v")
     on = (F.col("f.star") == F.col("v.star")) & (F.col("f.label") != F.col("v.label")) & (F.col("v.distance") >= F.col("f.distance") - reach - 1e-9)
     cross = out.join(inn, on & _plausible(F.col("f.bits"), F.col("v.bits"), percent))
