@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as Python splits at it (Java's \s, with or without (?U), is another set).
 SPACE = r"[\s\x0b\x1c-\x1f\x85   -     　]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
 #: Line ends as Python's splitlines sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def token_count(text: Column) -> Column:
     """Number of white-space separated tokens."""
-    return F.size(F.filter(F.split(text, f"{SPACE}+"), lambda t: t != ""))
+    return F.regexp_count(text, F.lit(NOT_SPACE + "+"))
 
 
 def lines(text: Column) -> Column:
     """The lines of a text; a last line end adds none."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    def trimmed(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return F.get(F.transform(F.array(F.split(text, LINE_END, -1)), trimmed), F.lit(0))
 
 
 def line_windows(text: Column, window: int, overlap: int, base: int = 1) -> Column:
@@ -30,25 +34,29 @@ def line_windows(text: Column, window: int, overlap: int, base: int = 1) -> Colu
     The number of windows follows from the number of lines: 1 + ceil(max(n - window, 0) / step).
     """
     step = max(window - overlap, 1)
-    ls = lines(text)
-    n = F.size(ls)
-    count = F.when(n <= 0, 0).otherwise(1 + F.ceil(F.greatest(n - window, F.lit(0)) / step)).cast("int")
 
-    def one(i: Column) -> Column:
-        first = i * step
-        return F.struct(
-            (i + 1).cast("int").alias("number"),
-            (first + base).cast("int").alias("start_line"),
-            (F.least(first + window, n) + base - 1).cast("int").alias("end_line"),
-            F.array_join(F.slice(ls, first + 1, F.lit(window)), "\n").alias("text"),
-        )
+    def cut(ls: Column) -> Column:
+        n = F.size(ls)
+        count = F.when(n <= 0, 0).otherwise(1 + F.ceil(F.greatest(n - window, F.lit(0)) / step)).cast("int")
+
+        def one(i: Column) -> Column:
+            first = i * step
+            return F.struct(
+                (i + 1).cast("int").alias("number"),
+                (first + base).cast("int").alias("start_line"),
+                (F.least(first + window, n) + base - 1).cast("int").alias("end_line"),
+                F.array_join(F.slice(ls, first + 1, F.lit(window)), "\n").alias("text"),
+            )
+
+        empty = F.array().cast("array<struct<number:int,start_line:int,end_line:int,text:string>>")
+        return F.when(count == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), count - 1), one))
 
-    empty = F.array().cast("array<struct<number:int,start_line:int,end_line:int,text:string>>")
-    return F.when(count == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), count - 1), one))
+    # the lines are bound to a lambda's variable, else each window would split the text again
+    return F.get(F.transform(F.array(lines(text)), cut), F.lit(0))
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.exists(F.split(text, f"{SPACE}+"), lambda t: t != "")
+    return ~text.rlike(NOT_SPACE)
 
 
 def suffix(path: Column) -> Column:
