@@ -27,7 +27,7 @@ from ._common import bound_batches, pack, pick, table
 #: Pieces of up to so many bytes are merged in columns.
 COLUMN_BYTES = 32
 #: Pieces in one block of columns; entries that a worker's cache holds before it is emptied.
-BLOCK, CACHE = 16_384, 1_000_000
+BLOCK, CACHE = 16_384, 600_000
 #: Texts longer than this are split into pieces a part at a time.
 LONG_TEXT, LONG_PIECES = 2_000_000, 200_000
 _NONE = np.int64(1) << 60
