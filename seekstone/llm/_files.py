@@ -32,11 +32,19 @@ class ArrayWriter:
 
 
 @functools.lru_cache(maxsize=4096)
-def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the shared folder is mounted, else read whole."""
+def _mapped(path: str, dtype: str) -> np.ndarray:
+    return np.memmap(path, dtype=dtype, mode="r")
+
+
+def part(folder: str, name: str, dtype: str, begin: int, n: int) -> np.ndarray:
+    """n numbers of a file from number ``begin``: a view of the memory-mapped file where the shared
+    folder is mounted, else just these bytes, read from the store."""
+    if not n:
+        return np.zeros(0, dtype)
     fs, top = filesystem(folder)
     path = f"{top}/{name}"
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if fs.get_file_info(path).size else np.zeros(0, dtype)
+        return _mapped(path, dtype)[begin : begin + n]
+    size = np.dtype(dtype).itemsize
     with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        return np.frombuffer(f.read_at(n * size, begin * size), dtype)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import bound_batches, new_path, pick, slices, table, written
-from ._files import ArrayWriter, mapped
+from ._files import ArrayWriter, part
 from ._hashing import mix64, word_hashes
 
 #: Hash of the end token; shards (powers of two) of words and of bigrams.
@@ -155,13 +155,13 @@ class Model:
             if r is None:
                 continue
             a, b, begin, n = cuts[s], cuts[s + 1], r["told"][0], r["told"][1]
-            keys = mapped(self.spec["folder"], r["keys"], "<u8")[begin : begin + n]
+            keys = part(self.spec["folder"], r["keys"], "<u8", begin, n)
             at = np.minimum(np.searchsorted(keys, hashes[a:b]), n - 1)
             hit = keys[at] == hashes[a:b]
             place[a:b] = np.where(hit, at + first[s], -1)
             for values, (column, dtype) in zip(out, wanted):
                 start = begin if column == "counts" else r["at"]
-                found = mapped(self.spec["folder"], r[column], dtype)[start : start + n][at]
+                found = part(self.spec["folder"], r[column], dtype, start, n)[at]
                 values[a:b] = np.where(hit, found, 0)
         return place, *out
 
@@ -274,9 +274,9 @@ def _followers(spark: SparkSession, spec: dict) -> tuple[list[dict], list[int]]:
         for batch in batches:
             for s in batch.column(0).to_pylist():
                 r = model.pairs["by"][s]
-                a, b = r["told"][0], r["told"][0] + r["told"][1]
-                key = _unmix(np.asarray(mapped(folder, r["keys"], "<u8")[a:b]))
-                count = np.asarray(mapped(folder, r["counts"], "<i8")[a:b])
+                begin, n_keys = r["told"][:2]
+                key = _unmix(np.asarray(part(folder, r["keys"], "<u8", begin, n_keys)))
+                count = np.asarray(part(folder, r["counts"], "<i8", begin, n_keys))
                 n = np.zeros((2 * len(key), 4), np.int32)
                 n[np.arange(len(key)), np.minimum(count, 3) - 1] = 1
                 n[len(key) :, 3] = 1
@@ -329,8 +329,8 @@ def _finish(spark: SparkSession, spec: dict, followers: list[dict], by_count: li
         told = []
         for batch in batches:
             for r in batch.to_pylist():
-                n = np.asarray(mapped(folder, r["followers"], "<i8")[r["at"] : r["at"] + 4 * r["n"]]).reshape(4, -1)
-                count = np.asarray(mapped(folder, r["counts"], "<i8")[r["begin"] : r["begin"] + r["n"]])
+                n = np.asarray(part(folder, r["followers"], "<i8", r["at"], 4 * r["n"])).reshape(4, -1)
+                count = np.asarray(part(folder, r["counts"], "<i8", r["begin"], r["n"]))
                 told.append({"shard": r["shard"], "gamma": gamma.name, "lower": low.name, "at": gamma.size})
                 gamma.write((by_count[0] * n[0] + by_count[1] * n[1] + by_count[2] * n[2]) / count)
                 less = np.array([0.0, *lower])[np.minimum(n[3], 3)]
@@ -354,7 +354,7 @@ def score(df: DataFrame, spec: dict, column: str = "text") -> DataFrame:
     total, vocabulary = spec["tokens"], spec["vocabulary"]
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
-    def part(model: Model, texts: list) -> tuple[np.ndarray, ...]:
+    def told(model: Model, texts: list) -> tuple[np.ndarray, ...]:
         hashes, sizes = tokens(texts)
         starts = np.cumsum(sizes) - sizes
         if not total:
@@ -376,7 +376,7 @@ def score(df: DataFrame, spec: dict, column: str = "text") -> DataFrame:
             texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
             if not texts:
                 continue
-            n, known, base, log = (np.concatenate(x) for x in zip(*(part(model, texts[a:b]) for a, b in slices(texts))))
+            n, known, base, log = (np.concatenate(x) for x in zip(*(told(model, texts[a:b]) for a, b in slices(texts))))
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
             out = [pa.array(n.astype(_I64)), pa.array(known), pa.array(np.full(len(n), total, _I64)), pa.array(base), pa.array(log), pa.array(np.power(10.0, np.minimum(-log / n, 300.0)))]
             yield pa.RecordBatch.from_arrays([*cols, *out], names=[*[f.name for f in keep], *names])
