@@ -84,8 +84,9 @@ def _jsx(s: str, i: int) -> int:
                 raise ScanError("not an element")
             j += 1
         else:
-            closing, k = s.startswith("</", j), j + 1
-            while k < len(s) and s[k] != ">":
+            closing, k, generic = s.startswith("</", j), j + 1, 0
+            while k < len(s) and (s[k] != ">" or generic):
+                generic += (s[k] == "<") - (s[k] == ">")  # type arguments of a component
                 if s[k] in "\"'":
                     at = s.find(s[k], k + 1)
                     if at < 0:
@@ -229,7 +230,7 @@ def statements(source: str, tokens: list[Token]) -> list[Node]:
                         break
                 continue
             i, prev = i + 1, t
-            if t.text == ";" and t.kind == "punct":
+            if t.text == ";" and t.kind == "punct" and not (tokens[begin].text == "if" and i < len(tokens) and tokens[i].text == "else"):
                 break
         end = i
         while end > begin + 1 and tokens[end - 1].kind == "comment":
@@ -441,6 +442,9 @@ class _File:
                     break
                 if t.kind == "punct" and t.text in _OPEN:
                     j = close_of(tokens, i)
+                    if t.text == "{" and prev is not None and prev.text == "static" and i == begin + 1:
+                        i = j + 1  # a static block
+                        break
                     body = t.text == "{" and params and not assigned and prev.text not in (":", "|", "&")
                     params = params or (t.text == "(" and not (i > begin and tokens[i - 1].text.startswith("@")))
                     i, prev = j + 1, tokens[j]

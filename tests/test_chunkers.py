@@ -144,6 +144,38 @@ def test_typescript_and_jsx():
         ScriptChunker("ruby")
 
 
+def test_script_oddities():
+    source = """'use strict'
+methods.forEach(function (m) {
+  app[m] = function (path) { return /a"b/.test(path) };
+});
+do { a++ } while (a < 3)
+switch (a) { case 1: break; default: b() }
+export { a, b as c };
+export default async function main() { await x }
+let n = a / b / c;
+(async () => { await 1 })();
+class A { #p = 1; static { init() } async *gen() { yield 1 } 'str'() {} [Symbol.iterator]() {} }
+if (a) b(); else c()
+x = y
+++z
+"""
+    found = chunks(".js", source)
+    assert [c.qualified_name for c in found[:-1]] == ["main", "A.gen", "A.'str'", "A.[Symbol.iterator]", "A"]
+    assert found[-1].code_text.split("\n")[-3:] == ["if (a) b(); else c()", "x = y", "++z"]
+    view = chunks(".tsx", """enum E { A, B }
+export default function App<T extends {}>({ a }: Props<T>): JSX.Element {
+  const [s, set] = useState<string | null>(null);
+  return (<><Foo<T> x={a} onClick={() => set("}")} /> it's {s && <b>{`${s}`}</b>} </>);
+}
+export abstract class Base { abstract foo(): void; bar(): void {} }
+export const useX = function <T>(x: T) { return x };
+export interface P extends Q { a: () => void, b: string }
+""")
+    assert [(c.qualified_name, c.kind) for c in view] == [("App", "function"), ("useX", "function"), ("P", "class"), ("name.tsx:module:1-6", "module_block")]
+    assert one(view, "P").code_text == "interface P {\n  a: () => void\n  b: string\n}"
+
+
 MD = """intro
 
 # A
