@@ -43,17 +43,24 @@ SKETCH_BITS = 1024
 EDGES_A_FILE = 100_000
 #: Classes of a bucket that each of its classes is held against at once; larger buckets take rounds.
 CENTRES = 256
-#: Places of the circulant permutation.
-PLACES_LOG = 22
+#: Places of the circulant permutation, and coordinates that are made at once at most.
+PLACES_LOG, MOST_SHIFTS = 22, 8192
 _SIGMA = stream64(2, 21)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
+
+
+@functools.lru_cache(maxsize=1)
+def _circle() -> np.ndarray:
+    """The permutation pi, and its beginning once more."""
+    rng = np.random.default_rng(23)
+    pi = np.arange(1 << PLACES_LOG, dtype=np.int32)
+    rng.shuffle(pi)
+    return np.concatenate([pi, pi[: MOST_SHIFTS - 1]])
 
 
-@functools.lru_cache(maxsize=2)
 def _shifts(k: int) -> np.ndarray:
-    """Row i: the values that place i has in pi shifted by 0 to k - 1 (a view of one array)."""
-    pi = np.random.default_rng(23).permutation(1 << PLACES_LOG).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: k - 1]]), k)
+    """Row i: the values that place i has in pi shifted by 0 to k - 1 (a view, whatever k)."""
+    return np.lib.stride_tricks.sliding_window_view(_circle(), k)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -251,7 +258,8 @@ def _within(left: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFr
 
 def fine_rows(percent: int) -> int:
     """Rows of a band of the second dealing, as many as FINE_LOSS allows."""
-    return max(1, int(np.log(1 - FINE_LOSS ** (1 / FINE_BANDS)) / np.log(percent / 100)))
+    most = MOST_SHIFTS // FINE_BANDS
+    return most if percent >= 100 else min(most, max(1, int(np.log(1 - FINE_LOSS ** (1 / FINE_BANDS)) / np.log(percent / 100))))
 
 
 def _fine(sets: DataFrame, percent: int) -> DataFrame:
