@@ -27,7 +27,7 @@ from ._common import bound_batches, pack, pick, table
 #: Pieces of up to so many bytes are merged in columns.
 COLUMN_BYTES = 32
 #: Pieces in one block of columns; entries that a worker's cache holds before it is emptied.
-BLOCK, CACHE = 16_384, 600_000
+BLOCK, CACHE = 16_384, 400_000
 #: Texts longer than this are split into pieces a part at a time.
 LONG_TEXT, LONG_PIECES = 2_000_000, 200_000
 _NONE = np.int64(1) << 60
@@ -258,9 +258,12 @@ def encode(df: DataFrame, column: str = "text", path: str | None = None, pattern
 
     def run(batches):
         c = codec(vocab.value, pattern)
-        for batch in batches:
-            ids = pa.array(c.encode(batch.column(1).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["__row", "ids"])
+        try:
+            for batch in batches:
+                ids = pa.array(c.encode(batch.column(1).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["__row", "ids"])
+        finally:
+            c.cache.clear()  # the worker may go on to other stages
 
     row_type = packed.schema["__row"].dataType.simpleString()
     out = packed.mapInArrow(run, f"__row {row_type}, ids binary")
