@@ -84,7 +84,7 @@ def _direction(x: list[tuple[float, float]]) -> list[float]:
     (a1, b1), (a2, b2), (a3, b3) = x
     u = [a2 * b3 - a3 * b2, a3 * b1 - a1 * b3, a1 * b2 - a2 * b1]
     if not any(u):  # the constraints are one: two units suffice
-        return [b2, -b1, 0.0] if b1 or b2 else [1.0, -1.0, 0.0]
+        return [b2, -b1, 0.0] if b1 or b2 else [a2, -a1, 0.0]
     return u
 
 
