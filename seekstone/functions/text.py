@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as Python splits at it (Java's \s, with or without (?U), is another set).
 SPACE = r"[\s\x0b\x1c-\x1f\x85   -     　]"
+_RARE = "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 #: Line ends as Python's splitlines sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -16,7 +17,8 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 def token_count(text: Column) -> Column:
     """Number of white-space separated tokens."""
-    return F.regexp_count(text, F.lit(NOT_SPACE + "+"))
+    plain = F.translate(text, _RARE, " " * len(_RARE))  # then a class of ASCII characters will do
+    return F.regexp_count(plain, F.lit(r"[^ \t\n\x0b\f\r]+"))
 
 
 def lines(text: Column) -> Column:
