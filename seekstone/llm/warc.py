@@ -5,7 +5,10 @@ dictionary, itself compressed; each record is one frame compressed with it. The
 a dictionary for each archive on its first records and names no dictionary in files too small for
 training; the reader takes archives with and without a dictionary, raw or compressed, decodes
 frame by frame, and checks the magic, the headers that every record needs, lengths, separators and
-payload digests.
+payload digests. Pages are responses and revisits; the standard's other records (warcinfo, request,
+metadata and so on) are checked as records and passed over. A response without a SHA-1 digest gets
+one; transfer encodings are left as they are. Files are opened without pyarrow's own decompression,
+which would take an archive for one stream.
 
 Payloads that are equal and have ``LEAST_REVISIT`` bytes at least are stored once, with the
 largest page_id; the others become revisit records (identical-payload-digest) that refer to it.
@@ -41,6 +44,8 @@ TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES = 200, 4 << 20, 32 << 10
 MOST_BYTES = 2 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: The standard's record types that hold no page.
+NO_PAGES = {"warcinfo", "request", "metadata", "resource", "conversion", "continuation"}
 
 
 def record_id(page_id: int | None) -> str:
@@ -157,10 +162,12 @@ def _page(urn: str | None) -> int | None:
 
 def read_pages(f) -> Iterator[dict]:
     """page_id, url, record_type, refers_to, payload (None in revisits), payload_bytes and
-    payload_digest (hex) of an archive's records; lengths and digests are checked."""
+    payload_digest (hex) of an archive's pages; lengths and digests are checked."""
     for raw in frames(f):
         record = parse_record(raw)
         fields, block = record["fields"], record["block"]
+        if fields["warc-type"] in NO_PAGES:
+            continue
         http, gap, payload = block.partition(b"\r\n\r\n")
         lines = http.decode("latin-1").split("\r\n")
         if not gap or not lines[0].startswith("HTTP/"):
@@ -168,11 +175,12 @@ def read_pages(f) -> Iterator[dict]:
         size = next((int(v) for k, _, v in (x.partition(":") for x in lines[1:]) if k.lower() == "content-length"), None)
         kind = fields["warc-type"]
         kept = kind == "response"
-        digest = fields.get("warc-payload-digest", "")
-        if kind not in ("response", "revisit") or not digest.startswith("sha1:"):
-            raise ValueError(f"a record of type {kind} with digest {digest[:8]}")
-        sha1 = base64.b32decode(digest[5:])
-        if kept and (size not in (None, len(payload)) or hashlib.sha1(payload).digest() != sha1):
+        name, _, digest = fields.get("warc-payload-digest", "").partition(":")
+        if kind not in ("response", "revisit") or (name.lower() != "sha1" and not kept):
+            raise ValueError(f"a record of type {kind} with digest {name[:8]}")
+        own = hashlib.sha1(payload).digest()
+        sha1 = own if name.lower() != "sha1" else bytes.fromhex(digest) if len(digest) == 40 else base64.b32decode(digest)
+        if kept and (size not in (None, len(payload)) or own != sha1):
             raise ValueError(f"record {fields['warc-record-id']}: its payload has another length or digest")
         yield {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")), "payload": payload if kept else None, "payload_bytes": len(payload) if kept else size, "payload_digest": sha1.hex()}
 
@@ -219,7 +227,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                 return
             counted = [len(first)]
             name = f"{top}/{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(name) as out:
+            with fs.open_output_stream(name, compression=None) as out:
                 counter = _Counter(out)
 
                 def more(counter=counter, counted=counted):
@@ -265,7 +273,7 @@ def read(spark: SparkSession, folder: str, index: DataFrame | None = None) -> Da
         for batch in batches:
             for name, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n, held, size = 0, [], 0
-                with fs.open_input_stream(f"{top}/{name}") as f:
+                with fs.open_input_stream(f"{top}/{name}", compression=None) as f:
                     for r in read_pages(f):
                         n += 1
                         held.append(r)

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import os
 import struct
 
 import pytest
@@ -79,3 +80,43 @@ def test_damage():
     for record in bad:
         with pytest.raises(ValueError):
             list(warc.read_pages(io.BytesIO(archive([record]))))
+
+
+def test_bytes_on_disk(spark, tmp_path):
+    """Files begin with the dictionary's frame, and each record is a frame of its own."""
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"<html>{i} " + f"{i} word " * 200) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    index = warc.write_archives(warc.planned(df).coalesce(1), str(tmp_path)).collect()
+    assert sum(r["records"] for r in index) == 300
+    for r in index:
+        raw = (tmp_path / r["file"]).read_bytes()
+        magic, size = struct.unpack("<II", raw[:8])
+        assert magic == 0x184D2A5D
+        found = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(raw[8 : 8 + size]))
+        rest, n = raw[8 + size :], 0
+        while rest:
+            assert rest[:4] == b"\x28\xb5\x2f\xfd"
+            one = zstandard.ZstdDecompressor(dict_data=found).decompressobj()
+            assert one.decompress(rest).startswith(b"WARC/1.1\r\n")
+            rest, n = one.unused_data, n + 1
+        assert n == r["records"]
+
+
+def foreign(kind, block, *more, mime="application/http; msgtype=response"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0d4f3c1e-0000-4000-8000-000000000000>", "WARC-Date: 2020-05-01T10:00:00Z", f"Content-Type: {mime}", f"Content-Length: {len(block)}", *more]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archive(spark, tmp_path):
+    """An archive made by zstandard alone, with a dictionary, warcinfo and requests, through read()."""
+    bodies = [b"<html>page %d</html>" % i + os.urandom(50) for i in range(40)]
+    records = [foreign("warcinfo", b"software: other\r\n", mime="application/warc-fields")]
+    for i, b in enumerate(bodies):
+        digest = [f"WARC-Payload-Digest: sha1:{hashlib.sha1(b).hexdigest()}"] if i % 2 else []
+        records.append(foreign("request", b"GET / HTTP/1.1\r\n\r\n", mime="application/http; msgtype=request"))
+        records.append(foreign("response", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + b, f"WARC-Target-URI: http://f/{i}", *digest))
+    found = zstandard.train_dictionary(4096, records)
+    packer = zstandard.ZstdCompressor(dict_data=found, write_content_size=False)
+    raw = found.as_bytes()
+    (tmp_path / "a.warc.zst").write_bytes(struct.pack("<II", 0x184D2A5D, len(raw)) + raw + b"".join(map(packer.compress, records)))
+    got = {r["url"]: r for r in warc.read(spark, str(tmp_path)).collect()}
+    assert len(got) == 40 and all(bytes(got[f"http://f/{i}"]["payload"]) == b and got[f"http://f/{i}"]["payload_digest"] == hashlib.sha1(b).hexdigest() for i, b in enumerate(bodies))
