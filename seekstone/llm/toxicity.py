@@ -1,11 +1,11 @@
 """Toxicity by noisy-channel deobfuscation and a classifier on the restored text.
 
 1. A character model (interpolated 4-grams over 28 symbols) is counted over all texts.
-2. In a text, spans that may be written to deceive - symbols inside words, letters repeated three
-   times or more, letters spaced out - become character lattices: a symbol may stand for letters
-   it looks like, a run for one letter or two, a gap for nothing. The Viterbi path under the
-   model, with the channel's costs, is the restored span. Text outside such spans has one reading
-   only, itself.
+2. In a text, spans that may be written to deceive - symbols before or after a letter, letters
+   repeated three times or more, three or more letters and symbols spaced out - become character
+   lattices: a symbol may stand for letters it looks like, a run for one letter or two, a gap for
+   nothing. The Viterbi path under the model, with the channel's costs, is the restored span; every
+   context is kept, so it is the best one. Text outside such spans has one reading only, itself.
 3. A logistic regression over words and word beginnings of the restored texts, chosen by their
    association with the label, scores each text. It is fitted on at most ``SAMPLE`` labelled
    rows; labels of held-out rows (crc32 of doc_id mod 5 is 0) are never read.
@@ -38,18 +38,22 @@ LEAST_TEXTS, LEAST_RATIO, LEAST_CHI = 5, 3.0, 15.0
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "×": "x"}
 #: Natural logarithms of the channel's probabilities.
 SYMBOL_COST, SYMBOL_KEPT, REPEAT_COST, GAP_COST = -1.0, -2.0, -0.5, -0.5
-BEAM = 24
 ORDER, SYMBOLS = 4, 32
 _OTHER_LETTER = 27
 
+_LETTER, _SYM, _GAP = r"[^\W\d_]", re.escape("".join(LOOKS_LIKE)), r"[ .\-_*]"
+_EITHER = rf"(?:{_LETTER}|[{_SYM}])"
 _SPANS = re.compile(
-    r"(?<!\S)[^\W\d_](?:([ .\-_*])[^\W\d_](?=\1|(?!\S)))(?:\1[^\W\d_](?=\1|[\s.,;:!?]|$)){2,}"  # s p a c e d
-    r"|\S*[0-9@$!|+(€£¡×]+[^\W\d_]\S*"  # symbols before a letter
-    r"|\S*([^\W\d_])\2\2\S*"  # rrrepeats
+    rf"(?<!\S){_EITHER}(?:({_GAP}){_EITHER}(?=\1))(?:\1{_EITHER}(?=\1|[\s.,;:!?]|$))+"  # s p a c 3 d
+    r"|(?<![^\s.,;:!?\-_*])(?:"
+    rf"(?=[^\s{_SYM}]*+[{_SYM}])(?=\S*(?:[{_SYM}]{_LETTER}|{_LETTER}[{_SYM}]))\S+"  # symbols beside a letter
+    rf"|(?=\S*({_LETTER})\2\2)\S+)"  # rrrepeats
 )
+_SPACED = re.compile(rf"{_LETTER}{_GAP}{_LETTER}{_GAP}|{_EITHER}(?:{_GAP}{_EITHER})+\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=4096)
 def _symbol(ch: str) -> int:
     """0 for what isn't a letter, 1 to 26 for a-z with or without marks, else 27."""
     if not ch.isalpha():
@@ -130,35 +134,36 @@ def _edges(s: str, i: int, spaced: bool) -> list[tuple[str, int, float]]:
             out.append((letter, run, SYMBOL_COST + REPEAT_COST))
     if spaced and ch in " .-_*":
         out.append(("", i + 1, GAP_COST))
-    out.append((" ", i + 1, SYMBOL_KEPT if out else 0.0))
+    kept = ch if ch.isdecimal() or not ch.isalnum() else " "
+    out.append((kept, i + 1, SYMBOL_KEPT if out else 0.0))
+    if run > i + 1 and ch in LOOKS_LIKE:  # !!! or 000 is kept as one
+        out.append((kept * (run - i), run, SYMBOL_KEPT + REPEAT_COST))
     return out
 
 
 def restore(span: str, model: np.ndarray) -> str:
-    """The likeliest reading of a span (lower case) by Viterbi search with a beam."""
-    spaced = bool(re.match(r"[^\W\d_][ .\-_*][^\W\d_][ .\-_*]", span))
-    beams: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(len(span) + 1)]
-    beams[0][0] = (0.0, ())
+    """The likeliest reading of a span (lower case) by Viterbi search over all contexts."""
+    spaced, look = bool(_SPACED.match(span)), memoryview(model)
+    states: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(len(span) + 1)]
+    states[0][0] = (0.0, ())
     for i in range(len(span)):
-        here = beams[i]
-        if len(here) > BEAM:
-            here = dict(sorted(here.items(), key=lambda x: -x[1][0])[:BEAM])
+        here = states[i]
         if not here:
             continue
         for letters, nxt, cost in _edges(span, i, spaced):
             codes = [_symbol(c) for c in letters]
-            into = beams[nxt]
+            into = states[nxt]
             for context, (score, path) in here.items():
                 score += cost
                 for c in codes:
                     if c or context & 31:  # a second 0 in a row costs nothing
-                        score += float(model[context << 5 | c])
+                        score += look[context << 5 | c]
                         context = (context << 5 | c) & 0x7FFF
                 old = into.get(context)
                 if old is None or score > old[0]:
                     into[context] = (score, (path, letters))
-        beams[i] = {}
-    ends = [(score + (float(model[context << 5]) if context & 31 else 0.0), path) for context, (score, path) in beams[-1].items()]
+        states[i] = {}
+    ends = [(score + (look[context << 5] if context & 31 else 0.0), path) for context, (score, path) in states[-1].items()]
     _, path = max(ends, key=lambda x: x[0])
     parts = []
     while path:
@@ -177,6 +182,8 @@ def restored(text: str | None, model: np.ndarray, cache: dict[str, str] | None =
 
     def one(m: re.Match) -> str:
         span = m.group()
+        if m[1] and not _WORDS.search(span):  # 1 2 3 holds no word
+            return span
         found = cache.get(span)
         if found is None:
             found = "".join(restore(span[i : i + LONG_SPAN], model) for i in range(0, len(span), LONG_SPAN))

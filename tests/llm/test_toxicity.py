@@ -59,3 +59,49 @@ def test_no_labels_and_awkward(spark, scorer):
     assert tox.score(tox.pick(empty(spark), "doc_id long", "text string"), scorer).count() == 0
     assert tox.train(tox.pick(empty(spark), "doc_id long", "text string"), spark.createDataFrame([], "doc_id long, label int")).weights == {}
     assert tox.restored("z1" * 500, scorer.model)
+
+
+def test_symbols_at_the_end_and_spaced(scorer):
+    """Symbols at a word's end, spaced symbols, and three spaced letters are decoded; plain punctuation and figures are left."""
+    for span, plain in {"idi0+": "idiot", "1d107": "idiot", "i d 1 0 t": "idiot", "5 t u p 1 d": "stupid", "c-l-0-w-n": "clown"}.items():
+        assert tox.restored(span, scorer.model) == plain
+        assert scorer.score(f"{words(7, 30)} {span} and {span} {words(8, 30)}") >= 0.5
+    counts = np.zeros(32**4, np.int64)
+    for w in [" ass ", " you are "] * 50:
+        c = tox.symbols(w)
+        c = np.concatenate([[0, 0], c])
+        np.add.at(counts, c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:], 1)
+    model = tox.character_model(counts)
+    assert [tox.restored(t, model) for t in ("you a$$", "a s s", "you a $ s")] == ["you ass", "ass", "you ass"]
+    for plain in ("idiot!!!!!!!!", "1 2 3 4", "words! 1999", "clown?"):
+        assert tox.restored(plain, scorer.model) == plain
+
+
+def test_exact_path():
+    """The path found is the best of all readings, counted one by one; there is no beam."""
+    look = np.random.default_rng(1).uniform(-12, 0, tox.SYMBOLS**tox.ORDER).astype(np.float32)
+
+    def cost_of(parts):
+        context, score = 0, 0.0
+        for letters, cost in parts:
+            score += cost
+            for c in map(tox._symbol, letters):
+                if c or context & 31:
+                    score += float(look[context << 5 | c])
+                    context = (context << 5 | c) & 0x7FFF
+        return score + (float(look[context << 5]) if context & 31 else 0.0)
+
+    def readings(span, spaced, i=0):
+        if i == len(span):
+            yield ()
+        for letters, nxt, cost in tox._edges(span, i, spaced) if i < len(span) else ():
+            for rest in readings(span, spaced, nxt):
+                yield ((letters, cost), *rest)
+
+    rng = random.Random(5)
+    assert not hasattr(tox, "BEAM")
+    for span in [*("".join(rng.choice("61|") for _ in range(7)) for _ in range(30)), *("".join(rng.choice("16|!0ab") for _ in range(5)) for _ in range(30)), *(" ".join(rng.choice("16!0ab") for _ in range(3)) for _ in range(20))]:
+        spaced = bool(tox._SPACED.match(span))
+        best = max(map(cost_of, readings(span, spaced)))
+        found = [p for p in readings(span, spaced) if "".join(x for x, _ in p) == tox.restore(span, look)]
+        assert max(map(cost_of, found)) == pytest.approx(best)
