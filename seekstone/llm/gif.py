@@ -39,6 +39,9 @@ def _widths(min_size: int) -> np.ndarray:
 
 _WIDTHS = {m: _widths(m) for m in range(1, 12)}
 _OFFSETS = {m: np.concatenate([[0], np.cumsum(w)]) for m, w in _WIDTHS.items()}
+#: Bits of codes with a full table, and where each begins, a block of them at a time.
+_FULL = np.full(_MAX_CODES * 2, 12)
+_FULL_OFFSETS = np.arange(len(_FULL) + 1) * 12
 
 
 def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
@@ -86,21 +89,26 @@ def _codes(stream: bytes, min_size: int):
     """The codes between clear codes, a list for each such part, up to the end code."""
     clear = 1 << min_size
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
-    total, at, offsets, widths = len(stream) * 8, 0, _OFFSETS[min_size], _WIDTHS[min_size]
+    total, at = len(stream) * 8, 0
     while True:
-        n = min(int(np.searchsorted(offsets, total - at, "right")) - 1, len(widths))
-        if n <= 0:
-            raise ValueError("a code stream ends without its end code")
-        bit = at + offsets[:n]
-        byte = bit >> 3
-        code = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (bit & 7)) & ((1 << widths[:n]) - 1)
-        stops = np.flatnonzero((code == clear) | (code == clear + 1))
-        if not stops.size:
+        parts = []
+        while True:  # after the first block the table is full, and codes have all their bits
+            widths, offsets = (_WIDTHS[min_size], _OFFSETS[min_size]) if not parts else (_FULL, _FULL_OFFSETS)
+            n = min(int(np.searchsorted(offsets, total - at, "right")) - 1, len(widths))
+            if n <= 0:
+                raise ValueError("a code stream ends without its end code")
+            bit = at + offsets[:n]
+            byte = bit >> 3
+            code = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (bit & 7)) & ((1 << widths[:n]) - 1)
+            stops = np.flatnonzero((code == clear) | (code == clear + 1))
+            if stops.size:
+                break
             if n < len(widths):
                 raise ValueError("a code stream ends without its end code")
-            raise ValueError("a code stream runs on with a full table beyond the reader's bound")
+            parts.append(code)
+            at += int(offsets[n])
         stop = int(stops[0])
-        yield code[:stop]
+        yield np.concatenate([*parts, code[:stop]]) if parts else code[:stop]
         if code[stop] == clear + 1:
             return
         at += int(offsets[stop] + widths[stop])

@@ -42,6 +42,26 @@ def test_lzw():
             assert gif.lzw_decode(packed, 8) == data == codes_by_the_book(packed, 8)
 
 
+def deferred(codes, min_size, end=True):
+    """Codes packed with one clear code at the start only."""
+    value, at, n = 1 << min_size, min_size + 1, 0
+    for c in codes + [(1 << min_size) + 1] * end:
+        width = max(min_size + 1, min((1 << min_size) + 2 + max(n - 1, 0), 4095).bit_length())
+        value, at, n = value | c << at, at + width, n + 1
+    return value.to_bytes(-(-at // 8), "little")
+
+
+def test_full_table():
+    """Codes run on with a full table beyond any bound, up to a clear code or the end."""
+    rng = random.Random(2)
+    for n in (8191, 8192, 8193, 16_384, 20_000):
+        codes = [rng.randrange(256) for _ in range(5000)] + [rng.choice((rng.randrange(256), rng.randrange(258, 4096))) for _ in range(n - 5000)]
+        packed = deferred(codes, 8)
+        assert gif.lzw_decode(packed, 8) == codes_by_the_book(packed, 8)
+        with pytest.raises(ValueError):
+            gif.lzw_decode(deferred(codes, 8, end=False), 8)
+
+
 def picture(frames, palette=((0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255)), size=(2, 2)):
     out = [b"GIF89a", struct.pack("<HHBBB", *size, 0x81, 0, 0), b"".join(map(bytes, palette))]
     for (left, top, w, h), pixels, disposal, clear, interlaced in frames:
