@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import all_of, bound_batches, pack, pick, slices, table, unpack, written
+from ._common import ROW, all_of, bound_batches, pack, pick, slices, table, unpack, written
 from ._hashing import mix64, stream64, word_hashes
 
 BANDS, ROWS = 25, 5
@@ -317,17 +317,22 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_shingles, component_id and kept of every row."""
+    return _grouped(docs, width, percent).drop("label")
+
+
+def _grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """As :func:`groups`, with a label of each component, also of those without any doc_id."""
     bound_batches(docs.sparkSession)
     sketched = sketches(docs, width)
     links = _links(docs, sketched, width, percent)
     ids = sketched.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     ids = _labelled(ids, links)
     whole = ids.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = ids.join(whole, "label").select(F.col("fp").alias("__fp"), "component_id")
+    ids = ids.join(whole, "label").select(F.col("fp").alias("__fp"), "component_id", "label")
     rows = sketched.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "fp")
     joined = rows.join(ids, F.col("fp") == F.col("__fp"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "label")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,12 +340,26 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows kept, unchanged (five-word shingles, similarity 0.8)."""
-    gone = groups(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    """Pipeline stage: the rows kept, unchanged (five-word shingles, similarity 0.8).
+
+    Of a component without any doc_id, the row of the least text hash stays, and of rows that
+    share it the least as JSON. Rows that repeat a doc_id and its text stay or go together.
+    """
+    told = written(_grouped(docs), "minhash-groups")
+    nameless = told.where("component_id is null and n_shingles > 0")
+    chosen = written(nameless.groupBy("label").agg(F.min("text_key").alias("least")), "minhash-nameless")
+    none = chosen.isEmpty()
+    gone = told.where("not kept" if none else "not kept or (component_id is null and n_shingles > 0)")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     packed, names = pack(docs, "doc_id long", "text string")
     packed = packed.withColumn("__h", F.xxhash64("text")).drop("text")
     on = (F.col("__h") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return unpack(packed.join(gone, on, "left_anti"), names)
+    kept = packed.join(gone, on, "left_anti")
+    if none:
+        return unpack(kept, names)
+    one = packed.where("doc_id is null").join(chosen, F.col("__h") == F.col("least"), "left_semi")
+    one = one.groupBy("__h").agg(F.min_by(ROW, F.to_json(ROW)).alias(ROW))
+    return unpack(kept.select(ROW).union(one.select(ROW)), names)
 
 
 _SQL = r"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seekstone.llm import minhash
 
-from .common import awkward, docs, empty
+from .common import awkward, docs, empty, words
 
 
 def shingles(text, width):
@@ -109,3 +109,16 @@ def test_awkward(spark):
     assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in nulls if r["n_shingles"]) == [(118, 1, False)]
     out = minhash.stage(spark, df, "")
     assert out.columns == df.columns and out.count() == df.count() - 4 and minhash.stage(spark, empty(spark), "").count() == 0
+
+
+def test_stage_keeps_one_of_each_group_without_ids(spark):
+    """Groups without any doc_id keep one row, the same in whatever order the rows come; others keep theirs."""
+    a, b = words(71, 120), words(72, 120)
+    rows = [(None, a, "x"), (None, a, "y"), (None, a + " tail", "z"), (None, b, "u"), (None, b, "u"), (5, words(73, 120), "k"), (None, words(73, 120), "l"), (None, "", "e"), (None, "", "e")]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        out = minhash.stage(spark, spark.createDataFrame(order, "doc_id long, text string, other string"), "").collect()
+        texts = sorted((r["doc_id"] or 0, r["text"][:20], r["other"]) for r in out)
+        assert [sum(r["text"].startswith(t) for r in out) for t in (a, b)] == [1, 1] and len(out) == 5 and any(r["doc_id"] == 5 for r in out)
+        seen.add(tuple(texts))
+    assert len(seen) == 1
