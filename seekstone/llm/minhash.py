@@ -4,16 +4,28 @@ A text's set is its distinct word shingles as 64-bit hashes (fewer words than a
 whole sequence as one). Signatures use two permutations: sigma sends each shingle to one of D
 places, and coordinate k is the least value of pi, shifted circularly by k, over those places.
 Texts with equal sets are one class. Bands of signature coordinates deal the classes to buckets.
-In each bucket every class is compared with one centre (the class that shares most buckets, as
-an original does with its copies). Those that have no link to it are dealt again, by many long
-bands of coordinates of their own that unlinked classes hardly share; in these buckets each class
-is held against a bounded number of others a round, until no bucket has two left, and those pairs
-are compared whose bit sketches allow a link. As Jaccard distance
-is a metric, a class that failed with a centre can link to one that passed only if both lie near
-the limit, and just such pairs of different components are compared as well; so no link between
-members of a bucket is lost, and no large bucket's pairs are all made. All links are confirmed on whole sets. At similarity 0.85 a
-linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), none of the second dealing
-with 2e-6, and is refused by its sketches with 3e-7.
+In each bucket every class is compared with one centre only (the best by rank: the class that
+shares most buckets, as an original does with its copies), so the pairs made are as many as the
+rows of buckets, not their square. Two classes that both link to the centre are joined by it.
+Members of buckets that may hold further links are compared with their bucket's hub, the best
+centre that any member has in any of its buckets, so a whole family meets one hub; those pairs
+that a star can still hold are found by how its members differ from the hub:
+
+* Two members that link, one of which failed, have an added shingle (one that the hub lacks) in
+  common, among the first (1 - limit) * size + 1 of each in the order of hashes: a class that
+  shares much of the other but little of the hub shares many added ones (a prefix filter).
+* Or they have none in common. Then one is smaller than the hub by more than the other lacks to
+  the limit, and any few of the shingles that it lacks hold one that the other lacks as well.
+
+Both are exact. Members that share such a shingle make a new bucket; independent edits of one
+original share none, so large families end here. Members so far from the hub that no member linked
+to it can be linked with them are
+dealt by many long bands instead. In the new buckets a bounded number of classes a round (of those
+that failed with the hub) are compared with all others that aren't in their component, the best
+first, until none is left whose bucket has several components: a bucket whose classes neither
+link nor differ in what they share is the one thing that can take pairs by its square. All links
+are confirmed on whole sets. At similarity 0.85 a
+linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), and no long band with 2e-6.
 
 Defined cases: null and empty texts have no set, and stay; rows without doc_id link like others,
 but a component's id is its least doc_id, and null only if it has none; a row is kept if its
@@ -30,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import ROW, all_of, bound_batches, pack, pick, slices, table, unpack, written
 from ._hashing import mix64, stream64, word_hashes
@@ -37,12 +50,12 @@ from ._hashing import mix64, stream64, word_hashes
 BANDS, ROWS = 25, 5
 #: Bands of the second dealing, whose rows follow from the limit, and the chance that it loses a link.
 FINE_BANDS, FINE_LOSS = 180, 2e-6
-#: Bits of the sketches that tell which pairs are worth a comparison.
-SKETCH_BITS = 1024
 #: Edges of components in one file, about.
 EDGES_A_FILE = 100_000
-#: Classes of a bucket that each of its classes is held against at once; larger buckets take rounds.
-CENTRES = 256
+#: Classes of a bucket that are compared with all others of it at once, after the first stars.
+LEADS = 16
+#: Members of a star that one task compares, about: larger stars' centres go to several.
+STAR_ROWS = 512
 #: Places of the circulant permutation, and coordinates that are made at once at most.
 PLACES_LOG, MOST_SHIFTS = 22, 8192
 _SIGMA = stream64(2, 21)
@@ -98,26 +111,6 @@ def signature(shingles: np.ndarray, k: int = BANDS * ROWS, start: int = 0) -> np
     return best
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """The lowest bits of SKETCH_BITS coordinates that no band uses, as 64-bit integers."""
-    bits = signature(shingles, SKETCH_BITS, 1 << 20) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def least_matches(percent: int) -> int:
-    """Equal bits that two sketches have at least if their sets meet the limit, five standard
-    deviations below their expectation (a link falls below it with probability 3e-7)."""
-    p = (1 + percent / 100) / 2
-    return int(SKETCH_BITS * p - 5 * np.sqrt(SKETCH_BITS * p * (1 - p)))
-
-
-def _plausible(x: Column, y: Column, percent: int) -> Column:
-    """Whether two sketches may belong to linked sets; part of a join's condition, so that the
-    join makes no other pairs."""
-    differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, d: n + d)
-    return differ <= SKETCH_BITS - least_matches(percent)
-
-
 def bucket_keys(signatures: np.ndarray, bands: int, seed: int) -> np.ndarray:
     """64-bit keys of the bands, one row a signature."""
     parts = signatures.astype(np.uint64).reshape(len(signatures), bands, -1)
@@ -147,7 +140,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """fp, set (sorted hashes as bytes) and bits (sketch) of the classes ``wanted`` (fp, doc_id, text_key)."""
+    """fp and set (sorted hashes as bytes) of the classes ``wanted`` (fp, doc_id, text_key)."""
     rows = pick(docs, "doc_id long", "text string").select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("r")
     w = wanted.alias("w")
     on = (F.col("r.text_key") == F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -156,31 +149,70 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            sketches = pa.array([bit_sketch(s).tolist() for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketches], names=["fp", "set", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "set"])
+
+    return written(found.mapInArrow(run, "fp binary, set binary"), "minhash-sets")
 
-    return written(found.mapInArrow(run, "fp binary, set binary, bits array<long>"), "minhash-sets")
 
+def differences(p: np.ndarray, q: np.ndarray, percent: int) -> dict:
+    """How a member's set p stands to its centre's set q (both sorted).
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, near (Jaccard distance) and linked of the pairs (a, b), on whole sets; written."""
+    ``linked``; ``near``: some member linked to the centre may be linked to this one; ``added``: the
+    first shingles that the centre lacks, as many as a link by them can begin in; ``lacks``: the
+    shingles missing of a member that failed, if a link without added ones is possible, and
+    ``few`` of them, those of a smaller member (``gain``, against the others' ``short``).
+    """
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    hit = q[at] == p
+    both = int(hit.sum())
+    union = len(p) + len(q) - both
+    short, gain = percent * union - 100 * both, percent * (len(q) - len(p))
+    least = max(1, -(-percent * len(p) // 100) - both)  # added shingles that any link shares, if any
+    added = p[~hit]
+    few = (gain - 1) // (100 + percent) + 1 if gain > 0 else 0
+    lacks = q[:0]
+    if 100 * both >= percent * len(p) and (short > 0 or few):
+        gone = np.ones(len(q), bool)
+        gone[at[hit]] = False
+        lacks = q[gone]
+    return {
+        "linked": short <= 0, "near": 100 * (union - both) <= 2 * (100 - percent) * union, "short": short, "gain": gain, "few": few,
+        "added": added[: max(0, len(added) - least + 1)], "lacks": lacks if short > 0 else lacks[:few],
+    }
+
+
+_COMPARED = "a binary, b binary, score long, linked boolean, near boolean, short long, gain long, few int, added array<long>, lacks array<long>"
+
+
+def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = False) -> DataFrame:
+    """The pairs (a, b, score) with what :func:`differences` says of them, on whole sets; written.
+
+    A centre's set goes to as many tasks as its star needs. The lists of shingles are filled only
+    if wanted, and for near members.
+    """
+    parts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
+    salts = stars.groupBy("b").agg(F.count("*").alias("n")).select(F.col("b").alias("__b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__salt"), parts.alias("parts"))
+    right = sets.join(salts, F.col("fp") == F.col("__b")).select("__b", "__salt", F.col("set").alias("set_b"))
+    sizes = salts.where("__salt = 0 and parts > 1").select("__b", "parts")
     left = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    salt = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
+    pairs = stars.join(sizes, F.col("b") == F.col("__b"), "left").select("a", "b", "score", salt.alias("salt")).join(left, "a")
+    rows = pairs.join(right, (F.col("b") == F.col("__b")) & (F.col("salt") == F.col("__salt"))).select("a", "b", "score", "set_a", "set_b")
 
     def run(batches):
         for batch in batches:
             told = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                told.append((both, len(p) + len(q) - both))
-            distance = pa.array([1 - i / u for i, u in told], pa.float64())
-            linked = pa.array([100 * i >= percent * u for i, u in told], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), distance, linked], names=["a", "b", "distance", "linked"])
+            for x, y in zip(batch.column(3), batch.column(4)):
+                d = differences(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y)), percent)
+                if not (shingles and d["near"]):
+                    d["added"] = d["lacks"] = d["added"][:0]
+                told.append(d)
+            kinds = {"linked": pa.bool_(), "near": pa.bool_(), "short": pa.int64(), "gain": pa.int64(), "few": pa.int32()}
+            plain = [pa.array([d[k] for d in told], t) for k, t in kinds.items()]
+            lists = [pa.array([d[k].view(np.int64) for d in told], pa.list_(pa.int64())) for k in ("added", "lacks")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *plain, *lists], names=["a", "b", "score", *kinds, "added", "lacks"])
 
-    return written(rows.mapInArrow(run, "a binary, b binary, distance double, linked boolean"), "minhash-verified")
+    return written(rows.mapInArrow(run, _COMPARED), "minhash-verified")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,49 +243,81 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(right, F.col("fp") == F.col("__node"), "left").withColumn("label", F.coalesce("__root", "fp")).drop("__node", "__root")
 
 
-def _mixed(rows: DataFrame, key: str = "bucket") -> DataFrame:
-    """Only the rows of buckets with more than one label."""
-    many = rows.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(F.col(key).alias("__k"))
-    return rows.join(many, F.col(key) == F.col("__k")).drop("__k")
-
-
 def _ranked(rows: DataFrame) -> DataFrame:
-    """Add rank: classes that share buckets with many others come first as centres."""
+    """Add score: classes that share buckets with many others come first as centres."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("__n")).withColumnRenamed("bucket", "__b")
-    score = rows.join(sizes, F.col("bucket") == F.col("__b")).groupBy("fp").agg(F.sum(F.col("__n") - 1).alias("__score"))
-    score = score.withColumnRenamed("fp", "__fp")
-    return rows.join(score, F.col("fp") == F.col("__fp")).select("bucket", "fp", F.struct(F.col("__score").alias("score"), F.col("fp").alias("fp")).alias("rank"))
-
-
-def _first_stars(left: DataFrame) -> DataFrame:
-    """bucket, a, b: every class a of a bucket with its one centre b, the best by rank (written)."""
-    best = left.groupBy("bucket").agg(F.max("rank").alias("best"), F.count("*").alias("n")).where("n > 1")
-    best = best.select(F.col("bucket").alias("__b"), F.col("best.fp").alias("b"))
-    rows = left.join(best, F.col("bucket") == F.col("__b")).where("fp != b")
-    return written(rows.select("bucket", F.col("fp").alias("a"), "b"), "minhash-stars")
-
-
-def _unlinked(stars: DataFrame, compared: DataFrame) -> DataFrame:
-    """fp of the classes that failed with their bucket's centre, where another one did too."""
-    failed = stars.join(compared.where("not linked").select("a", "b"), ["a", "b"])
-    many = failed.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("bucket").alias("__b"))
-    return failed.join(many, F.col("bucket") == F.col("__b"), "left_semi").select(F.col("a").alias("fp")).distinct()
-
-
-def _within(left: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """Plausible pairs (a, b) of buckets' classes with their centres, and the rows left over.
-
-    left: bucket, fp, bits. In buckets of at most CENTRES classes all are centres; in larger ones
-    about as many, drawn by hash, and all others are left for the next round.
-    """
-    n = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "__b")
-    draw = F.shiftrightunsigned(F.xxhash64("fp", F.lit(step)), 12) / F.lit(float(1 << 52))
-    rows = left.join(n, F.col("bucket") == F.col("__b")).select("bucket", "fp", "bits", "n", (draw * F.col("n") < CENTRES).alias("centre"))
-    rows = written(rows, "minhash-rows")
-    centres = rows.where("centre").select(F.col("bucket").alias("__b"), F.col("fp").alias("b"), F.col("bits").alias("__bits"))
-    on = (F.col("bucket") == F.col("__b")) & (~F.col("centre") | (F.col("fp") > F.col("b"))) & _plausible(F.col("bits"), F.col("__bits"), percent)
-    pairs = rows.join(centres, on).select(F.col("fp").alias("a"), "b").distinct()
-    return pairs, rows.where("not centre").select("bucket", "fp", "bits")
+    score = rows.join(sizes, F.col("bucket") == F.col("__b")).groupBy("fp").agg(F.sum(F.col("__n") - 1).alias("score"))
+    return rows.join(score.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp")).select("bucket", "fp", "score")
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """bucket, fp, score, centre (the best of its bucket) and hub (the best of its members' centres); written."""
+    best = rows.groupBy("bucket").agg(F.max(F.struct("score", "fp")).alias("centre"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi")
+    told = rows.join(best.select(F.col("bucket").alias("__b"), "centre"), F.col("bucket") == F.col("__b")).drop("__b")
+    own = told.groupBy("fp").agg(F.max("centre").alias("own")).withColumnRenamed("fp", "__fp")
+    hub = told.join(own, F.col("fp") == F.col("__fp")).groupBy("bucket").agg(F.max("own").alias("hub")).withColumnRenamed("bucket", "__b")
+    out = told.join(hub, F.col("bucket") == F.col("__b"))
+    return written(out.select("bucket", "fp", "score", F.col("centre.fp").alias("centre"), F.col("hub.fp").alias("hub")), "minhash-hubs")
+
+
+def _stars(rows: DataFrame, centre: str) -> DataFrame:
+    """a, b, score (of a): every class a with its ``centre`` b; written."""
+    return written(rows.where(F.col("fp") != F.col(centre)).select(F.col("fp").alias("a"), F.col(centre).alias("b"), "score").distinct(), "minhash-stars")
+
+
+def _unsettled(hubs: DataFrame, compared: DataFrame) -> DataFrame:
+    """The rows of hubs that may hold links with others of their bucket, besides those to its centre."""
+    told = compared.select("a", "b", "linked", "near")
+    rows = hubs.join(told, (F.col("fp") == F.col("a")) & (F.col("centre") == F.col("b"))).drop("a", "b")
+    sums = rows.groupBy("bucket").agg(F.count_if(~F.col("linked")).alias("n_failed"), F.count_if(~F.col("linked") & F.col("near")).alias("n_near"), F.count("*").alias("n"))
+    sums = sums.where("n > 1 and n_failed > 0").withColumnRenamed("bucket", "__b")
+    return rows.join(sums, F.col("bucket") == F.col("__b")).where("n_near > 0 or (n_failed > 1 and not linked)").select("bucket", "fp", "score", "hub")
+
+
+def _open(compared: DataFrame) -> DataFrame:
+    """The members of stars that may hold further links, with far: a star's member is not near."""
+    failed = ~F.col("linked")
+    contained = failed & (F.size("lacks") > 0)
+    told = compared.groupBy("b").agg(
+        F.count_if(failed).alias("n_failed"),
+        F.count_if(failed & F.col("near")).alias("n_near"),
+        F.count("*").alias("n"),
+        F.min(F.when(contained, F.col("short"))).alias("least"),
+        F.max("gain").alias("most"),
+    )
+    told = told.where("n > 1 and n_failed > 0").withColumnRenamed("b", "__b")
+    rows = compared.join(told, F.col("b") == F.col("__b")).where((failed & (F.col("n_failed") > 1)) | (F.col("n_near") > 0))
+    lacks = F.when(failed & (F.col("short") <= F.col("most")), F.col("lacks")).when(F.col("gain") >= F.col("least"), F.slice("lacks", F.lit(1), "few"))
+    return rows.select("a", "b", "score", "linked", "near", (F.col("n_failed") > F.col("n_near")).alias("far"), "n_failed", "added", lacks.alias("lacks"))
+
+
+def _dealt_again(told: DataFrame) -> DataFrame:
+    """bucket, fp, score and lead (it failed) of members that share a shingle in which they differ
+    from the hub."""
+    keys = F.concat("added", F.coalesce("lacks", F.array().cast("array<long>")))
+    rows = told.select(F.col("a").alias("fp"), "score", (~F.col("linked")).alias("lead"), "b", F.explode(keys).alias("key"))
+    return _shared(rows.select(F.xxhash64("b", "key").alias("bucket"), "fp", "score", "lead"))
+
+
+def _several(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """bucket, fp, score, lead, label and n_lead (the bucket's leads) of the buckets with leads and
+    more than one component; written."""
+    rows = _labelled(rows, links)
+    sums = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("lead").alias("n_lead")).where("lo != hi and n_lead > 0")
+    many = sums.select(F.col("bucket").alias("__b"), "n_lead")
+    return written(rows.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp", "score", "lead", "label", "n_lead"), "minhash-rows")
+
+
+def _led(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs a, b, score of the buckets' best leads with members of other components, written;
+    and the rows, these leads no longer leading."""
+    order = Window.partitionBy("bucket").orderBy(F.desc("score"), F.desc("fp"))
+    best = rows.where("lead").withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADS)
+    best = best.select(F.col("bucket").alias("__b"), F.col("fp").alias("b"), F.col("label").alias("__label"))
+    pairs = rows.join(best, (F.col("bucket") == F.col("__b")) & (F.col("label") != F.col("__label")))
+    pairs = pairs.select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"), F.lit(0).cast("long").alias("score")).distinct()
+    rest = rows.where(f"n_lead > {LEADS}").join(best, (F.col("bucket") == F.col("__b")) & (F.col("fp") == F.col("b")), "left")
+    return written(pairs, "minhash-pairs"), rest.select("bucket", "fp", "score", (F.col("lead") & F.col("b").isNull()).alias("lead"))
 
 
 def fine_rows(percent: int) -> int:
@@ -263,23 +327,24 @@ def fine_rows(percent: int) -> int:
 
 
 def _fine(sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, fp of the classes by many long bands of coordinates of their own."""
+    """bucket, fp, score and lead of the classes by many long bands of coordinates of their own."""
     rows = fine_rows(percent)
 
     def run(batches):
         for batch in batches:
             sigs = [signature(np.frombuffer(s.as_buffer(), np.uint64), FINE_BANDS * rows) for s in batch.column(1)]
             keys = bucket_keys(np.array(sigs), FINE_BANDS, 25) if sigs else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k in keys], pa.list_(pa.int64()))], names=["fp", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([k for k in keys], pa.list_(pa.int64()))], names=["fp", "score", "lead", "buckets"])
 
-    keys = sets.select("fp", "set").mapInArrow(run, "fp binary, buckets array<long>")
-    return keys.select("fp", F.explode("buckets").alias("bucket"))
+    keys = sets.select("fp", "set", "score", "lead").mapInArrow(run, "fp binary, score long, lead boolean, buckets array<long>")
+    return keys.select(F.explode("buckets").alias("bucket"), "fp", "score", "lead")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """The rows (bucket, fp) of buckets with two classes at least."""
-    many = dealt.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select(F.col("bucket").alias("__b"))
-    return dealt.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp")
+    """The rows (bucket, fp and more) of buckets with two classes at least, and a lead where there are leads."""
+    lead = F.bool_or("lead") if "lead" in dealt.columns else F.lit(True)
+    told = dealt.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), lead.alias("led")).where("lo != hi and led")
+    return dealt.join(told.select(F.col("bucket").alias("__b")), F.col("bucket") == F.col("__b")).drop("__b")
 
 
 def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
@@ -289,30 +354,21 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     wanted = left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key")
     sets = _sets_of(docs, wanted, width)
 
-    stars = _first_stars(_ranked(left))
-    compared = _verify(stars.select("a", "b").distinct(), sets, percent)
-    again = sets.join(_unlinked(stars, compared), "fp", "left_semi")
-    rest = _shared(written(_fine(again, percent), "minhash-fine")).join(sets.select("fp", "bits"), "fp").select("bucket", "fp", "bits")
-    known, step = [compared], 0
-    while True:
-        pairs, rest = _within(rest, percent, step)
-        known.append(_verify(pairs.join(all_of(known).select("a", "b"), ["a", "b"], "left_anti"), sets, percent))
-        step += 1
-        if rest.isEmpty():
-            break
-    links = components(all_of(known).where("linked").select("a", "b"))
-    # across a first star: one that failed and one that passed, both near the limit, of different components
-    reach = 1 - percent / 100
-    near = compared.where(f"linked or distance <= {2 * reach + 1e-9}").select(F.col("b").alias("star"), F.col("a").alias("fp"), "distance", "linked")
-    near = _mixed(_labelled(near, links), "star").join(sets.select("fp", "bits"), "fp")
-    out, inn = near.where("not linked").alias("f"), near.where("linked").alias("v")
-    on = (F.col("f.star") == F.col("v.star")) & (F.col("f.label") != F.col("v.label")) & (F.col("v.distance") >= F.col("f.distance") - reach - 1e-9)
-    cross = out.join(inn, on & _plausible(F.col("f.bits"), F.col("v.bits"), percent))
-    pairs = cross.select(F.greatest("f.fp", "v.fp").alias("a"), F.least("f.fp", "v.fp").alias("b")).distinct()
-    more = _verify(pairs, sets, percent).where("linked")
-    if more.isEmpty():
-        return links
-    return components(links.toDF("a", "b").union(more.select("a", "b")))
+    hubs = _hubs(_ranked(left))
+    first = _verify(_stars(hubs, "centre"), sets, percent)
+    second = _verify(_stars(_unsettled(hubs, first), "hub"), sets, percent, True)
+    told = written(_open(second), "minhash-open")
+    far = told.where("far and n_failed > 1 and not linked").groupBy(F.col("a").alias("__fp")).agg(F.first("score").alias("score"), F.bool_or(~F.col("near")).alias("lead"))
+    fine = written(_fine(sets.join(far, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
+
+    rows, known = _dealt_again(told).unionByName(_shared(fine)), [first, second]
+    while True:  # the leads of a bucket get fewer
+        links = components(all_of(known).where("linked").select("a", "b"))
+        several = _several(rows, links)
+        if several.isEmpty():
+            return links
+        pairs, rows = _led(several)
+        known.append(_verify(pairs, sets, percent))
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

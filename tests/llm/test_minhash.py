@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,6 +68,111 @@ def test_chain_links(spark):
     assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
 
 
+def test_truncated_and_shortened_links(spark):
+    """Links of texts that lack much of a larger one, and have nothing that it lacks."""
+    rng = random.Random(8)
+    w = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(w[: 400 - 13 * i])) for i in range(20)]
+    rows += [(100 + i, " ".join(x for j, x in enumerate(w) if not (i * 17 <= j < i * 17 + 30 + 5 * (i % 4) or j > 370))) for i in range(20)]
+    rows += [(200 + i, " ".join(x for x in w if rng.random() > 0.004 * i)) for i in range(20)]
+    rng.shuffle(rows)
+    for width, percent in ((3, 85), (5, 80)):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), width, percent).collect()}
+        assert got == {i: c for i, (_, c) in brute(rows, width, percent).items()}
+
+
+def variants(rng, kind):
+    """Sets that differ from one original by few, shared or many edits."""
+    base, pool = rng.sample(range(10**9), 120), rng.sample(range(10**9), 40)
+    out = []
+    for _ in range(60):
+        s = set(base)
+        if kind in ("removed", "mixed"):
+            cut = rng.randint(0, 30)
+            at = rng.randint(0, 120 - cut)
+            s -= set(base[at : at + cut]) if rng.random() < 0.5 else set(rng.sample(base, cut))
+        if kind in ("added", "mixed"):
+            s |= set(rng.sample(pool, rng.randint(0, 25)))
+        if kind == "replaced":
+            n = rng.randint(0, 25)
+            s = (s - set(rng.sample(base, n))) | set(rng.sample(range(10**9), n // 2)) | set(rng.sample(pool, n - n // 2))
+        out.append(np.array(sorted(s), np.uint64))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["removed", "added", "mixed", "replaced"])
+def test_links_of_a_star_share_a_difference(kind):
+    """Every linked pair, one of which failed with the centre, has a key in common."""
+    rng, linked_pairs = random.Random(kind), 0
+    for percent in (80, 85):
+        for _ in range(6):
+            sets = variants(rng, kind)
+            centre, members = sets[0], sets[1:]
+            told = [minhash.differences(m, centre, percent) for m in members]
+            least = min((d["short"] for d in told if not d["linked"] and len(d["lacks"])), default=None)
+            most = max(d["gain"] for d in told)
+            keys = []
+            for d in told:
+                lacks = d["lacks"] if not d["linked"] and d["short"] <= most else d["lacks"][: d["few"]] if least is not None and d["gain"] >= least else []
+                keys.append({*d["added"].tolist(), *list(lacks)})
+            for i, a in enumerate(members):
+                for j, b in enumerate(members[:i]):
+                    both = len(np.intersect1d(a, b))
+                    if 100 * both >= percent * (len(a) + len(b) - both) and not (told[i]["linked"] and told[j]["linked"]):
+                        linked_pairs += 1
+                        assert keys[i] & keys[j]
+                        assert told[i]["near"] or not told[j]["linked"]
+    assert linked_pairs > 20
+
+
+def brute_matrix(rows, width, percent):
+    """As :func:`brute`, by one product of 0/1 matrices."""
+    sets = [shingles(t, width) for _, t in rows]
+    often = {x for x, n in Counter(x for s in sets for x in s).items() if n > 1}
+    at = {x: i for i, x in enumerate(sorted(often))}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[x] for x in s & often]] = 1
+    both, sizes = (m @ m.T).round().astype(int), np.array([len(s) for s in sets])
+    links = 100 * both >= percent * (sizes[:, None] + sizes - both)
+    ids, out = np.array([i for i, _ in rows]), {}
+    for i in np.argsort(ids):
+        if ids[i] not in out:
+            reached, new = set(), {i}
+            while new:
+                reached |= new
+                new = set(np.flatnonzero(links[list(new)].any(axis=0)).tolist()) - reached
+            out |= {int(ids[j]): int(ids[i]) for j in reached}
+    return out
+
+
+def test_large_family_makes_linear_pairs(spark, monkeypatch):
+    """2,000 near copies of one text, most of which don't link with each other, and a family in
+    which edits are shared: pairs stay in proportion to the copies."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    shared = [f"s{i}" for i in range(12)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(150)] = f"{i}x{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    other = [f"o{i}" for i in range(120)]
+    for i in range(300):
+        rows.append((5000 + i, " ".join(other + [x for s in shared if rng.random() < 0.5 for x in (s, s + "y", s + "z")])))
+    made, verify = [], minhash._verify
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(minhash, "_verify", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
+    assert got == brute_matrix(rows, 3, 85) and len(set(got.values())) > 1000
+    assert sum(made) < 10 * len(rows) and len(made) < 6
+
+
 def test_signature_is_circulant():
     s = np.array([3, 77, 10**15], np.uint64)
     k = 60
