@@ -8,7 +8,8 @@ In each bucket every class is compared with one centre only (the best by rank: t
 shares most buckets, as an original does with its copies), so the pairs made are as many as the
 rows of buckets, not their square. Two classes that both link to the centre are joined by it.
 Members of buckets that may hold further links are compared with their bucket's hub, the best
-centre that any member has in any of its buckets, so a whole family meets one hub; those pairs
+centre that any member has in any of its buckets, so a whole family meets one hub (in a crowded star, the
+class nearest to it where fewer fail with that: of copies of an original, the original); those pairs
 that a star can still hold are found by how its members differ from the hub:
 
 * Two members that link, one of which failed, have an added shingle (one that the hub lacks) in
@@ -53,7 +54,9 @@ FINE_BANDS, FINE_LOSS = 180, 2e-6
 #: Edges of components in one file, about.
 EDGES_A_FILE = 100_000
 #: Classes of a bucket that are compared with all others of it at once, after the first stars.
-LEADS = 16
+LEADS = 128
+#: Stars with more near members that failed try another hub, the class nearest to theirs.
+CROWD = 16
 #: Members of a star that one task compares, about: larger stars' centres go to several.
 STAR_ROWS = 512
 #: Places of the circulant permutation, and coordinates that are made at once at most.
@@ -176,12 +179,12 @@ def differences(p: np.ndarray, q: np.ndarray, percent: int) -> dict:
         gone[at[hit]] = False
         lacks = q[gone]
     return {
-        "linked": short <= 0, "near": 100 * (union - both) <= 2 * (100 - percent) * union, "short": short, "gain": gain, "few": few,
+        "linked": short <= 0, "apart": 1 - both / union, "near": 100 * (union - both) <= 2 * (100 - percent) * union, "short": short, "gain": gain, "few": few,
         "added": added[: max(0, len(added) - least + 1)], "lacks": lacks if short > 0 else lacks[:few],
     }
 
 
-_COMPARED = "a binary, b binary, score long, linked boolean, near boolean, short long, gain long, few int, added array<long>, lacks array<long>"
+_COMPARED = "a binary, b binary, score long, linked boolean, apart double, near boolean, short long, gain long, few int, added array<long>, lacks array<long>"
 
 
 def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = False) -> DataFrame:
@@ -207,7 +210,7 @@ def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = Fa
                 if not (shingles and d["near"]):
                     d["added"] = d["lacks"] = d["added"][:0]
                 told.append(d)
-            kinds = {"linked": pa.bool_(), "near": pa.bool_(), "short": pa.int64(), "gain": pa.int64(), "few": pa.int32()}
+            kinds = {"linked": pa.bool_(), "apart": pa.float64(), "near": pa.bool_(), "short": pa.int64(), "gain": pa.int64(), "few": pa.int32()}
             plain = [pa.array([d[k] for d in told], t) for k, t in kinds.items()]
             lists = [pa.array([d[k].view(np.int64) for d in told], pa.list_(pa.int64())) for k in ("added", "lacks")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *plain, *lists], names=["a", "b", "score", *kinds, "added", "lacks"])
@@ -291,6 +294,21 @@ def _open(compared: DataFrame) -> DataFrame:
     return rows.select("a", "b", "score", "linked", "near", (F.col("n_failed") > F.col("n_near")).alias("far"), "n_failed", "added", lacks.alias("lacks"))
 
 
+def _recentred(second: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The comparisons with the hubs nearest to those of crowded stars; and those of all stars, with
+    the hub with which fewer members fail."""
+    crowd = second.groupBy("b").agg(F.count_if(~F.col("linked") & F.col("near")).alias("n"), F.min_by("a", F.struct("apart", "a")).alias("other"))
+    crowd = crowd.where(f"n > {CROWD}").select(F.col("b").alias("__b"), "other")
+    moved = written(second.join(crowd, F.col("b") == F.col("__b")).where("a != other").select("a", "b", "score", "linked", "other"), "minhash-crowds")
+    more = _verify(written(moved.select("a", F.col("other").alias("b"), "score").distinct(), "minhash-stars"), sets, percent, True)
+    now = more.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("linked").alias("__linked"))
+    both = moved.join(now, (F.col("a") == F.col("__a")) & (F.col("other") == F.col("__b")))
+    better = both.groupBy("b", "other").agg(F.count_if(~F.col("linked")).alias("old"), F.count_if(~F.col("__linked")).alias("new")).where("new < old")
+    better = written(better.select("b", "other"), "minhash-moved")
+    stay = second.join(better.select("b").distinct(), "b", "left_anti")
+    return more, stay.unionByName(more.join(better.select(F.col("other").alias("b")).distinct(), "b", "left_semi"))
+
+
 def _dealt_again(told: DataFrame) -> DataFrame:
     """bucket, fp, score and lead (it failed) of members that share a shingle in which they differ
     from the hub."""
@@ -357,11 +375,12 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     hubs = _hubs(_ranked(left))
     first = _verify(_stars(hubs, "centre"), sets, percent)
     second = _verify(_stars(_unsettled(hubs, first), "hub"), sets, percent, True)
-    told = written(_open(second), "minhash-open")
+    third, stars = _recentred(second, sets, percent)
+    told = written(_open(stars), "minhash-open")
     far = told.where("far and n_failed > 1 and not linked").groupBy(F.col("a").alias("__fp")).agg(F.first("score").alias("score"), F.bool_or(~F.col("near")).alias("lead"))
     fine = written(_fine(sets.join(far, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
 
-    rows, known = _dealt_again(told).unionByName(_shared(fine)), [first, second]
+    rows, known = _dealt_again(told).unionByName(_shared(fine)), [first, second, third]
     while True:  # the leads of a bucket get fewer
         links = components(all_of(known).where("linked").select("a", "b"))
         several = _several(rows, links)
