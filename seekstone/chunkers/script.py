@@ -31,6 +31,9 @@ _NUMBER = re.compile(r"(?:0[xXbBoO][\da-fA-F_]+|(?:\d[\d_]*)?\.?\d[\d_]*(?:[eE][
 _PUNCT = re.compile(r"=>|\.\.\.|\?\.(?!\d)|[*&|?]{2}=?|<<=?|>>>?=|[=!]==?|[-+*/%&|^<>]=|\+\+|--|.", re.S)
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await", "default"}
 _OPEN, _CLOSE = "([{", ")]}"
+#: Words whose brackets hold a condition, and what a brace that opens a block comes after.
+_CONDITIONS = {"if", "while", "for", "with"}
+_BEFORE_BLOCK = {";", "{", "}", ")", "=>", "else", "do", "try", "finally"}
 
 
 def _string(s: str, i: int) -> int:
@@ -108,17 +111,19 @@ def _jsx(s: str, i: int) -> int:
 def scan(s: str, i: int = 0, jsx: bool = True, one: bool = False) -> tuple[list[Token], int]:
     """The tokens from i to the end, or (one) to the bracket that closes the one at i."""
     out: list[Token] = []
-    stack: list[str] = []
+    stack: list[tuple[str, bool]] = []  # what closes each open bracket, and whether a statement may follow it
     last: Token | None = None
+    begins = True  # a statement or a value may begin, not go on
     while i < len(s):
         ch = s[i]
         if ch.isspace() or ch == "﻿":
             i += 1
             continue
-        value_ended = last is not None and (last.kind in ("number", "string", "regex", "jsx") or (last.kind == "name" and last.text not in _BEFORE_REGEX) or last.text in (")", "]", "}"))
+        value_ended = not begins
         kind, end = "punct", i + 1
         if s.startswith("//", i) or (s.startswith("#!", i) and i == 0):
-            kind, end = "comment", s.find("\n", i) if "\n" in s[i:] else len(s)
+            kind, end = "comment", s.find("\n", i)
+            end = len(s) if end < 0 else end
         elif s.startswith("/*", i):
             kind, end = "comment", s.find("*/", i + 2) + 2
             if end < 2:
@@ -138,14 +143,17 @@ def scan(s: str, i: int = 0, jsx: bool = True, one: bool = False) -> tuple[list[
         else:
             end = _PUNCT.match(s, i).end()
         t = Token(kind, i, end, s[i:end])
+        closed = False
         if kind == "punct" and ch in _OPEN:
-            stack.append(_CLOSE[_OPEN.index(ch)])
+            stack.append((_CLOSE[_OPEN.index(ch)], _opens_no_value(ch, last)))
         elif kind == "punct" and ch in _CLOSE:
-            if not stack or stack.pop() != ch:
+            found, closed = stack.pop() if stack else ("", False)
+            if found != ch:
                 raise ScanError("brackets don't match")
         out.append(t)
         if kind != "comment":
             last = t
+            begins = closed or (kind == "punct" and ch not in _CLOSE) or (kind == "name" and t.text in _BEFORE_REGEX)
         i = end
         if one and not stack:
             return out, i
@@ -154,6 +162,27 @@ def scan(s: str, i: int = 0, jsx: bool = True, one: bool = False) -> tuple[list[
     return out, i
 
 
+def _opens_no_value(bracket: str, last: Token | None) -> bool:
+    """Whether the bracket after the token ``last`` opens a condition or a block, after which a
+    slash begins a regular expression."""
+    if bracket == "(":
+        return last is not None and last.kind == "name" and last.text in _CONDITIONS
+    if bracket == "{":
+        return last is None or last.text in _BEFORE_BLOCK or (last.kind == "name" and last.text not in _BEFORE_REGEX)
+    return False
+
+
+def _body_at(code: list[Token]) -> int | None:
+    """The index of the first brace outside of brackets."""
+    depth = 0
+    for k, t in enumerate(code):
+        if t.kind == "punct":
+            if t.text == "{" and depth == 0:
+                return k
+            depth += (t.text in _OPEN) - (t.text in _CLOSE)
+    return None
+
+
 def close_of(tokens: list[Token], i: int) -> int:
     """The index of the bracket that closes the one at i."""
     depth = 0
@@ -266,7 +295,7 @@ def _function_value(tokens: list[Token]) -> bool:
     if not code:
         return False
     if code[0].text == "function":
-        at = next((i for i, t in enumerate(code) if t.text == "{" and t.kind == "punct" and _depth(code[:i]) == 0), None)
+        at = _body_at(code)
         return len(code) > 1 and code[1].text != "*" and at is not None and close_of(code, at) == len(code) - 1
     depth = 0
     for i, t in enumerate(code):
@@ -280,10 +309,6 @@ def _function_value(tokens: list[Token]) -> bool:
     return False
 
 
-def _depth(tokens: list[Token]) -> int:
-    return sum((t.text in _OPEN) - (t.text in _CLOSE) for t in tokens if t.kind == "punct")
-
-
 def _split(tokens: list[Token], mark: str) -> list[list[Token]]:
     """Tokens split at a mark outside of brackets."""
     out, depth = [[]], 0
@@ -381,7 +406,7 @@ class _File:
         qualified = f"{owner}.{name}" if owner else name
 
         def parts() -> list[Span]:
-            brace = next((k for k, t in enumerate(code) if t.text == "{" and t.kind == "punct" and _depth(code[:k]) == 0), None)
+            brace = _body_at(code)
             if brace is None:
                 return []
             inner = statements(self.source, [t for t in code[brace + 1 : close_of(code, brace)]])
@@ -391,7 +416,7 @@ class _File:
         return self.ctx.sized(self.span(begin, end, comment), name, qualified, "method" if owner else "function", self.ctx.header(owner), parts, least_parts=1)
 
     def class_(self, code: list[Token], name: str, comment: str) -> list[Chunk]:
-        brace = next(k for k, t in enumerate(code) if t.text == "{" and t.kind == "punct" and _depth(code[:k]) == 0)
+        brace = _body_at(code)
         out: list[Chunk] = []
         listed: list[str] = []
         members = self.members(code[brace + 1 : close_of(code, brace)])
@@ -487,7 +512,7 @@ class _File:
         return name, self.source[code[p].begin : code[close_of(code, p)].end]
 
     def interface(self, code: list[Token], name: str, comment: str) -> Chunk:
-        brace = next(k for k, t in enumerate(code) if t.text == "{" and t.kind == "punct" and _depth(code[:k]) == 0)
+        brace = _body_at(code)
         members: list[list[Token]] = [[]]
         depth, prev = 0, None
         for t in code[brace + 1 : close_of(code, brace)]:

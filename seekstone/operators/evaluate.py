@@ -54,12 +54,13 @@ def match_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.groupBy("query_id", "rank").agg(matched.alias("matched"))
 
 
-def metrics(matched: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
+def metrics(matched: DataFrame, relevant: DataFrame, ks: list[int], asked: DataFrame | None = None) -> DataFrame:
     """query_id, k, precision, recall, mrr of every query at every k.
 
-    matched: query_id, rank, matched, up to the largest k; relevant: query_id, key (distinct).
-    Precision divides by the hits there are, and counts repeated matches; recall counts distinct
-    ones. Queries without hits have zeros.
+    matched: query_id, rank, matched, up to the largest k; relevant: query_id, key (distinct);
+    asked: query_id of all queries (without it, those that have relevant keys). Precision divides
+    by the hits there are, and counts repeated matches; recall counts distinct ones. Queries without
+    hits or without relevant keys have zeros.
     """
     keys = relevant.select(F.col("query_id").alias("q"), "key").distinct()
     found = matched.join(keys, (F.col("query_id") == F.col("q")) & (F.col("matched") == F.col("key")), "left")
@@ -73,6 +74,8 @@ def metrics(matched: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame
         F.count_distinct(F.when(within, F.col("key"))).alias("kinds"),
         F.min(F.when(F.col("key").isNotNull(), F.col("rank"))).alias("first"),
     )
+    if asked is not None:
+        sizes = asked.select(F.col("query_id").alias("q")).distinct().join(sizes, "q", "left")
     every = sizes.select("q", "n_relevant", cuts).withColumnRenamed("k", "kk")
     all_ = every.join(told, (F.col("q") == F.col("query_id")) & (F.col("kk") == F.col("k")), "left")
     return all_.select(
@@ -87,12 +90,8 @@ def metrics(matched: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame
 def summarize(told: DataFrame, groups: DataFrame) -> DataFrame:
     """repo (null: overall), k, n_queries and the macro averages; groups: query_id, repo."""
     rows = told.join(groups, "query_id")
-    rows.createOrReplaceTempView("__seekstone_metrics")
-    return rows.sparkSession.sql(
-        """SELECT repo, k, count(*) AS n_queries, coalesce(avg(precision), 0D) AS precision,
-                  coalesce(avg(recall), 0D) AS recall, coalesce(avg(mrr), 0D) AS mrr
-           FROM __seekstone_metrics GROUP BY GROUPING SETS ((k), (repo, k))"""
-    )
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "mrr")]
+    return rows.groupingSets([["k"], ["repo", "k"]], "repo", "k").agg(F.count("*").alias("n_queries"), *means)
 
 
 def summary_dict(summary: DataFrame, ks: list[int]) -> dict:
@@ -104,8 +103,8 @@ def summary_dict(summary: DataFrame, ks: list[int]) -> dict:
         first = next(iter(own.values()), None)
         return {
             "n_queries": first["n_queries"] if first else 0,
-            "precision": {k: own[k]["precision"] if k in own else 0.0 for k in ks},
-            "recall": {k: own[k]["recall"] if k in own else 0.0 for k in ks},
+            "precision_at_k": {k: own[k]["precision"] if k in own else 0.0 for k in ks},
+            "recall_at_k": {k: own[k]["recall"] if k in own else 0.0 for k in ks},
             "mrr": first["mrr"] if first else 0.0,
         }
 
@@ -119,7 +118,7 @@ def markdown_lines(summary: DataFrame, ks: list[int]) -> DataFrame:
     rows = summary.groupBy("repo").agg(F.concat_ws(" | ", F.first(name), F.first(F.col("n_queries")).cast("string"), *cells, F.format_string("%.3f", F.max("mrr"))).alias("body"))
     order = F.row_number().over(Window.orderBy(F.col("repo").asc_nulls_first())) + 1  # one row a repository
     table = rows.select(order.cast("int").alias("ord"), F.concat(F.lit("| "), "body", F.lit(" |")).alias("line"))
-    heads = ["repo", "queries", *[f"P@{k}" for k in ks], *[f"R@{k}" for k in ks], "MRR"]
+    heads = ["Scope", "n", *[f"P@{k}" for k in ks], *[f"R@{k}" for k in ks], "MRR"]
     top = [(0, "| " + " | ".join(heads) + " |"), (1, "|" + "---|" * len(heads))]
     return summary.sparkSession.createDataFrame(top, "ord int, line string").unionByName(table)
 

@@ -57,4 +57,4 @@ def run_eval(
     hits = top_k(chunks.withColumnRenamed("chunk_id", "id"), asked, max(ks), extra, same="repo").withColumnRenamed("id", "chunk_id")
     matched = ev.match_hits(hits, numbered.drop("id").withColumnRenamed("query_id", "id"))
     keys = numbered.select("query_id", F.explode("relevant").alias("r")).select("query_id", ev.span_key(F.col("r.file"), F.col("r.symbol")).alias("key"))
-    return ev.summarize(ev.metrics(matched, keys, ks), numbered.select("query_id", "repo"))
+    return ev.summarize(ev.metrics(matched, keys, ks, numbered), numbered.select("query_id", "repo"))

@@ -242,7 +242,7 @@ g AS (SELECT CASE WHEN grouping(label) = 1 THEN NULL ELSE 'label' || label END A
 
 def context_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header for every document: its source as class (none for src0), its first lines as imports."""
-    imports = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, 3)
+    imports = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, Settings().header_imports)
     held = F.when(F.col("source") != "src0", F.col("source"))
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
@@ -309,7 +309,7 @@ def oracle_sql() -> dict:
     tokens = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda t: t <> ''))"
     cases = " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in LANGUAGES.items())
     cells = [f"max(CASE WHEN k = {k} THEN printf('%.3f', {c}) END)" for c in ("precision", "recall") for k in KS]
-    heads = ["repo", "queries", *[f"P@{k}" for k in KS], *[f"R@{k}" for k in KS], "MRR"]
+    heads = ["Scope", "n", *[f"P@{k}" for k in KS], *[f"R@{k}" for k in KS], "MRR"]
     body = " || ' | ' || ".join(["coalesce(repo, '**overall**')", "any_value(n_queries)", *cells, "printf('%.3f', max(mrr))"])
     return {
         "vector_topk": f"WITH {_SCORED} SELECT query_id, rank::INT AS rank, id, round(s, 6) AS score FROM (SELECT *, {_RANKED} AS rank FROM scored) WHERE rank <= {K}",
@@ -335,7 +335,7 @@ SELECT hit.query_id, (hit.i + 1)::INT AS rank, coalesce(key, '__miss__' || hit.i
         "retrieval_metrics": f"WITH {_METRICS} SELECT query_id, k, round(p, 6) AS precision, round(rc, 6) AS recall, round(mrr, 6) AS mrr FROM m",
         "metrics_summary": f"WITH {_METRICS} SELECT repo, k, n_queries, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr FROM g",
         "metrics_markdown": f"WITH {_METRICS}, b AS (SELECT repo, '| ' || {body} || ' |' AS line FROM g GROUP BY repo) SELECT 0 AS ord, '| {' | '.join(heads)} |' AS line UNION ALL SELECT 1, '|{'---|' * len(heads)}' UNION ALL SELECT (row_number() OVER (ORDER BY repo NULLS FIRST) + 1)::INT, line FROM b",
-        "context_header": "WITH d AS (SELECT doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')[1:3] AS im FROM documents) SELECT doc_id, sha256('# file: docs/' || doc_id || CASE WHEN source <> 'src0' THEN chr(10) || '# class: ' || source ELSE '' END || CASE WHEN len(im) > 0 THEN chr(10) || '# imports:' || chr(10) || array_to_string(list_transform(im, lambda x: '#   ' || x), chr(10)) ELSE '' END || chr(10)) AS header_hash FROM d",
+        "context_header": f"WITH d AS (SELECT doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')[1:{Settings().header_imports}] AS im FROM documents) SELECT doc_id, sha256('# file: docs/' || doc_id || CASE WHEN source <> 'src0' THEN chr(10) || '# class: ' || source ELSE '' END || CASE WHEN len(im) > 0 THEN chr(10) || '# imports:' || chr(10) || array_to_string(list_transform(im, lambda x: '#   ' || x), chr(10)) ELSE '' END || chr(10)) AS header_hash FROM d",
         "html_headings": f"WITH {_HEADINGS} SELECT page_id, pos, level, title FROM t",
         "breadcrumb": f"WITH {_HEADINGS} SELECT page_id, pos, concat_ws(' > ', {_CRUMBS}, title) AS breadcrumb FROM t WINDOW o AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "oversize_windows": _windows_sql(60, 10, f"WHERE {tokens} > 2000") + f"""SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS doc_id, (i * 50 + 1)::INT AS start_line, least(i * 50 + 60, len(ls))::INT AS end_line, sha256(t) AS text_hash, true AS truncated FROM x

@@ -213,3 +213,9 @@ def test_fallback(n, expected):
     assert [(c.start_line, c.end_line) for c in found] == expected
     blank = FallbackChunker(Settings(window_lines=2, overlap_lines=0)).chunk_file("a/b.txt", "x\n\n\n\ny")
     assert [c.symbol_name for c in blank] == ["b.txt:window1", "b.txt:window3"]
+
+
+def test_regular_expressions_after_brackets():
+    """A slash after a condition or a block begins a regular expression, after a value it divides."""
+    found = chunks(".js", "function f(a) { if (a) /['\"(]/.test(b); return 1 }\n/[(\"]/.exec(x)\nfunction g() { const o = {b: 1} / 2; return (o) / 3 / (b) }\nfunction h() { while (x) /\\//g.test(y) }\nclass A { m() {} }\n/[\"]/;\nfunction k() { for (;;) {} /[\"']/.test(1) }\n")
+    assert [c.qualified_name for c in found if c.kind != "module_block"] == ["f", "g", "h", "A.m", "A", "k"]

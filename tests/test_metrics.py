@@ -25,6 +25,19 @@ def test_by_hand(spark, retrieved, relevant, k, precision, recall, mrr):
     assert (r["precision"], r["recall"], r["mrr"]) == (pytest.approx(precision), pytest.approx(recall), pytest.approx(mrr))
 
 
+def test_queries_without_relevant_spans(spark):
+    """They count, with zeros; and the summary has the published keys and heads."""
+    hits = spark.createDataFrame([(1, 1, "a"), (2, 1, "__miss__7")], "query_id int, rank int, matched string")
+    keys = spark.createDataFrame([(1, "a")], "query_id int, key string")
+    asked = spark.createDataFrame([(1, "r"), (2, "r")], "query_id int, repo string")
+    told = ev.metrics(hits, keys, [1], asked)
+    assert sorted(tuple(r) for r in told.collect()) == [(1, 1, 1.0, 1.0, 1.0), (2, 1, 0.0, 0.0, 0.0)]
+    summary = ev.summarize(told, asked)
+    part = {"n_queries": 2, "precision_at_k": {1: 0.5}, "recall_at_k": {1: 0.5}, "mrr": 0.5}
+    assert ev.summary_dict(summary, [1]) == {"overall": part, "per_repo": {"r": part}}
+    assert ev.markdown_table(summary, [1]).splitlines() == ["| Scope | n | P@1 | R@1 | MRR |", "|---|---|---|---|---|", "| **overall** | 2 | 0.500 | 0.500 | 0.500 |", "| r | 2 | 0.500 | 0.500 | 0.500 |"]
+
+
 def test_matching(spark):
     hits = spark.createDataFrame([(1, 1, 10, "f", "s", 90, 99), (1, 2, 11, "f", "o", 1, 10), (1, 3, 12, "g", "s", 1, 10), (1, 4, 13, "f", "o", 8, 30)], "query_id long, rank int, chunk_id long, file_path string, qualified_name string, start_line int, end_line int")
     queries = spark.createDataFrame([(1, [("f", "t", 1, 10), ("f", "s", 1, 12)])], "id long, relevant array<struct<file:string,symbol:string,start_line:int,end_line:int>>")
