@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and \t \n \v \f \r (Java and RE2 syntax).
@@ -60,16 +61,28 @@ def unpack(df: DataFrame, names: list[str], **changed) -> DataFrame:
     return df.select(*cols).toDF(*names)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas compute what they close over each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written tables: spark.checkpoint.dir, or, only where that is unset
-    (tests in one process), a folder of our own."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder for written tables: spark.checkpoint.dir, or the context's checkpoint folder; a
+    temporary folder of our own only where there is neither and all runs on one machine (as in
+    tests). A cluster without such a folder is an error."""
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
-    own = getattr(spark.sparkContext, "_seekstone_dir", None)
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = getattr(sc, "_seekstone_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="seekstone-")
-        spark.sparkContext._seekstone_dir = own
+        sc._seekstone_dir = own
     return own
 
 

@@ -6,13 +6,16 @@ doc_id (null last, then by the text's hash), or earlier in the same one - marks
 covers; the marked positions of a document are merged and those lines removed. Lines without a
 word never count, and stay unless they lie between two removed lines of one window's span.
 
-Windows are two 64-bit hashes of their lines. Only hashes are shuffled; repeated ones are counted
-with partial aggregation, so a passage in a third of all documents meets in no single task.
+Windows are a 64-bit and a 32-bit hash of their lines. Only hashes are shuffled; repeated ones are
+counted with partial aggregation, and the first occurrences of those that repeat ``HOT`` times or
+more are broadcast to all others (of n windows, n / HOT at most are so frequent), so a passage in a
+third of all documents meets in no single task.
 
 Defined cases: a null text stays null; texts of fewer than three such lines stay as they are; a
 document left without lines has an empty text; rows with equal doc_id and text count once as
 an occurrence and get equal results; n_chars, where present, is the new text's length if the text
-changed. An empty table gives an empty result. Extra columns stay as they are.
+changed. An empty table gives an empty result. Extra columns stay as they are. Texts are whole, of any number
+of lines.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pack, table, unpack, written
+from ._common import let, pack, table, unpack, written
 
 WINDOW = 3
+#: Windows that occur so often are not dealt by their hash, up to this number of such windows.
+HOT, MOST_HOT = 5_000, 50_000
 _BLANKS = " \t\n\v\f\r"
 
 
@@ -33,21 +38,21 @@ def _lines() -> Column:
     return F.transform(full, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("h"), F.crc32(x["line"]).alias("c")))
 
 
-def occurrences(packed: DataFrame) -> DataFrame:
-    """doc_id, text_key, first and last covered line, and the two hashes of every window."""
-    lines = packed.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), _lines().alias("lines")).where(F.size("lines") >= WINDOW)
-    index = F.sequence(F.lit(0), F.size("lines") - WINDOW)
+def _windows(lines: Column) -> Column:
+    """begin, end, and the two hashes of every window of an array of lines."""
 
     def window(i: Column) -> Column:
-        x = [F.get("lines", i + k) for k in range(WINDOW)]
-        return F.struct(
-            x[0]["at"].alias("begin"),
-            x[-1]["at"].alias("end"),
-            F.xxhash64(*[y["h"] for y in x]).alias("h"),
-            F.hash(*[y["c"] for y in x]).alias("c"),
-        )
-
-    found = lines.select("doc_id", "text_key", F.explode(F.transform(index, window)).alias("w"))
+        x = [F.get(lines, i + k) for k in range(WINDOW)]
+        return F.struct(x[0]["at"].alias("begin"), x[-1]["at"].alias("end"), F.xxhash64(*[y["h"] for y in x]).alias("h"), F.hash(*[y["c"] for y in x]).alias("c"))
+
+    found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - WINDOW, F.lit(0))), window)
+    return F.slice(found, F.lit(1), F.greatest(F.size(lines) - WINDOW + 1, F.lit(0)))  # none of fewer lines
+
+
+def occurrences(packed: DataFrame) -> DataFrame:
+    """doc_id, text_key, first and last covered line, and the two hashes of every window."""
+    rows = packed.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), let(_lines(), _windows).alias("windows"))
+    found = rows.select("doc_id", "text_key", F.explode("windows").alias("w"))
     return found.select("doc_id", "text_key", "w.begin", "w.end", "w.h", "w.c")
 
 
@@ -55,9 +60,15 @@ def removed(packed: DataFrame) -> DataFrame:
     """doc_id, text_key and gone: the positions of the lines to remove, merged."""
     seen = written(occurrences(packed), "line-windows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "begin")
-    first = seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    first = first.select(F.col("h").alias("__h"), F.col("c").alias("__c"), "first")
-    again = seen.join(first, (F.col("h") == F.col("__h")) & (F.col("c") == F.col("__c"))).where(place != F.col("first"))
+    first = seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first != last")
+    first = written(first.select(F.col("h").alias("__h"), F.col("c").alias("__c"), "first", "n"), "line-repeated")
+    same, hot = (F.col("h") == F.col("__h")) & (F.col("c") == F.col("__c")), first.where(f"n >= {HOT}")
+    if 0 < hot.count() <= MOST_HOT:
+        few = F.broadcast(hot)
+        again = seen.join(few, same).unionByName(seen.join(few.select("__h", "__c"), same, "left_anti").join(first.where(f"n < {HOT}"), same))
+    else:
+        again = seen.join(first, same)
+    again = again.where(place != F.col("first"))
     spans = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["end"]))))
     return spans.select("doc_id", "text_key", gone.alias("gone"))
@@ -69,9 +80,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = removed(packed.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone")
     keyed = packed.withColumn("__h", F.xxhash64("text"))
     joined = keyed.join(gone, (F.col("__h") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+
+    def left(x: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])
+        return let(F.struct(x["lines"].alias("lines"), stay.alias("stay")), lambda y: F.array_join(F.transform(y["stay"], lambda i: F.get(y["lines"], i)), "\n"))
+
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.struct(F.split("text", "\n", -1).alias("lines"), "gone"), left))
     out = joined.withColumn("__new", text)
     changed = {"text": F.col("__new")}
     if "n_chars" in names:

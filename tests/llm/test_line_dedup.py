@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from seekstone.llm import line_dedup
 
-from .common import awkward, docs, empty
+from .common import awkward, docs, empty, words
 
 
 def brute(rows):
@@ -48,3 +48,16 @@ def test_awkward(spark):
 def test_no_python(spark):
     plan = line_dedup.dedup(docs(spark, [(1, "a\nb\nc")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F is not None
+
+
+def test_hot_windows(spark, monkeypatch):
+    """Windows that occur very often, and a text of very many lines, are treated as all others."""
+    passage = "\n".join(words(70 + i, 6) for i in range(5))
+    rows = [(i, f"{words(i, 8)}\n{passage}\n{words(1000 + i, 8)}") for i in range(60)]
+    rows += [(100, "\n".join(f"line {i % 49_000}" for i in range(100_000))), (101, "a\nb\nc\nd"), (102, "b\nc\nd\ne")]
+    want = brute(rows)
+    for hot, most in ((5, 50_000), (5, 1), (10**9, 50_000)):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "MOST_HOT", most)
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
