@@ -12,7 +12,9 @@
 
 Scores use the text alone. Defined cases: null texts count as empty and get the score of a text
 without features; without labels of both kinds every score is the labels' share; several labels
-of a doc_id count as their largest; repeated rows get equal scores.
+of a doc_id count as their largest; repeated rows get equal scores; of readings that are equally
+likely the first is taken; an empty table gives an empty result. Texts are whole, and the time for
+a run of characters without a blank grows with its length. Extra columns never matter.
 """
 
 from __future__ import annotations
@@ -43,12 +45,10 @@ _OTHER_LETTER = 27
 
 _LETTER, _SYM, _GAP = r"[^\W\d_]", re.escape("".join(LOOKS_LIKE)), r"[ .\-_*]"
 _EITHER = rf"(?:{_LETTER}|[{_SYM}])"
-_SPANS = re.compile(
-    rf"(?<!\S){_EITHER}(?:({_GAP}){_EITHER}(?=\1))(?:\1{_EITHER}(?=\1|[\s.,;:!?]|$))+"  # s p a c 3 d
-    r"|(?<![^\s.,;:!?\-_*])(?:"
-    rf"(?=[^\s{_SYM}]*+[{_SYM}])(?=\S*(?:[{_SYM}]{_LETTER}|{_LETTER}[{_SYM}]))\S+"  # symbols beside a letter
-    rf"|(?=\S*({_LETTER})\2\2)\S+)"  # rrrepeats
-)
+_RUN = re.compile(r"\S+")
+_SPACED_OUT = re.compile(rf"{_EITHER}(?:({_GAP}){_EITHER}(?=\1))(?:\1{_EITHER}(?=\1|[\s.,;:!?]|$))+")  # s p a c 3 d
+_DOUBTFUL = re.compile(rf"[{_SYM}]{_LETTER}|{_LETTER}(?:[{_SYM}]|(?<=({_LETTER}))\1\1)")  # a symbol beside a letter, or rrrepeats
+_EDGES = ".,;:!?-_*"
 _SPACED = re.compile(rf"{_LETTER}{_GAP}{_LETTER}{_GAP}|{_EITHER}(?:{_GAP}{_EITHER})+\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -114,45 +114,95 @@ def character_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def _edges(s: str, i: int, spaced: bool) -> list[tuple[str, int, float]]:
-    """What the characters from i may stand for: (letters, next place, cost)."""
+def _readings(s: str, i: int, run: int, spaced: bool) -> list[tuple[str, int, int, float]]:
+    """What the characters from i may stand for: (letters, how often, next place, cost). ``run`` is
+    where the equal characters from i end."""
     ch = s[i]
-    run = i + 1
-    while run < len(s) and s[run] == ch:
-        run += 1
-    out: list[tuple[str, int, float]] = []
+    out: list[tuple[str, int, int, float]] = []
     if ch.isalpha():
-        out.append((ch, i + 1, 0.0))
+        out.append((ch, 1, i + 1, 0.0))
         if run > i + 1:
-            out.append((ch, run, REPEAT_COST))
+            out.append((ch, 1, run, REPEAT_COST))
         if run > i + 2:
-            out.append((ch * 2, run, REPEAT_COST))
+            out.append((ch * 2, 1, run, REPEAT_COST))
         return out
     for letter in LOOKS_LIKE.get(ch, ""):
-        out.append((letter, i + 1, SYMBOL_COST))
+        out.append((letter, 1, i + 1, SYMBOL_COST))
         if run > i + 1:
-            out.append((letter, run, SYMBOL_COST + REPEAT_COST))
+            out.append((letter, 1, run, SYMBOL_COST + REPEAT_COST))
     if spaced and ch in " .-_*":
-        out.append(("", i + 1, GAP_COST))
+        out.append(("", 1, i + 1, GAP_COST))
     kept = ch if ch.isdecimal() or not ch.isalnum() else " "
-    out.append((kept, i + 1, SYMBOL_KEPT if out else 0.0))
+    out.append((kept, 1, i + 1, SYMBOL_KEPT if out else 0.0))
     if run > i + 1 and ch in LOOKS_LIKE:  # !!! or 000 is kept as one
-        out.append((kept * (run - i), run, SYMBOL_KEPT + REPEAT_COST))
+        out.append((kept, run - i, run, SYMBOL_KEPT + REPEAT_COST))
+    return out
+
+
+def _edges(s: str, i: int, spaced: bool) -> list[tuple[str, int, float]]:
+    """As :func:`_readings`, spelled out: (letters, next place, cost)."""
+    return [(letters * times, nxt, cost) for letters, times, nxt, cost in _readings(s, i, _run_ends(s)[i], spaced)]
+
+
+def _run_ends(s: str) -> list[int]:
+    """For every place, where the equal characters from it end."""
+    out = [len(s)] * len(s)
+    for i in range(len(s) - 2, -1, -1):
+        out[i] = out[i + 1] if s[i] == s[i + 1] else i + 1
+    return out
+
+
+#: Places after which the path that all readings share so far is given out.
+_FLUSH = 4096
+
+
+def _shared_path(paths: list[tuple]) -> list[tuple[str, int]]:
+    """The parts (letters, how often) that all paths, (rest, part) down to (), begin with."""
+    first = []
+    path = paths[0]
+    while path:
+        first.append(path)
+        path = path[0]
+    at = {id(node): len(first) - i for i, node in enumerate(first)}
+    common = len(first)
+    for path in paths[1:]:
+        while path and id(path) not in at:
+            path = path[0]
+        common = min(common, at[id(path)] if path else 0)
+    return [node[1] for node in reversed(first)][:common]
+
+
+def _without(path: tuple, n: int) -> tuple:
+    """The path without its first n parts."""
+    parts = []
+    while path:
+        parts.append(path[1])
+        path = path[0]
+    out: tuple = ()
+    for part in reversed(parts[: len(parts) - n]):
+        out = (out, part)
     return out
 
 
 def restore(span: str, model: np.ndarray) -> str:
-    """The likeliest reading of a span (lower case) by Viterbi search over all contexts."""
-    spaced, look = bool(_SPACED.match(span)), memoryview(model)
-    states: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(len(span) + 1)]
-    states[0][0] = (0.0, ())
+    """The likeliest reading of a span (lower case) by Viterbi search over all contexts.
+
+    In long spans, what all live paths begin with is given out from time to time, so memory follows
+    the part that is still open.
+    """
+    spaced, look, ends_at = bool(_SPACED.match(span)), memoryview(model), _run_ends(span)
+    states: dict[int, dict[int, tuple[float, tuple]]] = {0: {0: (0.0, ())}}
+    done: list[tuple[str, int]] = []
     for i in range(len(span)):
-        here = states[i]
+        here = states.pop(i, None)
         if not here:
             continue
-        for letters, nxt, cost in _edges(span, i, spaced):
-            codes = [_symbol(c) for c in letters]
-            into = states[nxt]
+        if i % _FLUSH == 0 and i and not states and (begun := _shared_path([path for _, path in here.values()])):
+            done += begun
+            here = {c: (score, _without(path, len(begun))) for c, (score, path) in here.items()}
+        for letters, times, nxt, cost in _readings(span, i, ends_at[i], spaced):
+            codes = [_symbol(c) for c in letters]  # what is kept more than once is no letter
+            into = states.setdefault(nxt, {})
             for context, (score, path) in here.items():
                 score += cost
                 for c in codes:
@@ -161,39 +211,56 @@ def restore(span: str, model: np.ndarray) -> str:
                         context = (context << 5 | c) & 0x7FFF
                 old = into.get(context)
                 if old is None or score > old[0]:
-                    into[context] = (score, (path, letters))
-        states[i] = {}
-    ends = [(score + (look[context << 5] if context & 31 else 0.0), path) for context, (score, path) in states[-1].items()]
+                    into[context] = (score, (path, (letters, times)))
+    ends = [(score + (look[context << 5] if context & 31 else 0.0), path) for context, (score, path) in states[len(span)].items()] if span else [(0.0, ())]
     _, path = max(ends, key=lambda x: x[0])
     parts = []
     while path:
-        path, letters = path
-        parts.append(letters)
-    return "".join(reversed(parts))
+        path, part = path
+        parts.append(part)
+    return "".join(letters * times for letters, times in [*done, *reversed(parts)])
+
+
+def doubtful(text: str) -> list[tuple[int, int, bool]]:
+    """begin, end and whether it is spaced out of every span of a text (lower case) that may be
+    written to deceive. Every run without a blank is looked at a bounded number of times."""
+    out, at = [], 0
+    while run := _RUN.search(text, at):
+        at, end = run.span()
+        if m := _SPACED_OUT.match(text, at):
+            out.append((at, m.end(), True))
+            at = m.end()
+            end = max(at, end)
+            while at < end and text[at - 1] not in _EDGES:  # what follows begins after a mark
+                at += 1
+        if at < end and _DOUBTFUL.search(text, at, end):
+            out.append((at, end, False))
+        at = max(at, end)
+    return out
 
 
-#: Spans longer than this are restored a part at a time.
-LONG_SPAN = 256
+#: Restored spans of up to so many characters are kept for the next time, and so many of them.
+_KEPT_LENGTH, _KEPT = 256, 50_000
 
 
 def restored(text: str | None, model: np.ndarray, cache: dict[str, str] | None = None) -> str:
     """The text in lower case with every doubtful span restored."""
-    cache = {} if cache is None else cache
-
-    def one(m: re.Match) -> str:
-        span = m.group()
-        if m[1] and not _WORDS.search(span):  # 1 2 3 holds no word
-            return span
+    cache, text = {} if cache is None else cache, (text or "").lower()
+    parts, at = [], 0
+    for begin, end, spaced in doubtful(text):
+        span = text[begin:end]
+        if spaced and not _WORDS.search(span):  # 1 2 3 holds no word
+            continue
         found = cache.get(span)
         if found is None:
-            found = "".join(restore(span[i : i + LONG_SPAN], model) for i in range(0, len(span), LONG_SPAN))
-            if len(cache) > 50_000:
-                cache.clear()
-            if len(span) <= LONG_SPAN:
+            found = restore(span, model)
+            if len(span) <= _KEPT_LENGTH:
+                if len(cache) >= _KEPT:
+                    cache.clear()
                 cache[span] = found
-        return found
-
-    return _SPANS.sub(one, (text or "").lower())
+        parts += [text[at:begin], found]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def features(text: str) -> set[str]:

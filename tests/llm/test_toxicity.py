@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -105,3 +106,47 @@ def test_exact_path():
         best = max(map(cost_of, readings(span, spaced)))
         found = [p for p in readings(span, spaced) if "".join(x for x, _ in p) == tox.restore(span, look)]
         assert max(map(cost_of, found)) == pytest.approx(best)
+
+
+def test_long_runs_in_linear_time():
+    """A megabyte without a blank, of any script, is searched and restored whole within seconds; what
+    is given out early is what the whole search finds."""
+    rng = random.Random(6)
+    look = np.random.default_rng(2).uniform(-12, 0, tox.SYMBOLS**tox.ORDER).astype(np.float32)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    began = time.time()
+    assert tox.restored("汉字文本测试" * 170_000, look) == "汉字文本测试" * 170_000
+    assert tox.restored("x." * 500_000, look).startswith("x")
+    assert len(tox.restored(base[:200_000], look)) > 150_000 and len(tox.restored("!" * 200_000 + "a", look)) > 0
+    assert tox.doubtful(base) == [(0, len(base), False)] and tox.doubtful("a,b" * 300_000) == []
+    assert time.time() - began < 60
+    whole = base[:10_000]
+    flush, tox._FLUSH = tox._FLUSH, 10**9
+    try:
+        want = tox.restore(whole, look)
+    finally:
+        tox._FLUSH = flush
+    assert tox.restore(whole, look) == want
+
+
+def test_doubtful_spans():
+    assert [("x a$$ y"[a:b], s) for a, b, s in tox.doubtful("x a$$ y")] == [("a$$", False)]
+    for text, spans in {"no 5 doubt here, 1999!": [], "s.p.a.m.foo@x": ["s.p.a.m", "foo@x"], "a b c d": ["a b c d"], "see fooo's": ["fooo's"], "a b, c": [], "": []}.items():
+        assert [text[a:b] for a, b, _ in tox.doubtful(text)] == spans
+
+
+def test_query_columns(spark, rows, tmp_path):
+    """The query's rows by a plain computation: folds by zlib, scores by the scorer itself."""
+    import zlib
+
+    df = docs(spark, [(i, t) for i, t, _ in rows] + [(9000, None), (9001, "")])
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in tox.op2_toxicity(spark, str(tmp_path)).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in got}
+    base = tox.pick(df, "doc_id long", "text string")
+    own = tox.train(base, spark.createDataFrame([(i, y) for i, _, y in rows if not fold[i]], "doc_id long, label int"))
+    text = {i: t for i, t, _ in rows}
+    for i, r in got.items():
+        assert r["held_out"] == fold[i] and r["score"] == pytest.approx(own.score(text.get(i)), abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5)
+    assert len(got) == len(rows) + 2 and all(r["predicted"] == y for i, _, y in rows if fold[i] for r in [got[i]])
