@@ -11,9 +11,13 @@ two that a source has left at last are landed (the documents' constraint dropped
 
 Draws are hashes of the document and the seed: reruns agree, however the rows are dealt.
 
+Rows with equal doc_id, source and text are one unit: of t such rows, floor(t * frac(r)) are taken
+once more by rule, and one more by the draw, with what is left of the chance.
+
 Defined cases: a null text has no words, and is taken without effect; null source is a source,
-the last; rows with equal doc_id, source and text are one unit, decided together; a source
-without words has target 0; an empty table gives an empty result. Extra columns never matter.
+the last; a source without words has target 0; an empty table gives an empty result. Texts of any
+length are counted whole; units of equal size are drawn in the order of their hashes. Extra columns
+never matter. The targets' windows see one row a source, in one task: for sources, not for hosts.
 """
 
 from __future__ import annotations
@@ -148,16 +152,15 @@ def land(p: np.ndarray, words: np.ndarray, draws: np.ndarray) -> np.ndarray:
         p[a], p[b] = part
 
 
-_STATE = "doc_id long, source string, size long, text_hash long, times long, source_size long, target double, n_units long, p double"
+_STATE = "doc_id long, source string, size long, text_hash long, times long, source_size long, target double, n_units long, sure long, p double"
 
 
 def _pass(level: int, last: bool, seed: int):
     def run(t: pa.Table) -> pa.Table:
-        key, size, times = (t[c].to_numpy() for c in ("__key", "size", "times"))
+        key, size = (t[c].to_numpy() for c in ("__key", "size"))
         order = np.lexsort((key, -size))  # the largest first
-        t, key, times = t.take(order), key[order], times[order].astype(float)
-        words = size[order] * times
-        p = flight(t["p"].to_numpy(), times, words, _draws(key, seed + 2 * level))
+        t, key, words = t.take(order), key[order], size[order].astype(float)
+        p = flight(t["p"].to_numpy(), np.ones(len(key)), words, _draws(key, seed + 2 * level))
         if last:
             p = land(p, words, _draws(key, seed + 2 * level + 1))
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).drop_columns(["__block", "__key"])
@@ -166,11 +169,14 @@ def _pass(level: int, last: bool, seed: int):
 
 
 def sample(of: DataFrame, goals: DataFrame, n_sources: int, largest: int, seed: int = 0) -> DataFrame:
-    """The units with ``p``: 1 if taken once more than floor(target / source_size), else 0."""
+    """The units with ``sure`` and ``p``: how many of their rows are taken once more than
+    floor(target / source_size) by rule, and by the draw (1 or 0)."""
     right = goals.withColumnRenamed("source", "__source")
     right = F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    state = of.join(right, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").withColumn("p", ratio - F.floor(ratio))
+    state = of.join(right, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    chance = F.col("times") * (ratio - F.floor(ratio))
+    state = state.withColumn("sure", F.floor(chance).cast("long")).withColumn("p", chance - F.floor(chance))
     decided: list[DataFrame] = []
     level = 0
     while True:
@@ -195,28 +201,38 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, text_hash, times, source_size, target and copies: how often the mix
-    takes each unit (rows with equal doc_id, source and text; times counts them)."""
+    """doc_id, source, size, text_hash, times, source_size, target, base and more: the mix takes each
+    of a unit's ``times`` rows (equal in doc_id, source and text) base times, and ``more`` of them
+    once more."""
     of = written(units(docs), "mixing-units")
     goals = written(targets(of), "mixing-targets")
     n, largest = goals.agg(F.count("*"), F.coalesce(F.max("n_units"), F.lit(0))).first()
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    return sample(of, goals, n, largest, seed).withColumn("copies", (ratio + F.col("p")).cast("int")).drop("p", "n_units")
+    return sample(of, goals, n, largest, seed).withColumn("base", ratio.cast("int")).withColumn("more", F.col("sure") + F.col("p").cast("long")).drop("p", "sure", "n_units")
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, size, source_size, target (its source's) and taken words."""
-    rows = mix(docs).withColumn("__one", F.explode(F.expr("sequence(1L, times)")))
+    rows = mix(docs).withColumn("__n", F.explode(F.expr("sequence(1L, times)")))
+    rows = rows.withColumn("copies", (F.col("base") + (F.col("__n") <= F.col("more")).cast("int")).cast("int"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document's row as often as the mix takes it."""
-    chosen = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "copies")
+    """Pipeline stage: each document's row as often as the mix takes it. Of a unit of several rows,
+    equal ones are counted first (with partial sums), and different ones ordered by their hash."""
+    chosen = mix(docs).where("base > 0 or more > 0")
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "times", "base", "more")
     packed, names = pack(docs, "doc_id long", "source string", "text string")
     packed = packed.select(ROW, "doc_id", "source", F.xxhash64("text").alias("__h"))
     on = (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    rows = packed.join(chosen, on).withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    joined = packed.join(chosen, on)
+    one = joined.where("times = 1").select(ROW, (F.col("base") + F.col("more")).alias("copies"))
+    several = joined.where("times > 1").groupBy(ROW, "doc_id", "source", "__h", "base", "more").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("doc_id", "source", "__h").orderBy(F.xxhash64(F.to_json(ROW))).rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("more") - F.coalesce(F.sum("n").over(before), F.lit(0))
+    several = several.withColumn("rest", rest).select(ROW, (F.col("n") * F.col("base") + F.greatest(F.lit(0), F.least("n", "rest"))).alias("copies"))
+    rows = one.unionByName(several).where("copies > 0").withColumn("__one", F.explode(F.expr("sequence(1L, copies)")))
     return unpack(rows, names)
 
 

@@ -75,3 +75,43 @@ def test_awkward(spark):
     assert kept.columns == df.columns
     assert mixing.stage(spark, empty(spark), "").count() == 0
     assert kept.count() == int(got.copies.sum())
+
+
+def test_repeated_rows(spark):
+    """One row repeated very often is no unit that is taken whole: its source meets its target."""
+    rows = [(i, words(i, 40), "a", i) for i in range(120)] + [(999, words(999, 50), "a", i % 3) for i in range(400)]
+    rows += [(2000 + i, words(i, 60), "b", i) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    got = mixing.taken(df).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
+    for _, part in got.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 60
+    kept = mixing.stage(spark, df, "").toPandas()
+    for i, part in got.groupby("doc_id"):
+        assert (kept.doc_id == i).sum() == part.copies.sum()
+    share = kept[kept.doc_id == 999].groupby("other").size()
+    assert set(share.index) <= {0, 1, 2} and share.sum() == got[got.doc_id == 999].copies.sum() and share.max() <= 2 * 134
+
+
+def plain_cube(p, words_, draws):
+    """One block's flight and landing, with vectors of the null-space by singular values."""
+    p = p.copy()
+    while True:
+        open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+        if len(open_) < 3:
+            return p
+        pool = open_[:3]
+        u = np.linalg.svd(np.array([np.ones(3), words_[pool]]))[2][-1]
+        steps = [((1 - p[j]) / v if v > 0 else -p[j] / v) for j, v in zip(pool, u) if abs(v) > 1e-12]
+        p[pool] = np.clip(p[pool] + min(steps) * u, 0, 1)
+
+
+def test_against_a_plain_cube():
+    """Totals of documents and words are those that a plain null-space flight keeps."""
+    rng = np.random.default_rng(4)
+    for n in (5, 50, 400):
+        p, words_ = rng.random(n), np.sort(rng.integers(1, 500, n))[::-1].astype(float)
+        plain, own = plain_cube(p, words_, None), mixing.flight(p, np.ones(n), words_, rng.random(n))
+        for x in (plain, own):
+            assert x.sum() == pytest.approx(p.sum(), abs=1e-6) and (x * words_).sum() == pytest.approx((p * words_).sum(), rel=1e-6)
+            assert ((x > 1e-9) & (x < 1 - 1e-9)).sum() <= 2
