@@ -9,23 +9,27 @@ measure lies within the group's quartiles widened by ``FENCE`` quartile distance
 
 Defined cases: a null text has no words; a text without words feeds no sketch and fails; null
 lang and null source are groups like any other; repeated rows get equal verdicts; an empty table
-gives an empty result. Extra columns never matter.
+gives an empty result. Values on a threshold are kept. Texts are whole, of any length. Extra columns
+never matter.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import ROW, bound_batches, pack, pick, table, unpack, written
+from ._hashing import word_hashes
 
 GAMMA = 1.02
 ZERO_BIN = -1_000_000
 MIN_GROUP = 50
+LONG_TEXT = 1 << 20
 FENCE = 3.0
 #: Measure, by number: numerator, denominator, least width beyond the quartiles.
 MEASURES = (
@@ -40,11 +44,30 @@ BROADCAST_GROUPS = 50_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
+def _repeated(words: np.ndarray) -> int:
+    """Words in three-word windows that are found twice or more, of words as numbers."""
+    if len(words) < 3:
+        return 0
+    ids = np.unique(words, return_inverse=True)[1]
+    kinds = int(ids.max()) + 1
+    pairs = np.unique(ids[:-1] * kinds + ids[1:], return_inverse=True)[1]
+    _, back, often = np.unique(pairs[:-1] * kinds + ids[2:], return_inverse=True, return_counts=True)
+    again, covered = often[back] > 1, np.zeros(len(words), bool)
+    for k in range(3):
+        covered[k : len(words) - 2 + k] |= again
+    return int(covered.sum())
+
+
 def measure_text(text: str | None) -> tuple[int, ...]:
-    """The counts of one text, in the order of ``_COUNTS``."""
+    """The counts of one text, in the order of ``_COUNTS``. Words of texts over ``LONG_TEXT`` bytes
+    are compared by 64-bit hashes, in arrays."""
     raw = (text or "").encode()
-    words = raw.split()  # bytes: at space and \t \n \v \f \r only
-    n = len(words)
+    if len(raw) > LONG_TEXT:
+        hashes = word_hashes([raw])[0]
+        words, n = [], len(hashes)
+    else:
+        words = raw.split()  # bytes: at space and \t \n \v \f \r only
+        n = len(words)
     if not n:
         return (0, 0, len(raw) - len(raw.translate(None, b"#*$%&|<>")), 0, 0, 0, 0)
     blank = len(raw) - len(raw.translate(None, b" \t\n\v\f\r"))
@@ -59,6 +82,8 @@ def measure_text(text: str | None) -> tuple[int, ...]:
             if j < i:
                 covered[j : j + 3] = covered[i : i + 3] = b"\1\1\1"
         repeated = covered.count(1)
+    if not words:
+        repeated = _repeated(hashes)
     return (
         n,
         len(text) - blank,

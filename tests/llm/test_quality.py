@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -52,3 +53,12 @@ def test_awkward(spark):
     none = [r for r in got.collect() if r["n_words"] == 0]
     assert len(none) == 4 and all(r["base_failed"] and not r["kept"] for r in none)
     assert quality.stage(spark, df, "").columns == df.columns and quality.stage(spark, empty(spark), "").count() == 0
+
+
+def test_long_texts_by_arrays(monkeypatch):
+    """Texts over the limit are measured by arrays of hashes, with the same counts."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab cd e f g".split()) + ("\n" if rng.random() < 0.2 else "") for _ in range(n)) for n in (1, 2, 3, 4, 30, 300)] + ["", " \n ", "x" * 50]
+    want = [quality.measure_text(t) for t in texts]
+    monkeypatch.setattr(quality, "LONG_TEXT", 0)
+    assert [quality.measure_text(t) for t in texts] == want
