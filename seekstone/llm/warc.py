@@ -14,7 +14,8 @@ Payloads that are equal and have ``LEAST_REVISIT`` bytes at least are stored onc
 largest page_id; the others become revisit records (identical-payload-digest) that refer to it.
 Defined cases: a null html is an empty payload; rows with a null page_id are responses unless
 an equal payload has an id; rows that repeat both are responses all; an empty table gives no
-archives and an empty result.
+archives and an empty result. Extra columns never matter. Records are whole in memory, one at a time;
+one beyond ``MOST_BYTES`` is refused by the reader.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ ROLL_BYTES = 32 << 20
 TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES = 200, 4 << 20, 32 << 10
 #: Records may have so many bytes at most (a length beyond it is taken for damage).
 MOST_BYTES = 2 << 30
+#: Repeated payloads up to this number are broadcast, with about 100 bytes each.
+BROADCAST_DIGESTS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: The standard's record types that hold no page.
@@ -188,14 +191,16 @@ def read_pages(f) -> Iterator[dict]:
 def planned(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest (hex SHA-1) and refers_to (null for responses).
 
-    Only ids and digests are grouped; the largest ids of repeated payloads come back by a join
-    on the digest whose one side has unique keys.
+    Only ids and digests are grouped. The largest ids of repeated payloads come back by a join on
+    the digest whose one side has unique keys: broadcast if they are few, so that payloads stay
+    where they are read, even if one of them is on a third of all pages; else shuffled.
     """
     rows = pick(pages, "page_id long", "url string", "html string")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = rows.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     big = rows.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
-    big = big.where("__n > 1 and __last is not null").select(F.col("digest").alias("__digest"), "__last")
+    big = written(big.where("__n > 1 and __last is not null").select(F.col("digest").alias("__digest"), "__last"), "warc-repeated")
+    big = F.broadcast(big) if big.count() <= BROADCAST_DIGESTS else big
     other = F.when(~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last"))
     return rows.join(big, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "payload", "digest", other.alias("refers_to"))
 
