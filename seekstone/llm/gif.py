@@ -1,12 +1,15 @@
 """Media columns: texts as animated GIFs, and GIFs as timed frames with colour histograms.
 
 The writer lays bytes out as 8-bit palette indices (a grey palette, 24 pixels wide, frames of
-up to 96 rows) and packs each frame with variable-width LZW. The reader takes any GIF87a or
-GIF89a: global and local palettes, interlacing, extensions, transparency, the disposal methods,
-clear codes anywhere; a truncated or malformed file is an error naming the place.
+up to 96 rows) and packs each frame with variable-width LZW. Frames take the disposal methods (keep,
+clear, restore) in turn, and index 255, which only the padding has, is transparent in the last
+one. The reader takes any GIF87a or GIF89a: global and local palettes, interlacing, extensions,
+transparency, the disposal methods, clear codes anywhere; a truncated or malformed file is an error
+naming the place. :func:`decode` gives composed canvases; of them, tables keep the histograms.
 
 A null text counts as empty; an empty one is one 24 x 24 frame of bytes 255. Repeated rows get
-equal files. Work and memory are per row.
+equal files; extra columns never matter; an empty table gives an empty result. Texts are whole:
+work and memory are per row, and a row's grow with its text.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ WIDTH, TILE = 24, 576
 #: A frame has up to so many 24 x 24 tiles, one below the other.
 FRAME_TILES = 4
 DELAY_CS = 10
+#: The byte that fills a payload up, and the transparent index of its last frame.
+PAD = 255
 HIST_BINS = 8
 _MAX_CODES = 4096
 
@@ -165,7 +170,8 @@ def encode(payload: bytes, delay_cs: int = DELAY_CS) -> bytes:
     out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0")
     for i in range(0, len(payload), step):
         frame = payload[i : i + step]
-        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_cs, 0, 0))
+        clear = i + step >= len(payload)
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, (1 + i // step % 3) << 2 | clear, delay_cs, PAD if clear else 0, 0))
         out.append(struct.pack("<BHHHHBB", 0x2C, 0, 0, WIDTH, len(frame) // WIDTH, 0, 8))
         stream = lzw_encode(frame)
         out += [b"".join(bytes([len(b := stream[j : j + 255])]) + b for j in range(0, len(stream), 255)), b"\0"]
@@ -282,7 +288,7 @@ def _decode(data: bytes) -> list[Frame]:
 def payload_of(text: str | None) -> bytes:
     """The UTF-8 bytes, with bytes 255 up to a positive multiple of 576."""
     raw = (text or "").encode()
-    return raw + b"\xff" * (max(TILE, -(-len(raw) // TILE) * TILE) - len(raw))
+    return raw + bytes([PAD]) * (max(TILE, -(-len(raw) // TILE) * TILE) - len(raw))
 
 
 def store(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -96,6 +96,18 @@ def test_interlaced_and_broken():
             gif.decode(bad)
 
 
+def test_own_files_use_disposal_and_transparency():
+    """The padding is transparent, frames dispose in turn, and the payload comes back whole."""
+    payload = gif.payload_of("".join(chr(33 + i % 90) for i in range(5 * 2304 - 100)))
+    frames = gif.decode(gif.encode(payload))
+    assert b"".join(f.indices for f in frames) == payload and [f.disposal for f in frames] == [1, 2, 3, 1, 2]
+    last = frames[-1]
+    before = np.frombuffer(frames[3].indices, np.uint8)[-100:]  # kept, and seen through the padding
+    assert last.canvas.reshape(-1, 4)[-100:, 0].tolist() == before.tolist() and (last.canvas[..., 3] == 255).all()
+    alone = gif.decode(gif.encode(gif.payload_of("ab")))[0]
+    assert alone.canvas[..., 3].ravel().tolist() == [255, 255] + [0] * 574 and sum(alone.histogram) == 6
+
+
 def test_awkward(spark):
     df = awkward(spark)
     got = gif.media(df).collect()
