@@ -195,12 +195,13 @@ def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = Fa
     """
     parts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
     salts = stars.groupBy("b").agg(F.count("*").alias("n")).select(F.col("b").alias("__b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__salt"), parts.alias("parts"))
-    right = sets.join(salts, F.col("fp") == F.col("__b")).select("__b", "__salt", F.col("set").alias("set_b"))
     sizes = salts.where("__salt = 0 and parts > 1").select("__b", "parts")
-    left = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a"))
     salt = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
-    pairs = stars.join(sizes, F.col("b") == F.col("__b"), "left").select("a", "b", "score", salt.alias("salt")).join(left, "a")
-    rows = pairs.join(right, (F.col("b") == F.col("__b")) & (F.col("salt") == F.col("__salt"))).select("a", "b", "score", "set_a", "set_b")
+    pairs = stars.join(sizes, F.col("b") == F.col("__b"), "left").select("a", "b", "score", salt.alias("salt"))
+    # both sides join the same table on the same key, so it is shuffled once
+    left = pairs.join(sets.alias("x"), F.col("a") == F.col("x.fp")).select("a", "b", "score", "salt", F.col("x.set").alias("set_a"))
+    right = salts.join(sets.alias("y"), F.col("__b") == F.col("y.fp")).select("__b", "__salt", F.col("y.set").alias("set_b"))
+    rows = left.join(right, (F.col("b") == F.col("__b")) & (F.col("salt") == F.col("__salt"))).select("a", "b", "score", "set_a", "set_b")
 
     def run(batches):
         for batch in batches:
