@@ -45,9 +45,10 @@ _OTHER_LETTER = 27
 
 _LETTER, _SYM, _GAP = r"[^\W\d_]", re.escape("".join(LOOKS_LIKE)), r"[ .\-_*]"
 _EITHER = rf"(?:{_LETTER}|[{_SYM}])"
-_RUN = re.compile(r"\S+")
-_SPACED_OUT = re.compile(rf"{_EITHER}(?:({_GAP}){_EITHER}(?=\1))(?:\1{_EITHER}(?=\1|[\s.,;:!?]|$))+")  # s p a c 3 d
-_DOUBTFUL = re.compile(rf"[{_SYM}]{_LETTER}|{_LETTER}(?:[{_SYM}]|(?<=({_LETTER}))\1\1)")  # a symbol beside a letter, or rrrepeats
+_SPACED_OUT = re.compile(rf"(?<!\S){_EITHER}(?:({_GAP}){_EITHER}(?=\1))(?:\1{_EITHER}(?=\1|[\s.,;:!?]|$))+")  # s p a c 3 d
+_BESIDE = re.compile(rf"[{_SYM}](?:(?={_LETTER})|(?<={_LETTER}[{_SYM}]))")  # a symbol beside a letter
+_REPEATS = re.compile(rf"({_LETTER})\1\1")  # rrrepeats
+_BLANK = re.compile(r"\s")
 _EDGES = ".,;:!?-_*"
 _SPACED = re.compile(rf"{_LETTER}{_GAP}{_LETTER}{_GAP}|{_EITHER}(?:{_GAP}{_EITHER})+\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -223,19 +224,27 @@ def restore(span: str, model: np.ndarray) -> str:
 
 def doubtful(text: str) -> list[tuple[int, int, bool]]:
     """begin, end and whether it is spaced out of every span of a text (lower case) that may be
-    written to deceive. Every run without a blank is looked at a bounded number of times."""
+    written to deceive. Three searches go through the text once each."""
     out, at = [], 0
-    while run := _RUN.search(text, at):
-        at, end = run.span()
-        if m := _SPACED_OUT.match(text, at):
-            out.append((at, m.end(), True))
-            at = m.end()
-            end = max(at, end)
-            while at < end and text[at - 1] not in _EDGES:  # what follows begins after a mark
+    searches = [_SPACED_OUT, _BESIDE, _REPEATS]
+    ahead = [r.search(text) for r in searches]
+    while any(ahead):
+        spaced, *cores = ahead
+        core = min((m.start() for m in cores if m), default=None)
+        if core is not None:
+            begin = core
+            while begin > at and not text[begin - 1].isspace():
+                begin -= 1
+        if spaced and (core is None or spaced.start() <= begin):
+            out.append((*spaced.span(), True))
+            at = spaced.end()
+            while at < len(text) and not text[at].isspace() and text[at - 1] not in _EDGES:  # what follows begins after a mark
                 at += 1
-        if at < end and _DOUBTFUL.search(text, at, end):
-            out.append((at, end, False))
-        at = max(at, end)
+        else:
+            end = _BLANK.search(text, core)
+            out.append((begin, end.start() if end else len(text), False))
+            at = out[-1][1]
+        ahead = [r.search(text, at) if m and m.start() < at else m for r, m in zip(searches, ahead)]
     return out
 
 
