@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     own, other = llm.queries()[name](spark, SF).toPandas(), con.execute(llm.oracle_sql()[name]).fetchdf()
     cols = sorted(own.columns)
