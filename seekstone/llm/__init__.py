@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function) and ORACLE (name -> DuckDB SQL), by operator number.
-MODULES = ("mixing", "line_dedup", "quality", "toxicity", "lm", "pii", "warc", "bpe", "minhash", "gif", "filter_audit")
+MODULES = ("mixing", "line_dedup", "quality", "toxicity", "lm", "pii", "warc", "bpe", "minhash", "gif", "ngram_join", "filter_audit")
 
 
 def _all(kind: str) -> dict:
