@@ -84,6 +84,6 @@ def test_command_line(spark, repo, capsys):
     args = ["eval", "--queries", str(top / "q.jsonl"), "--manifest", str(top / "m.yaml"), "--repos-dir", str(top), "--k", "1,3", "--output", str(top / "o.json")]
     assert main(args, spark) == 0
     told = json.loads((top / "o.json").read_text())
-    assert told["overall"]["n_queries"] == 1 and told["overall"]["recall"]["3"] == 1.0 and "| **overall** |" in capsys.readouterr().out
+    assert told["overall"]["n_queries"] == 1 and told["overall"]["recall_at_k"]["3"] == 1.0 and "| **overall** |" in capsys.readouterr().out
     assert main([*args, "--baseline", "naive"], spark) == 0
     assert main([*args, "--repo", "unknown"], spark) == 0 and "| **overall** | 0 |" in capsys.readouterr().out
