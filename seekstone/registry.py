@@ -110,6 +110,26 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
+EMBED_SIZE = 64
+
+
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashing embeddings of all documents, by coordinate."""
+    vectors = em.hash_embed(_files(spark, sf_dir), ["doc_id"], "text", EMBED_SIZE)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("slot", "x")).select("doc_id", "slot", F.round("x", 6).alias("value"))
+
+
+def _embedded_sql(rows: str, key: str, size: int) -> str:
+    """CTEs over ``rows`` (key, text) that end in e: key, slot, x (coordinates that some feature has)."""
+    return rf"""h0 AS (SELECT {key}, regexp_replace(regexp_replace(text, '{em.HUMPS[0]}', '\1 \2', 'g'), '{em.HUMPS[1]}', '\1 \2', 'g') AS t FROM {rows}),
+h1 AS (SELECT {key}, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{em.WORDS}')) AS w FROM h0),
+h2 AS (SELECT {key}, w, count(*) AS n FROM h1 GROUP BY ALL),
+h3 AS (SELECT {key}, n * {em.WORD_WEIGHT} AS x, 'w:' || w AS f FROM h2 UNION ALL SELECT {key}, n * {em.TRIGRAM_WEIGHT}, 't:' || substr('^' || w || '$', i, 3) FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM h2)),
+h4 AS (SELECT {key}, x, ('0x' || substr(md5(f), 1, 8))::BIGINT AS h FROM h3),
+h5 AS (SELECT {key}, ((h >> 1) % {size})::INT AS slot, sum(CASE WHEN h % 2 = 1 THEN x ELSE -x END)::BIGINT AS s FROM h4 GROUP BY ALL),
+e AS (SELECT {key}, slot, s / sqrt(sum(s * s) OVER (PARTITION BY {key})::DOUBLE) AS x FROM h5)"""
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _table(spark, sf_dir, "documents").select(F.concat(F.lit("model-"), "source").alias("model"), F.length("source").alias("dimension")).distinct()
     return names.select("model", "dimension", em.fingerprint_of(F.col("model"), F.col("dimension")).alias("fingerprint"))
@@ -298,7 +318,7 @@ def oversize_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (
-        vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, fingerprint, language_dispatch, path_filters,
+        vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, hash_embed, fingerprint, language_dispatch, path_filters,
         change_plan, index_stats, merge_snapshot, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
         html_headings, breadcrumb, oversize_windows,
     )
@@ -317,6 +337,8 @@ def oracle_sql() -> dict:
         "vector_topk_label_exact": f"WITH {_SCORED} SELECT query_id, rank::INT AS rank, id, round(s, 6) AS score FROM (SELECT *, {_RANKED} AS rank FROM scored WHERE label = wanted) WHERE rank <= {K}",
         "token_count": f"SELECT doc_id, {tokens}::INT AS n_tokens FROM documents",
         "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
+        "hash_embed": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_embedded_sql("d", "doc_id", EMBED_SIZE)}
+SELECT doc_id, slot, round(coalesce(x, 0), 6) AS value FROM (SELECT doc_id, unnest(range({EMBED_SIZE}))::INT AS slot FROM d) LEFT JOIN e USING (doc_id, slot)""",
         "fingerprint": "SELECT DISTINCT 'model-' || source AS model, length(source)::INT AS dimension, left(sha256('model-' || source || ':' || length(source)), 16) AS fingerprint FROM documents",
         "language_dispatch": f"WITH {_PATHS} SELECT page_id, ext, string_split(path, '/')[-1] AS name, CASE {cases} ELSE 'text' END AS language FROM s",
         "path_filters": f"WITH {_PATHS} SELECT page_id, path FROM s WHERE NOT list_has_any(string_split(path, '/')[:-2], {_sql_list(EXCLUDED_DIRS)}) AND ext NOT IN ({', '.join(repr(e) for e in EXCLUDED_EXTENSIONS)})",
