@@ -189,6 +189,17 @@ def parities(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`written`; the shuffle files of the write go when it ends, as nothing reads them again."""
+    key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id long", "text string").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
@@ -218,7 +229,7 @@ def _profiles(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
         nothing = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), bool)), pa.array(used), nothing, pa.array(counts[used]), pa.nulls(len(used), pa.binary())], names=["counter", "doc_id", "text_key", "n", "fp"])
 
-    told = written(_rows(docs).mapInArrow(run, "counter boolean, doc_id long, text_key long, n long, fp binary"), "ngram-profiles")
+    told = _written(_rows(docs).mapInArrow(run, "counter boolean, doc_id long, text_key long, n long, fp binary"), "ngram-profiles")
     counters = told.where("counter").groupBy(F.col("doc_id").alias("slot")).agg(F.sum("n").alias("n"))
     return told.where("not counter").drop("counter"), counters
 
@@ -254,12 +265,13 @@ def _shared_keys(texts: DataFrame, width: int, percent: int, cost: np.ndarray) -
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(4 * ids[a:b][who] + roles), pa.array(hot)], names=["key", "who", "hot"])
 
     rows = texts.mapInArrow(run, "key long, who long, hot boolean")
-    own = F.shiftright("who", 2)
-    group = Window.partitionBy("key", "hot_part")
+    own, role = F.shiftright("who", 2), F.col("who").bitwiseAND(3)
     # a hot key is shared anyway: its rows are dealt by class, so that they needn't meet in one task
     rows = rows.withColumn("hot_part", F.when(F.col("hot"), own).otherwise(-1))
-    rows = rows.withColumn("lo", F.min(own).over(group)).withColumn("hi", F.max(own).over(group)).where("lo != hi or hot")
-    return written(rows.select("key", own.alias("cls"), F.col("who").bitwiseAND(3).cast("int").alias("role")), "ngram-keys")
+    group = Window.partitionBy("key", "hot_part")
+    told = [F.min(own).over(group).alias("lo"), F.max(own).over(group).alias("hi"), F.bit_or(role).over(group).alias("roles"), F.count("*").over(group).alias("many")]
+    kept = rows.select("key", own.alias("cls"), role.cast("int").alias("role"), "hot", *told).where("hot or (lo != hi and roles = 3)")
+    return _written(kept.select("key", "cls", "role", F.when(F.col("hot"), HOT).otherwise(F.col("many")).alias("many")), "ngram-keys")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -271,15 +283,13 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
             sketch = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketch], names=["cls", "set", "sketch"])
 
-    return written(texts.mapInArrow(run, "cls long, set binary, sketch array<long>"), "ngram-sets")
+    return _written(texts.mapInArrow(run, "cls long, set binary, sketch array<long>"), "ngram-sets")
 
 
-def _members(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """key, cls, role, n (size of the set), score (rows that share its keys) and many (the group's rows); written."""
-    groups = shared.groupBy("key").agg(F.count("*").alias("many"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi")
-    rows = shared.join(groups.select(F.col("key").alias("__k"), "many"), F.col("key") == F.col("__k")).drop("__k")
-    score = rows.groupBy("cls").agg(F.sum(F.col("many") - 1).alias("score")).join(sizes, "cls").withColumnRenamed("cls", "__c")
-    return written(rows.join(score, F.col("cls") == F.col("__c")).select("key", "cls", "role", "n", "score", "many"), "ngram-members")
+def _classes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cls, n (size of the set) and score (rows that share its keys) of the classes with shared keys; written."""
+    score = shared.groupBy("cls").agg(F.sum(F.col("many") - 1).alias("score"))
+    return _written(score.join(sizes, "cls").select("cls", "n", "score"), "ngram-scores")
 
 
 def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -290,23 +300,37 @@ def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(right, F.col("cls") == F.col("__node"), "left").withColumn("label", F.coalesce("__root", "cls")).drop("__node", "__root")
 
 
-def _open_groups(members: DataFrame, links: DataFrame | None, done: int) -> DataFrame:
-    """The members, with labels, of groups that have several components and leads beyond the first ``done``; written."""
-    rows = _labelled(members.where(F.col("many") > done), links)
-    sums = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(F.col("key").alias("__k"))
-    return written(rows.join(sums, F.col("key") == F.col("__k")).drop("__k"), "ngram-open")
+def _by_score():
+    """Groups, those first that share most."""
+    return Window.partitionBy("key").orderBy(F.desc("score"), F.desc("cls"), "role")
+
+
+def _meets(percent: int):
+    """The condition that a row (cls, role, n) could link with a lead (b, role_b, n_b) by their common key."""
+    is_ = lambda c, bit: F.col(c).bitwiseAND(bit) != 0
+    roles = (is_("role", INDEX) & is_("role_b", PROBE) & (F.col("n") <= F.col("n_b"))) | (is_("role_b", INDEX) & is_("role", PROBE) & (F.col("n_b") <= F.col("n")))
+    return (F.col("cls") != F.col("b")) & roles & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+
+
+def _first_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b and the sizes: every class with the best of each of its groups."""
+    best = F.first(F.struct(F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"))).over(_by_score())
+    told = rows.join(classes, "cls").select("cls", "role", "n", best.alias("__lead")).select("cls", "role", "n", "__lead.*")
+    return told.where(_meets(percent)).select(F.col("cls").alias("a"), "b", "n", "n_b").distinct()
+
+
+def _open_groups(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
+    """key, cls, role and what ``labels`` has, of groups with several components and leads beyond the first ``done``; written."""
+    group = Window.partitionBy("key")
+    told = rows.join(labels, "cls").withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group)).withColumn("many", F.count("*").over(group))
+    return _written(told.where((F.col("lo") != F.col("hi")) & (F.col("many") > done)).drop("lo", "hi", "many"), "ngram-open")
 
 
 def _pairs(rows: DataFrame, done: int, upto: int, percent: int) -> DataFrame:
-    """a, b and the sizes: leads ``done`` + 1 to ``upto`` of each group as b, with members of other components
-    as a that could link with them by that key."""
-    order = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("cls"), "role")
-    leads = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= upto).where(F.col("place") > done)
+    """a, b and the sizes: leads ``done`` + 1 to ``upto`` of each group as b, with members of other components as a."""
+    leads = rows.withColumn("place", F.row_number().over(_by_score())).where(F.col("place") <= upto).where(F.col("place") > done)
     leads = leads.select(F.col("key").alias("__k"), F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    is_ = lambda c, bit: F.col(c).bitwiseAND(bit) != 0
-    meets = (is_("role", INDEX) & is_("role_b", PROBE) & (F.col("n") <= F.col("n_b"))) | (is_("role_b", INDEX) & is_("role", PROBE) & (F.col("n_b") <= F.col("n")))
-    sized = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    return rows.join(leads, (F.col("key") == F.col("__k")) & (F.col("label") != F.col("label_b")) & meets & sized).select(F.col("cls").alias("a"), "b", "n", "n_b").distinct()
+    return rows.join(leads, (F.col("key") == F.col("__k")) & (F.col("label") != F.col("label_b")) & _meets(percent)).select(F.col("cls").alias("a"), "b", "n", "n_b").distinct()
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +343,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked, on whole sets; written. A lead's set goes to as many tasks as its star needs."""
-    pairs = written(pairs, "ngram-pairs")
+    pairs = _written(pairs, "ngram-pairs")
     parts = F.ceil(F.col("many") / STAR_ROWS).cast("int")
     stars = pairs.groupBy(F.col("b").alias("__b")).agg(F.count("*").alias("many")).select("__b", parts.alias("parts"))
     left = pairs.join(stars, F.col("b") == F.col("__b")).select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("salt"))
@@ -336,23 +360,27 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return written(rows.mapInArrow(run, "a long, b long, linked boolean"), "ngram-compared")
+    return _written(rows.mapInArrow(run, "a long, b long, linked boolean"), "ngram-compared")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, int]:
-    """node, root of all classes that link with another (None if there are none), and the number of sets compared."""
-    links, known, done, upto, compared = None, None, 0, FIRST_LEADS, 0
+def _links(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """node, root of all classes that link with another, and the number of pairs of sets compared."""
+    rows, known, done, upto, compared = shared.select("key", "cls", "role"), None, 0, FIRST_LEADS, 0
     while True:  # a group's leads grow by a factor each round, so rounds are few
-        rows = _open_groups(members, links, done)
-        if rows.isEmpty():
-            return links, compared
-        pairs = _near(_pairs(rows, done, upto, percent), sets, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        told = _compared(pairs, sets, percent)
+        if known is None:
+            pairs = _first_pairs(rows, classes, percent)
+        else:
+            links = components(known.where("linked").select("a", "b"))
+            labels = _written(_labelled(classes, links), "ngram-labels")
+            opened = _open_groups(rows, labels, done)
+            if opened.isEmpty():
+                return links, compared
+            pairs = _pairs(opened, done, upto, percent)
+            rows = opened.select("key", "cls", "role")  # a group that is one component stays so
+        near = _near(pairs, sets, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        told = _compared(near if known is None else near.join(known, ["a", "b"], "left_anti"), sets, percent)
         compared += told.count()
         known = told if known is None else known.unionByName(told)
-        links = components(known.where("linked").select("a", "b"))
         done, upto = upto, upto * LEADS_GROW
 
 
@@ -363,13 +391,13 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     least_size = bands(percent)[0][:1]
     chosen = told.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("n").alias("n"))
     # numbers are given by the write, so they are unique and stay
-    classes = written(chosen.select(F.monotonically_increasing_id().alias("cls"), "fp", "n", "r.doc_id", "r.text_key"), "ngram-classes")
+    classes = _written(chosen.select(F.monotonically_increasing_id().alias("cls"), "fp", "n", "r.doc_id", "r.text_key"), "ngram-classes")
     if least_size.size:
         banded = classes.where(F.col("n") >= int(least_size[0]))
         shared = _shared_keys(_texts_of(docs, banded.select("cls", "doc_id", "text_key")), width, percent, _costs(counters))
-        members = _members(shared, classes.select("cls", "n"))
-        wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "doc_id", "text_key")
-        links = _links(members, _sets(_texts_of(docs, wanted), width), percent)[0]
+        sharing = _classes(shared, classes.select("cls", "n"))
+        wanted = sharing.select("cls").join(classes, "cls").select("cls", "doc_id", "text_key")
+        links = _links(shared, sharing, _sets(_texts_of(docs, wanted), width), percent)[0]
     else:
         links = None
     ids = _labelled(classes.select("cls", "fp", F.col("doc_id").alias("least")), links)
