@@ -15,8 +15,9 @@ meet in the index, by counters over all documents (2**18 of them, an upper bound
 So units of empty segments and common subsets are left out where cheaper ones are left. A key is a hash,
 so strangers may meet; nothing that links is lost.
 
-Sets that share keys are compared star by star: in each key's group a few leads (the sets that share
-most), with all members of other components, then components are merged; each round has eight times the
+Sets that share keys are compared star by star: first every set with the best lead of its groups (the set
+that shares most), then in each key's group a few leads with all members of other components, components
+being merged in between; each round has eight times the
 leads of the last one, so that a family ends after a few rounds and none is cut off. Before sets are
 brought together, a pair must pass a sketch of 1,024 parities, whose distance never exceeds the
 number of members in which two sets differ. All links are confirmed on whole sets.
@@ -313,10 +314,11 @@ def _meets(percent: int):
 
 
 def _first_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b and the sizes: every class with the best of each of its groups."""
-    best = F.first(F.struct(F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"))).over(_by_score())
-    told = rows.join(classes, "cls").select("cls", "role", "n", best.alias("__lead")).select("cls", "role", "n", "__lead.*")
-    return told.where(_meets(percent)).select(F.col("cls").alias("a"), "b", "n", "n_b").distinct()
+    """a, b and the sizes: every class with the best of all leads of its groups."""
+    best = F.first(F.struct(F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"), F.col("score").alias("score_b"))).over(_by_score())
+    told = rows.join(classes, "cls").select("cls", "role", "n", best.alias("__lead")).select("cls", "role", "n", "__lead.*").where(_meets(percent))
+    one = told.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("score_b", "b", "n", "n_b")).alias("v"))
+    return one.select("a", "v.b", "v.n", "v.n_b")
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
@@ -380,8 +382,10 @@ def _links(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
         near = _near(pairs, sets, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         told = _compared(near if known is None else near.join(known, ["a", "b"], "left_anti"), sets, percent)
         compared += told.count()
-        known = told if known is None else known.unionByName(told)
-        done, upto = upto, upto * LEADS_GROW
+        if known is None:
+            known = told
+        else:
+            known, done, upto = known.unionByName(told), upto, upto * LEADS_GROW
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
