@@ -81,7 +81,7 @@ def _windows(window: int, overlap: int):
     return query
 
 
-def _windows_sql(window: int, overlap: int, where: str = "") -> str:
+def windows_sql(window: int, overlap: int, where: str = "") -> str:
     step = max(window - overlap, 1)
     return f"""
 WITH d AS (SELECT 'docs/' || doc_id || '.txt' AS file_path, doc_id || '.txt' AS name, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
@@ -91,15 +91,19 @@ x AS (SELECT *, array_to_string(ls[i * {step} + 1 : i * {step} + {window}], chr(
 """
 
 
-_BLANK = "regexp_matches(t, '[^ \\t\\n\\r\\f\\v]')"
+BLANK_SQL = "regexp_matches(t, '[^ \\t\\n\\r\\f\\v]')"
+
+
+def tokens_sql(text: str) -> str:
+    return r"len(list_filter(regexp_split_to_array(" + text + r", '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda t: t <> ''))"
 
 
 def _windows_oracle(window: int, overlap: int) -> str:
     step = max(window - overlap, 1)
-    return _windows_sql(window, overlap) + f"""
+    return windows_sql(window, overlap) + f"""
 SELECT file_path, name || ':window' || (i + 1) AS symbol_name, (i * {step} + 1)::INT AS start_line,
        least(i * {step} + {window}, len(ls))::INT AS end_line, sha256(t) AS text_hash, sha256('# ' || file_path || chr(10) || t) AS embed_hash
-FROM x WHERE {_BLANK}"""
+FROM x WHERE {BLANK_SQL}"""
 
 
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +123,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("doc_id", F.posexplode("embedding").alias("slot", "x")).select("doc_id", "slot", F.round("x", 6).alias("value"))
 
 
-def _embedded_sql(rows: str, key: str, size: int) -> str:
+def embedded_sql(rows: str, key: str, size: int) -> str:
     """CTEs over ``rows`` (key, text) that end in e: key, slot, x (coordinates that some feature has)."""
     return rf"""h0 AS (SELECT {key}, regexp_replace(regexp_replace(text, '{em.HUMPS[0]}', '\1 \2', 'g'), '{em.HUMPS[1]}', '\1 \2', 'g') AS t FROM {rows}),
 h1 AS (SELECT {key}, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{em.WORDS}')) AS w FROM h0),
@@ -326,7 +330,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    tokens = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda t: t <> ''))"
+    tokens = tokens_sql("coalesce(text, '')")
     cases = " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in LANGUAGES.items())
     cells = [f"max(CASE WHEN k = {k} THEN printf('%.3f', {c}) END)" for c in ("precision", "recall") for k in KS]
     heads = ["Scope", "n", *[f"P@{k}" for k in KS], *[f"R@{k}" for k in KS], "MRR"]
@@ -337,7 +341,7 @@ def oracle_sql() -> dict:
         "vector_topk_label_exact": f"WITH {_SCORED} SELECT query_id, rank::INT AS rank, id, round(s, 6) AS score FROM (SELECT *, {_RANKED} AS rank FROM scored WHERE label = wanted) WHERE rank <= {K}",
         "token_count": f"SELECT doc_id, {tokens}::INT AS n_tokens FROM documents",
         "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
-        "hash_embed": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_embedded_sql("d", "doc_id", EMBED_SIZE)}
+        "hash_embed": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {embedded_sql("d", "doc_id", EMBED_SIZE)}
 SELECT doc_id, slot, round(coalesce(x, 0), 6) AS value FROM (SELECT doc_id, unnest(range({EMBED_SIZE}))::INT AS slot FROM d) LEFT JOIN e USING (doc_id, slot)""",
         "fingerprint": "SELECT DISTINCT 'model-' || source AS model, length(source)::INT AS dimension, left(sha256('model-' || source || ':' || length(source)), 16) AS fingerprint FROM documents",
         "language_dispatch": f"WITH {_PATHS} SELECT page_id, ext, string_split(path, '/')[-1] AS name, CASE {cases} ELSE 'text' END AS language FROM s",
@@ -345,11 +349,11 @@ SELECT doc_id, slot, round(coalesce(x, 0), 6) AS value FROM (SELECT doc_id, unne
         "change_plan": f"WITH {_PLAN} SELECT file_path, file_hash, status FROM plan",
         "index_stats": f"WITH {_PLAN} SELECT count(*) FILTER (status <> 'removed') AS files_scanned, count(*) FILTER (status IN ('new', 'changed')) AS files_indexed, count(*) FILTER (status = 'unchanged') AS files_skipped, count(*) FILTER (status = 'removed') AS files_removed FROM plan",
         "merge_snapshot": f"WITH {_PLAN} SELECT file_path, file_hash FROM plan WHERE status <> 'removed'",
-        "index_status": _windows_sql(60, 10) + f"SELECT (SELECT count(*) FROM x WHERE {_BLANK}) AS chunks, (SELECT count(*) FROM documents) AS files",
+        "index_status": windows_sql(60, 10) + f"SELECT (SELECT count(*) FROM x WHERE {BLANK_SQL}) AS chunks, (SELECT count(*) FROM documents) AS files",
         "line_windows_60_10": _windows_oracle(60, 10),
         "line_windows_20_5": _windows_oracle(20, 5),
-        "line_iou_match": _windows_sql(20, 5) + f""",
-hit AS (SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS query_id, i, i * 15 + 1 AS a, least(i * 15 + 20, len(ls)) AS b, file_path FROM x WHERE {_BLANK}),
+        "line_iou_match": windows_sql(20, 5) + f""",
+hit AS (SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS query_id, i, i * 15 + 1 AS a, least(i * 15 + 20, len(ls)) AS b, file_path FROM x WHERE {BLANK_SQL}),
 sp AS (SELECT * FROM (VALUES (0, 'first', 1, 15), (1, 'w2', 70, 90)) t(pos, symbol, c, d)),
 met AS (SELECT query_id, i, arg_min(file_path || '::' || symbol, pos) AS key FROM hit, sp
         WHERE 'w' || i = symbol OR greatest(least(b, d) - greatest(a, c) + 1, 0) / (greatest(b, d) - least(a, c) + 1) >= 0.5 GROUP BY query_id, i)
@@ -360,6 +364,6 @@ SELECT hit.query_id, (hit.i + 1)::INT AS rank, coalesce(key, '__miss__' || hit.i
         "context_header": f"WITH d AS (SELECT doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')[1:{Settings().header_imports}] AS im FROM documents) SELECT doc_id, sha256('# file: docs/' || doc_id || CASE WHEN source <> 'src0' THEN chr(10) || '# class: ' || source ELSE '' END || CASE WHEN len(im) > 0 THEN chr(10) || '# imports:' || chr(10) || array_to_string(list_transform(im, lambda x: '#   ' || x), chr(10)) ELSE '' END || chr(10)) AS header_hash FROM d",
         "html_headings": f"WITH {_HEADINGS} SELECT page_id, pos, level, title FROM t",
         "breadcrumb": f"WITH {_HEADINGS} SELECT page_id, pos, concat_ws(' > ', {_CRUMBS}, title) AS breadcrumb FROM t WINDOW o AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
-        "oversize_windows": _windows_sql(60, 10, f"WHERE {tokens} > 2000") + f"""SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS doc_id, (i * 50 + 1)::INT AS start_line, least(i * 50 + 60, len(ls))::INT AS end_line, sha256(t) AS text_hash, true AS truncated FROM x
+        "oversize_windows": windows_sql(60, 10, f"WHERE {tokens} > 2000") + f"""SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS doc_id, (i * 50 + 1)::INT AS start_line, least(i * 50 + 60, len(ls))::INT AS end_line, sha256(t) AS text_hash, true AS truncated FROM x
 UNION ALL SELECT doc_id, 1, len(string_split(coalesce(text, ''), chr(10)))::INT, sha256(coalesce(text, '')), false FROM documents WHERE {tokens} <= 2000""",
     }
