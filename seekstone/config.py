@@ -29,6 +29,7 @@ class Settings:
     overlap_lines: int = 10
     header_imports: int = 10
     default_k: int = 5
+    index_buckets: int = 64
     dedupe_module_tail: bool = False
     class_heritage: bool = False
     excluded_dirs: tuple[str, ...] = EXCLUDED_DIRS
@@ -36,5 +37,5 @@ class Settings:
 
     def chunk_fingerprint(self) -> str:
         """Changes with everything that changes chunks."""
-        own = {k: v for k, v in asdict(self).items() if k not in ("embedding_model", "embedding_batch_size", "default_k")}
+        own = {k: v for k, v in asdict(self).items() if k not in ("embedding_model", "embedding_batch_size", "default_k", "index_buckets")}
         return hashlib.sha256(json.dumps([CHUNKER_VERSION, own], sort_keys=True).encode()).hexdigest()[:16]

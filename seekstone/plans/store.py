@@ -1,8 +1,10 @@
-"""The index: immutable snapshots of files and chunks, named by a manifest that is swapped whole.
+"""The index: files and chunks in hash buckets by file, copied on write, under a manifest that is swapped whole.
 
-``<index>/manifest.json`` names ``<index>/snapshots/<n>/{files,chunks}``. A run writes a new snapshot
-and replaces the manifest last, so a reader sees the old state or the new one, and a run that breaks
-off leaves the old. Chunk ids are hashes of path, ordinal and text: equal input, equal ids.
+``<index>/manifest.json`` names for every bucket the run that wrote it last: its rows lie in
+``<index>/snapshots/<run>/{files,chunks}/bucket=<b>``. A run rewrites only buckets in which a file is new,
+changed or gone, and replaces the manifest last, so a reader sees the old state or the new one, and a
+run that breaks off leaves the old. What a run replaces is deleted by the next one, as readers of the last
+state may still be at work. Chunk ids are hashes of path, ordinal and text: equal input, equal ids.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seekstone.chunkers.registry import chunk_files, chunker_for
@@ -89,17 +91,19 @@ class Index:
     def manifest(self) -> dict | None:
         return json.loads(self.files_.read("manifest.json")) if self.files_.exists("manifest.json") else None
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        m = self.manifest()
-        if not m:
+    def _table(self, name: str, schema: str, only: set[int] | None = None) -> DataFrame:
+        """A table's rows, of all buckets or of some."""
+        places = (self.manifest() or {}).get("buckets", {}).get(name, {})
+        paths = [f"{self.folder}/snapshots/{run}/{name}/bucket={b}" for b, run in places.items() if only is None or int(b) in only]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/snapshots/{m['snapshot']}/{name}")
+        return self.spark.read.schema(schema).parquet(*paths)
 
-    def files(self) -> DataFrame:
-        return self._table("files", FILES)
+    def files(self, only: set[int] | None = None) -> DataFrame:
+        return self._table("files", FILES, only)
 
-    def chunks(self) -> DataFrame:
-        return self._table("chunks", CHUNKS)
+    def chunks(self, only: set[int] | None = None) -> DataFrame:
+        return self._table("chunks", CHUNKS, only)
 
     def open_for(self, embedder: em.Embedder) -> DataFrame:
         """The chunks, if this embedder made their vectors."""
@@ -135,10 +139,25 @@ def change_plan(current: DataFrame, previous: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).withColumn("file_path", F.coalesce("file_path", "old_path")).drop("old_path", "old_hash")
 
 
+def _counters() -> list[Column]:
+    """Files scanned, indexed, skipped and removed, as aggregates over a plan."""
+    of = lambda *names: F.count_if(F.col("status").isin(*names))
+    return [of("new", "changed", "unchanged").alias("files_scanned"), of("new", "changed").alias("files_indexed"), of("unchanged").alias("files_skipped"), of("removed").alias("files_removed")]
+
+
 def plan_counts(plan: DataFrame) -> DataFrame:
     """One row: files scanned, indexed, skipped and removed."""
-    of = lambda *names: F.count_if(F.col("status").isin(*names))
-    return plan.agg(of("new", "changed", "unchanged").alias("files_scanned"), of("new", "changed").alias("files_indexed"), of("unchanged").alias("files_skipped"), of("removed").alias("files_removed"))
+    return plan.agg(*_counters())
+
+
+def bucket_of(path: Column, buckets: int) -> Column:
+    """The hash bucket of a file."""
+    return (F.conv(F.substring(F.md5(path), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
+def touched_buckets(plan: DataFrame, buckets: int) -> DataFrame:
+    """bucket: those in which a file is new, changed or removed."""
+    return plan.where("status != 'unchanged'").select(bucket_of(F.col("file_path"), buckets).alias("bucket")).distinct()
 
 
 def merge_chunks(kept_from: DataFrame, plan: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -168,6 +187,7 @@ def index_tree(
     if old and not rebuild and old["embedding_fingerprint"] != em.fingerprint(own):
         raise ValueError(f"the index was made with {old['embedding_model']}, not {own.name}. Re-run with --rebuild")
     upgraded = bool(old) and not rebuild and (old["chunker_version"], old["chunk_fingerprint"]) != (CHUNKER_VERSION, settings.chunk_fingerprint())
+    upgraded = upgraded or bool(old) and not rebuild and old.get("n_buckets") != settings.index_buckets
     fresh_start = rebuild or upgraded or not old
     number = (old["snapshot"] if old else 0) + 1
     top = f"{index.folder}/snapshots/{number}"
@@ -177,24 +197,36 @@ def index_tree(
     files = files.withColumn("file_path", F.translate("file_path", "\\", "/")).withColumn("file_hash", F.sha2("content", 256))
     plan = change_plan(files, previous)
     content = F.when(F.col("status").isin("new", "changed"), F.col("content"))
-    plan.withColumn("content", content).write.mode("overwrite").parquet(f"{top}/plan")  # one scan of the tree feeds all
+    counted, cut = Observation("plan"), Observation("chunks")  # counters are taken while the tables are written
+    plan.withColumn("content", content).observe(counted, *_counters()).write.mode("overwrite").parquet(f"{top}/plan")  # one scan of the tree feeds all
     plan = spark.read.parquet(f"{top}/plan")
+    touched = {r["bucket"] for r in touched_buckets(plan, settings.index_buckets).collect()}  # at most as many as there are buckets
 
     chunks = chunk_files(plan.where("status in ('new', 'changed')"), settings, factory)
     chunks = chunks.withColumn("content_hash", F.sha2("code_text", 256)).withColumn("chunk_id", F.xxhash64("file_path", "ordinal", "content_hash"))
     names = [c.split(" ")[0] for c in CHUNKS.split(", ")]
     fresh = em.embed(chunks.drop("ordinal"), "embed_text", settings, embedder).select(*names)
-    fresh.write.mode("overwrite").parquet(f"{top}/fresh")
+    fresh.observe(cut, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{top}/fresh")
     fresh = spark.read.schema(CHUNKS).parquet(f"{top}/fresh")
-    whole = fresh if fresh_start else merge_chunks(index.chunks(), plan, fresh)
-    whole.write.mode("overwrite").parquet(f"{top}/chunks")
-    plan.where("status != 'removed'").select("file_path", "file_hash").write.mode("overwrite").parquet(f"{top}/files")
-    counts = plan_counts(plan).first()
-    stats = IndexStats(*counts, fresh.count(), upgraded)
+    own_bucket = bucket_of(F.col("file_path"), settings.index_buckets)
+    state = plan.where("status != 'removed'").select("file_path", "file_hash")
+    rows = {"chunks": fresh if fresh_start else merge_chunks(index.chunks(touched), plan, fresh), "files": state.where(own_bucket.isin(*touched) if touched else F.lit(False))}
+    places = {} if fresh_start else {name: dict(old["buckets"].get(name, {})) for name in rows}
+    retired = []
+    for name, table in rows.items():
+        kept = places.setdefault(name, {})
+        retired += [f"{kept.pop(str(b))}/{name}/bucket={b}" for b in touched if str(b) in kept]
+        written = Observation(name)
+        dealt = table.withColumn("bucket", own_bucket).repartition("bucket")
+        dealt.observe(written, F.collect_set("bucket").alias("buckets")).write.mode("overwrite").partitionBy("bucket").parquet(f"{top}/{name}")
+        kept.update({str(b): number for b in written.get["buckets"]})
+    if old and fresh_start:
+        retired = [f"{run}/{name}/bucket={b}" for name, runs in old.get("buckets", {}).items() for b, run in runs.items()]
+    stats = IndexStats(**counted.get, chunks_written=cut.get["n"], chunker_upgraded=upgraded)
     for name in ("plan", "fresh"):
         index.files_.delete(f"snapshots/{number}/{name}")
-    manifest = {"embedding_model": own.name, "embedding_fingerprint": em.fingerprint(own), "chunker_version": CHUNKER_VERSION, "chunk_fingerprint": settings.chunk_fingerprint(), "max_chunk_tokens": settings.max_chunk_tokens, "snapshot": number, "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "stats": asdict(stats)}
+    manifest = {"embedding_model": own.name, "embedding_fingerprint": em.fingerprint(own), "chunker_version": CHUNKER_VERSION, "chunk_fingerprint": settings.chunk_fingerprint(), "max_chunk_tokens": settings.max_chunk_tokens, "snapshot": number, "n_buckets": settings.index_buckets, "buckets": places, "retired": retired, "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "stats": asdict(stats)}
     index.files_.replace("manifest.json", json.dumps(manifest, indent=2))
-    if old and number > 2:
-        index.files_.delete(f"snapshots/{number - 2}")  # readers of the last snapshot may still be at work
+    for place in (old or {}).get("retired", []):
+        index.files_.delete(f"snapshots/{place}")
     return stats

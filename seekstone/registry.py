@@ -203,6 +203,19 @@ def merge_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merge_chunks(before, plan, fresh).select("file_path", "file_hash")
 
 
+MERGE_BUCKETS = 512
+
+
+def bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new snapshot's files with their buckets, and whether the run rewrites the bucket."""
+    now, before = _states(spark, sf_dir)
+    plan = store.change_plan(now, before)
+    fresh = plan.where("status in ('new', 'changed')").select("file_path", "file_hash")
+    merged = store.merge_chunks(before, plan, fresh).withColumn("bucket", store.bucket_of(F.col("file_path"), MERGE_BUCKETS))
+    touched = store.touched_buckets(plan, MERGE_BUCKETS).withColumn("rewritten", F.lit(True))
+    return merged.join(touched, "bucket", "left").select("file_path", "file_hash", "bucket", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+
+
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     chunks = fallback_windows(files)
@@ -323,7 +336,7 @@ def oversize_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, hash_embed, fingerprint, language_dispatch, path_filters,
-        change_plan, index_stats, merge_snapshot, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
+        change_plan, index_stats, merge_snapshot, bucket_merge, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
         html_headings, breadcrumb, oversize_windows,
     )
     return {f.__name__: f for f in own} | {"line_windows_60_10": _windows(60, 10), "line_windows_20_5": _windows(20, 5)}
@@ -349,6 +362,7 @@ SELECT doc_id, slot, round(coalesce(x, 0), 6) AS value FROM (SELECT doc_id, unne
         "change_plan": f"WITH {_PLAN} SELECT file_path, file_hash, status FROM plan",
         "index_stats": f"WITH {_PLAN} SELECT count(*) FILTER (status <> 'removed') AS files_scanned, count(*) FILTER (status IN ('new', 'changed')) AS files_indexed, count(*) FILTER (status = 'unchanged') AS files_skipped, count(*) FILTER (status = 'removed') AS files_removed FROM plan",
         "merge_snapshot": f"WITH {_PLAN} SELECT file_path, file_hash FROM plan WHERE status <> 'removed'",
+        "bucket_merge": f"WITH {_PLAN}, b AS (SELECT *, (('0x' || substr(md5(file_path), 1, 8))::BIGINT % {MERGE_BUCKETS})::INT AS bucket FROM plan), t AS (SELECT bucket, bool_or(status <> 'unchanged') AS rewritten FROM b GROUP BY bucket) SELECT file_path, file_hash, b.bucket, rewritten FROM b JOIN t ON t.bucket = b.bucket WHERE status <> 'removed'",
         "index_status": windows_sql(60, 10) + f"SELECT (SELECT count(*) FROM x WHERE {BLANK_SQL}) AS chunks, (SELECT count(*) FROM documents) AS files",
         "line_windows_60_10": _windows_oracle(60, 10),
         "line_windows_20_5": _windows_oracle(20, 5),

@@ -87,3 +87,46 @@ def test_command_line(spark, repo, capsys):
     assert told["overall"]["n_queries"] == 1 and told["overall"]["recall_at_k"]["3"] == 1.0 and "| **overall** |" in capsys.readouterr().out
     assert main([*args, "--baseline", "naive"], spark) == 0
     assert main([*args, "--repo", "unknown"], spark) == 0 and "| **overall** | 0 |" in capsys.readouterr().out
+
+
+def parts(root):
+    """Modification times of the index's bucket files, by their path in the index."""
+    top = os.path.join(root, ".seekstone", "snapshots")
+    return {os.path.relpath(os.path.join(d, f), top): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(top) for f in fs if f.endswith(".parquet") and "bucket=" in d}
+
+
+def test_one_changed_file_rewrites_one_bucket(spark, tmp_path):
+    for i in range(1000):
+        (tmp_path / f"f{i}.txt").write_text(f"text of file {i}\n")
+    root = str(tmp_path)
+    assert stats(index_tree(spark, root)) == (1000, 1000, 0, 0)
+    index = Index.of(spark, root)
+    before, first = parts(root), index.manifest()
+    chunks = {tuple(r)[:2] for r in index.chunks().select("chunk_id", "file_path").collect()}
+    (tmp_path / "f17.txt").write_text("another text\n")
+    told = index_tree(spark, root)
+    assert stats(told) == (1000, 1, 999, 0) and told.chunks_written == 1
+    after, second = parts(root), index.manifest()
+    fresh = set(after) - set(before)
+    assert {p.split("/")[0] for p in fresh} == {"2"} and len({p.split("/")[2] for p in fresh}) == 1 and all(after[p] == t for p, t in before.items())
+    moved = [b for b in first["buckets"]["chunks"] if second["buckets"]["chunks"][b] != 1]
+    assert len(moved) == 1 and len(second["retired"]) == 2
+    now = {tuple(r)[:2] for r in index.chunks().select("chunk_id", "file_path").collect()}
+    assert len(now) == 1000 and len(now - chunks) == 1 and index.files().count() == 1000
+    # nothing to do: nothing written, and what the last run replaced is deleted
+    assert stats(index_tree(spark, root)) == (1000, 0, 1000, 0)
+    assert set(parts(root)) == set(after) - {p for p in before if p.split("/")[2] == f"bucket={moved[0]}"} and index.chunks().count() == 1000
+
+
+def test_a_bucket_that_empties(spark, tmp_path):
+    (tmp_path / "only.txt").write_text("x\n")
+    root = str(tmp_path)
+    index_tree(spark, root)
+    os.remove(tmp_path / "only.txt")
+    told = index_tree(spark, root)
+    assert (told.files_scanned, told.files_indexed, told.files_skipped, told.files_removed, told.chunks_written) == (0, 0, 0, 1, 0)
+    index = Index.of(spark, root)
+    assert index.chunks().count() == 0 and index.files().count() == 0 and index.manifest()["buckets"] == {"chunks": {}, "files": {}}
+    (tmp_path / "only.txt").write_text("y\n")
+    told = index_tree(spark, root)
+    assert (told.files_scanned, told.files_indexed, told.chunks_written) == (1, 1, 1) and index.files().count() == 1
