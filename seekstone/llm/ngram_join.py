@@ -31,8 +31,10 @@ are whole, however long: one text is held by one task. Extra columns never matte
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bound_batches, pick, slices, table, written
+from ._common import new_path, pick, slices, table, written
 from ._hashing import mix64, stream64
 from .minhash import components, shingle_sets
 
@@ -55,7 +57,7 @@ FIRST_LEADS, LEADS_GROW = 1, 8
 #: Members of a star that one task compares, about.
 STAR_ROWS = 512
 LARGEST_SET = 1 << 40
-_TEXT_AT_ONCE = 2_000_000
+_TEXT_AT_ONCE = 400_000
 _VALUE, _PLACE, _EXACT, _LESS, _PARITY = stream64(5, 41)
 INDEX, PROBE = 1, 2
 
@@ -190,15 +192,23 @@ def parities(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`written`; the shuffle files of the write go when it ends, as nothing reads them again."""
-    key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
-    before = conf.get(key)
-    conf.set(key, "true")
+@contextlib.contextmanager
+def _settings(spark: SparkSession):
+    """For one write: small Arrow batches, and shuffle files that go when it ends, as nothing reads them again."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {k: spark.conf.get(k) for k in own}
     try:
-        return written(df, name)
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
     finally:
-        conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    with _settings(df.sparkSession):
+        return written(df, name)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -276,7 +286,10 @@ def _shared_keys(texts: DataFrame, width: int, percent: int, cost: np.ndarray) -
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """cls, set (sorted hashes as bytes) and sketch; written."""
+    """cls, set (sorted hashes as bytes) and sketch, in a table bucketed by cls: pairs are brought to
+    the sets' buckets, round after round, and the sets stay where they are."""
+    spark = texts.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for batch in batches:
@@ -284,7 +297,11 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
             sketch = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketch], names=["cls", "set", "sketch"])
 
-    return _written(texts.mapInArrow(run, "cls long, set binary, sketch array<long>"), "ngram-sets")
+    name = f"ngram_sets_{uuid.uuid4().hex}"
+    made = texts.repartition(buckets, "cls").mapInArrow(run, "cls long, set binary, sketch array<long>")
+    with _settings(spark):
+        made.write.format("parquet").bucketBy(buckets, "cls").option("path", new_path(spark, "ngram-sets")).saveAsTable(name)
+    return spark.table(name)
 
 
 def _classes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -390,7 +407,6 @@ def _links(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_shingles and component_id of every row."""
-    bound_batches(docs.sparkSession)
     told, counters = _profiles(docs, width, percent)
     least_size = bands(percent)[0][:1]
     chosen = told.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("n").alias("n"))
@@ -401,7 +417,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         shared = _shared_keys(_texts_of(docs, banded.select("cls", "doc_id", "text_key")), width, percent, _costs(counters))
         sharing = _classes(shared, classes.select("cls", "n"))
         wanted = sharing.select("cls").join(classes, "cls").select("cls", "doc_id", "text_key")
-        links = _links(shared, sharing, _sets(_texts_of(docs, wanted), width), percent)[0]
+        sets = _sets(_texts_of(docs, wanted), width)
+        links = _links(shared, sharing, sets, percent)[0]
     else:
         links = None
     ids = _labelled(classes.select("cls", "fp", F.col("doc_id").alias("least")), links)
