@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seekstone.chunkers.registry import fallback_windows
 from seekstone.config import EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, LANGUAGES, Settings
 from seekstone.functions import embed as em
+from seekstone.functions import packing
 from seekstone.functions import text as tx
 from seekstone.operators import evaluate as ev
 from seekstone.operators.search import nearest, post_filter, top_k
@@ -333,11 +334,28 @@ def oversize_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.unionByName(whole)
 
 
+def pack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents in blocks of 400 tokens that overlap by 50."""
+    s = Settings()
+    blocks = packing.pack_lines(_files(spark, sf_dir), ["doc_id"], "text", s.module_window_tokens, s.module_overlap_tokens)
+    return blocks.select("doc_id", "ordinal", "start_line", "end_line", "n_tokens", F.sha2("text", 256).alias("text_hash"))
+
+
+_PACK = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+u AS (SELECT *, row_number() OVER o AS pos, sum({tokens_sql('t')}) OVER o AS upto FROM l WHERE {BLANK_SQL} WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+a AS (SELECT doc_id, list(upto ORDER BY pos) AS p, list(line ORDER BY pos) AS lines, list(t ORDER BY pos) AS ts FROM u GROUP BY doc_id),
+b AS (SELECT doc_id, 0 AS k, 0 AS s, len(list_filter(p, lambda x: x < {Settings().module_window_tokens})) + 1 AS e FROM a
+      UNION ALL SELECT doc_id, k + 1, n, greatest(e + 1, len(list_filter(p, lambda x: x < coalesce(p[n], 0) + {Settings().module_window_tokens})) + 1)
+      FROM (SELECT b.*, p, len(list_filter(p, lambda x: x <= p[e] - {Settings().module_overlap_tokens})) AS n FROM b JOIN a USING (doc_id) WHERE e <= len(p))),
+c AS (SELECT doc_id, k, lines, ts, s + 1 AS f, least(e, len(p)) AS g, p[least(e, len(p))] - coalesce(p[s], 0) AS n FROM b JOIN a USING (doc_id))
+SELECT doc_id, k::INT AS ordinal, lines[f]::INT AS start_line, lines[g]::INT AS end_line, n::INT AS n_tokens, sha256(array_to_string(ts[f : g], chr(10))) AS text_hash FROM c"""
+
+
 def queries() -> dict:
     own = (
         vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, hash_embed, fingerprint, language_dispatch, path_filters,
         change_plan, index_stats, merge_snapshot, bucket_merge, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
-        html_headings, breadcrumb, oversize_windows,
+        html_headings, breadcrumb, oversize_windows, pack_lines,
     )
     return {f.__name__: f for f in own} | {"line_windows_60_10": _windows(60, 10), "line_windows_20_5": _windows(20, 5)}
 
@@ -378,6 +396,7 @@ SELECT hit.query_id, (hit.i + 1)::INT AS rank, coalesce(key, '__miss__' || hit.i
         "context_header": f"WITH d AS (SELECT doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')[1:{Settings().header_imports}] AS im FROM documents) SELECT doc_id, sha256('# file: docs/' || doc_id || CASE WHEN source <> 'src0' THEN chr(10) || '# class: ' || source ELSE '' END || CASE WHEN len(im) > 0 THEN chr(10) || '# imports:' || chr(10) || array_to_string(list_transform(im, lambda x: '#   ' || x), chr(10)) ELSE '' END || chr(10)) AS header_hash FROM d",
         "html_headings": f"WITH {_HEADINGS} SELECT page_id, pos, level, title FROM t",
         "breadcrumb": f"WITH {_HEADINGS} SELECT page_id, pos, concat_ws(' > ', {_CRUMBS}, title) AS breadcrumb FROM t WINDOW o AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        "pack_lines": _PACK,
         "oversize_windows": windows_sql(60, 10, f"WHERE {tokens} > 2000") + f"""SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS doc_id, (i * 50 + 1)::INT AS start_line, least(i * 50 + 60, len(ls))::INT AS end_line, sha256(t) AS text_hash, true AS truncated FROM x
 UNION ALL SELECT doc_id, 1, len(string_split(coalesce(text, ''), chr(10)))::INT, sha256(coalesce(text, '')), false FROM documents WHERE {tokens} <= 2000""",
     }
