@@ -19,7 +19,7 @@ Sets that share keys are compared star by star: first every set with the best le
 that shares most), then in each key's group a few leads with all members of other components, components
 being merged in between; each round has eight times the
 leads of the last one, so that a family ends after a few rounds and none is cut off. Before sets are
-brought together, a pair must pass a sketch of 1,024 parities, whose distance never exceeds the
+brought together, a pair must pass a sketch of parities, whose distance never exceeds the
 number of members in which two sets differ. All links are confirmed on whole sets.
 
 Defined cases: A-Z counts as a-z; a text of fewer words than an n-gram has its whole sequence as one
@@ -38,7 +38,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,7 +51,8 @@ WIDE = 16
 COUNTERS = 1 << 18
 #: Keys with so many index rows beyond the mean are taken as shared without a look at their group.
 HOT = 50_000
-SKETCH_WORDS = 16
+#: 64-bit words of a sketch.
+LEAST_WORDS = 16
 #: Leads of a group in the first round, and how many times more in each later one.
 FIRST_LEADS, LEADS_GROW = 1, 8
 #: Members of a star that one task compares, about.
@@ -185,11 +186,12 @@ def keys_of(sets: list[np.ndarray], percent: int, cost: np.ndarray) -> tuple[np.
 
 
 def parities(members: np.ndarray) -> np.ndarray:
-    """The sketch: the parity of the number of members hashed to each of its bits, as 64-bit words."""
+    """The sketch: the parity of the number of members hashed to each of its bits, as 64-bit words; four
+    bits a member at least, and a power of two of words."""
+    words = max(LEAST_WORDS, 1 << (len(members) // 16).bit_length())
     with np.errstate(over="ignore"):
-        at = (mix64(members * _PARITY) >> np.uint64(54)).astype(np.int64)
-    odd = np.bincount(at, minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+        at = (mix64(members * _PARITY) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
 
 
 @contextlib.contextmanager
@@ -356,8 +358,17 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches don't rule a link out: an exact test, as parities differ in no more places than sets do."""
     own = lambda side: sets.select(F.col("cls").alias(f"__{side}"), F.col("sketch").alias(f"s_{side}"))
     rows = pairs.join(own("a"), F.col("a") == F.col("__a")).join(own("b"), F.col("b") == F.col("__b"))
-    apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    return rows.where(apart <= F.floor((100 - percent) * (F.col("n") + F.col("n_b")) / (100 + percent))).select("a", "b")
+    differ = lambda x, y: x.bitwiseXOR(y)
+
+    def folded(mine: Column, other: Column) -> Column:
+        """A sketch in as many words as the other has, if that is fewer: halves are laid over each other."""
+        half = (F.size(mine) / 2).cast("int")
+        return F.when(F.size(mine) > F.size(other), F.zip_with(F.slice(mine, F.lit(1), half), F.slice(mine, half + 1, half), differ)).otherwise(mine)
+
+    same = rows.select("a", "b", "n", "n_b", folded(F.col("s_a"), F.col("s_b")).alias("x"), folded(F.col("s_b"), F.col("s_a")).alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(differ(x, y))), F.lit(0), lambda total, x: total + x)
+    # only sizes more than a factor of two apart, which a limit under 50 percent allows, are not comparable
+    return same.where((F.size("x") != F.size("y")) | (apart <= F.floor((100 - percent) * (F.col("n") + F.col("n_b")) / (100 + percent)))).select("a", "b")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

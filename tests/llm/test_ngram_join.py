@@ -70,9 +70,12 @@ def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(3)
     for _ in range(50):
         a = sets_of(rng, int(rng.integers(1, 2000)), 1)
-        b = edited(rng, a, int(rng.integers(0, len(a))), int(rng.integers(0, 300)))
-        apart = sum(int(x).bit_count() for x in (nj.parities(a) ^ nj.parities(b)).view(np.uint64))
-        assert apart <= len(np.setxor1d(a, b))
+        b = edited(rng, a, int(rng.integers(0, len(a) // 3 + 1)), int(rng.integers(0, 300)))
+        x, y = sorted((nj.parities(a), nj.parities(b)), key=len)
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        apart = sum(int(z).bit_count() for z in (x ^ y).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and 64 * len(nj.parities(a)) >= 4 * len(a)
 
 
 @pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (2, 60)])
@@ -97,6 +100,27 @@ def test_hot_keys_are_dealt_by_class(spark, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def test_templates_grow_with_texts(spark, monkeypatch):
+    """Texts of 400 common words and 20 optional passages: pairs of sets compared grow about as texts do, and few don't link."""
+    rng = random.Random(8)
+    word = lambda: str(rng.randint(0, 10**9))
+    common, passages = [word() for _ in range(400)], [[word() for _ in range(20)] for _ in range(20)]
+    counts, compared = [], nj._compared
+
+    def count(pairs, sets, percent):
+        out = compared(pairs, sets, percent)
+        counts[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(nj, "_compared", count)
+    for n in (100, 400):
+        counts.append(0)
+        rows = [(i, " ".join(common + [w for p in passages if rng.random() < 0.5 for w in p])) for i in range(n)]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.groups(docs(spark, rows), 3, 85).collect()}
+        assert got == brute(rows, 3, 85)
+    assert counts[0] <= 2 * 100 and counts[1] <= 2 * 400, counts  # of 4,950 and 79,800 pairs
+
+
 def test_awkward_rows(spark):
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in nj.groups(awkward(spark), 4, 85).collect()}
     assert nj.groups(awkward(spark), 4, 85).count() == awkward(spark).count()
