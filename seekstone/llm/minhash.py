@@ -21,11 +21,11 @@ that a star can still hold are found by how its members differ from the hub:
 Both are exact. Members that share such a shingle make a new bucket; independent edits of one
 original share none, so large families end here. Members so far from the hub that no member linked
 to it can be linked with them are
-dealt by many long bands instead. In the new buckets a bounded number of classes a round (of those
-that failed with the hub) are compared with all others that aren't in their component, the best
-first, until none is left whose bucket has several components: a bucket whose classes neither
-link nor differ in what they share is the one thing that can take pairs by its square. All links
-are confirmed on whole sets. At similarity 0.85 a
+dealt by many long bands instead. In the new buckets some classes (of those that failed with the hub,
+the best first) are compared with all others that aren't in their component, then components are
+merged, and many times more are taken, until none is left whose bucket has several components. Before
+sets are brought together there, a pair must pass a sketch of parities, which rules out nothing that
+links (``_parity``). All links are confirmed on whole sets. At similarity 0.85 a
 linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), and no long band with 2e-6.
 
 Defined cases: null and empty texts have no set, and stay; rows without doc_id link like others,
@@ -47,14 +47,15 @@ from pyspark.sql.window import Window
 
 from ._common import ROW, all_of, bound_batches, pack, pick, slices, table, unpack, written
 from ._hashing import mix64, stream64, word_hashes
+from ._parity import near, parities
 
 BANDS, ROWS = 25, 5
 #: Bands of the second dealing, whose rows follow from the limit, and the chance that it loses a link.
 FINE_BANDS, FINE_LOSS = 180, 2e-6
 #: Edges of components in one file, about.
 EDGES_A_FILE = 100_000
-#: Classes of a bucket that are compared with all others of it at once, after the first stars.
-LEADS = 128
+#: Classes of a bucket that are compared with all others of it at once, after the first stars, and how many times more in each later round.
+FIRST_LEADS, LEADS_GROW = 16, 128
 #: Stars with more near members that failed try another hub, the class nearest to theirs.
 CROWD = 16
 #: Members of a star that one task compares, about: larger stars' centres go to several.
@@ -143,7 +144,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """fp and set (sorted hashes as bytes) of the classes ``wanted`` (fp, doc_id, text_key)."""
+    """fp, set (sorted hashes as bytes), n and sketch (parities) of the classes ``wanted`` (fp, doc_id, text_key)."""
     rows = pick(docs, "doc_id long", "text string").select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("r")
     w = wanted.alias("w")
     on = (F.col("r.text_key") == F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -152,9 +153,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "set"])
+            more = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.size for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["fp", "set", "n", "sketch"])
 
-    return written(found.mapInArrow(run, "fp binary, set binary"), "minhash-sets")
+    return written(found.mapInArrow(run, "fp binary, set binary, n long, sketch array<long>"), "minhash-sets")
 
 
 def differences(p: np.ndarray, q: np.ndarray, percent: int) -> dict:
@@ -327,15 +329,15 @@ def _several(rows: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp", "score", "lead", "label", "n_lead"), "minhash-rows")
 
 
-def _led(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _led(rows: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
     """The pairs a, b, score of the buckets' best leads with members of other components, written;
     and the rows, these leads no longer leading."""
     order = Window.partitionBy("bucket").orderBy(F.desc("score"), F.desc("fp"))
-    best = rows.where("lead").withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADS)
+    best = rows.where("lead").withColumn("place", F.row_number().over(order)).where(F.col("place") <= leads)
     best = best.select(F.col("bucket").alias("__b"), F.col("fp").alias("b"), F.col("label").alias("__label"))
     pairs = rows.join(best, (F.col("bucket") == F.col("__b")) & (F.col("label") != F.col("__label")))
     pairs = pairs.select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"), F.lit(0).cast("long").alias("score")).distinct()
-    rest = rows.where(f"n_lead > {LEADS}").join(best, (F.col("bucket") == F.col("__b")) & (F.col("fp") == F.col("b")), "left")
+    rest = rows.where(f"n_lead > {leads}").join(best, (F.col("bucket") == F.col("__b")) & (F.col("fp") == F.col("b")), "left")
     return written(pairs, "minhash-pairs"), rest.select("bucket", "fp", "score", (F.col("lead") & F.col("b").isNull()).alias("lead"))
 
 
@@ -381,14 +383,16 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     far = told.where("far and n_failed > 1 and not linked").groupBy(F.col("a").alias("__fp")).agg(F.first("score").alias("score"), F.bool_or(~F.col("near")).alias("lead"))
     fine = written(_fine(sets.join(far, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
 
-    rows, known = _dealt_again(told).unionByName(_shared(fine)), [first, second, third]
-    while True:  # the leads of a bucket get fewer
+    rows, known, leads = _dealt_again(told).unionByName(_shared(fine)), [first, second, third], FIRST_LEADS
+    while True:  # the leads of a bucket get fewer, and the more of them are compared at once
         links = components(all_of(known).where("linked").select("a", "b"))
         several = _several(rows, links)
         if several.isEmpty():
             return links
-        pairs, rows = _led(several)
-        known.append(_verify(pairs, sets, percent))
+        pairs, rows = _led(several, leads)
+        pairs = near(pairs, sets.select(F.col("fp").alias("id"), "n", "sketch"), percent)
+        known.append(_verify(written(pairs, "minhash-near"), sets.select("fp", "set"), percent))
+        leads *= LEADS_GROW
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

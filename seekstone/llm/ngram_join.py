@@ -38,12 +38,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import new_path, pick, slices, table, written
 from ._hashing import mix64, stream64
+from ._parity import most_apart, near, parities
 from .minhash import components, shingle_sets
 
 #: Of so many segments one is wide.
@@ -51,23 +52,16 @@ WIDE = 16
 COUNTERS = 1 << 18
 #: Keys with so many index rows beyond the mean are taken as shared without a look at their group.
 HOT = 50_000
-#: 64-bit words of a sketch.
-LEAST_WORDS = 16
 #: Leads of a group in the first round, and how many times more in each later one.
 FIRST_LEADS, LEADS_GROW = 1, 8
 #: Members of a star that one task compares, about.
 STAR_ROWS = 512
 LARGEST_SET = 1 << 40
 _TEXT_AT_ONCE = 400_000
-_VALUE, _PLACE, _EXACT, _LESS, _PARITY = stream64(5, 41)
+_VALUE, _PLACE, _EXACT, _LESS = stream64(4, 41)
 INDEX, PROBE = 1, 2
 
 
-def most_apart(a, b, percent: int):
-    """The most members in which linked sets of these sizes differ."""
-    return (100 - percent) * (a + b) // (100 + percent)
-
-
 @functools.lru_cache(maxsize=8)
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First size, last size and number of segments of each band."""
@@ -185,15 +179,6 @@ def keys_of(sets: list[np.ndarray], percent: int, cost: np.ndarray) -> tuple[np.
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (who, np.int64), (roles, np.uint8)))
 
 
-def parities(members: np.ndarray) -> np.ndarray:
-    """The sketch: the parity of the number of members hashed to each of its bits, as 64-bit words; four
-    bits a member at least, and a power of two of words."""
-    words = max(LEAST_WORDS, 1 << (len(members) // 16).bit_length())
-    with np.errstate(over="ignore"):
-        at = (mix64(members * _PARITY) & np.uint64(64 * words - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
-
-
 @contextlib.contextmanager
 def _settings(spark: SparkSession):
     """For one write: small Arrow batches, and shuffle files that go when it ends, as nothing reads them again."""
@@ -288,7 +273,7 @@ def _shared_keys(texts: DataFrame, width: int, percent: int, cost: np.ndarray) -
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """cls, set (sorted hashes as bytes) and sketch, in a table bucketed by cls: pairs are brought to
+    """cls, n, set (sorted hashes as bytes) and sketch, in a table bucketed by cls: pairs are brought to
     the sets' buckets, round after round, and the sets stay where they are."""
     spark = texts.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -297,10 +282,10 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             sketch = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketch], names=["cls", "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), sketch], names=["cls", "n", "set", "sketch"])
 
     name = f"ngram_sets_{uuid.uuid4().hex}"
-    made = texts.repartition(buckets, "cls").mapInArrow(run, "cls long, set binary, sketch array<long>")
+    made = texts.repartition(buckets, "cls").mapInArrow(run, "cls long, n long, set binary, sketch array<long>")
     with _settings(spark):
         made.write.format("parquet").bucketBy(buckets, "cls").option("path", new_path(spark, "ngram-sets")).saveAsTable(name)
     return spark.table(name)
@@ -333,11 +318,11 @@ def _meets(percent: int):
 
 
 def _first_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b and the sizes: every class with the best of all leads of its groups."""
+    """a, b: every class with the best of all leads of its groups."""
     best = F.first(F.struct(F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"), F.col("score").alias("score_b"))).over(_by_score())
     told = rows.join(classes, "cls").select("cls", "role", "n", best.alias("__lead")).select("cls", "role", "n", "__lead.*").where(_meets(percent))
-    one = told.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("score_b", "b", "n", "n_b")).alias("v"))
-    return one.select("a", "v.b", "v.n", "v.n_b")
+    one = told.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("score_b", "b")).alias("v"))
+    return one.select("a", "v.b")
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
@@ -348,27 +333,10 @@ def _open_groups(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, done: int, upto: int, percent: int) -> DataFrame:
-    """a, b and the sizes: leads ``done`` + 1 to ``upto`` of each group as b, with members of other components as a."""
+    """a, b: leads ``done`` + 1 to ``upto`` of each group as b, with members of other components as a."""
     leads = rows.withColumn("place", F.row_number().over(_by_score())).where(F.col("place") <= upto).where(F.col("place") > done)
     leads = leads.select(F.col("key").alias("__k"), F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    return rows.join(leads, (F.col("key") == F.col("__k")) & (F.col("label") != F.col("label_b")) & _meets(percent)).select(F.col("cls").alias("a"), "b", "n", "n_b").distinct()
-
-
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches don't rule a link out: an exact test, as parities differ in no more places than sets do."""
-    own = lambda side: sets.select(F.col("cls").alias(f"__{side}"), F.col("sketch").alias(f"s_{side}"))
-    rows = pairs.join(own("a"), F.col("a") == F.col("__a")).join(own("b"), F.col("b") == F.col("__b"))
-    differ = lambda x, y: x.bitwiseXOR(y)
-
-    def folded(mine: Column, other: Column) -> Column:
-        """A sketch in as many words as the other has, if that is fewer: halves are laid over each other."""
-        half = (F.size(mine) / 2).cast("int")
-        return F.when(F.size(mine) > F.size(other), F.zip_with(F.slice(mine, F.lit(1), half), F.slice(mine, half + 1, half), differ)).otherwise(mine)
-
-    same = rows.select("a", "b", "n", "n_b", folded(F.col("s_a"), F.col("s_b")).alias("x"), folded(F.col("s_b"), F.col("s_a")).alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(differ(x, y))), F.lit(0), lambda total, x: total + x)
-    # only sizes more than a factor of two apart, which a limit under 50 percent allows, are not comparable
-    return same.where((F.size("x") != F.size("y")) | (apart <= F.floor((100 - percent) * (F.col("n") + F.col("n_b")) / (100 + percent)))).select("a", "b")
+    return rows.join(leads, (F.col("key") == F.col("__k")) & (F.col("label") != F.col("label_b")) & _meets(percent)).select(F.col("cls").alias("a"), "b").distinct()
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -407,8 +375,9 @@ def _links(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
                 return links, compared
             pairs = _pairs(opened, done, upto, percent)
             rows = opened.select("key", "cls", "role")  # a group that is one component stays so
-        near = _near(pairs, sets, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        told = _compared(near if known is None else near.join(known, ["a", "b"], "left_anti"), sets, percent)
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = near(pairs, sets.select(F.col("cls").alias("id"), "n", "sketch"), percent)
+        told = _compared(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), sets, percent)
         compared += told.count()
         if known is None:
             known = told
