@@ -15,12 +15,13 @@ meet in the index, by counters over all documents (2**18 of them, an upper bound
 So units of empty segments and common subsets are left out where cheaper ones are left. A key is a hash,
 so strangers may meet; nothing that links is lost.
 
-Sets that share keys are compared star by star: first every set with the best lead of its groups (the set
-that shares most), then in each key's group a few leads with all members of other components, components
-being merged in between; each round has eight times the
-leads of the last one, so that a family ends after a few rounds and none is cut off. Before sets are
-brought together, a pair must pass a sketch of parities, whose distance never exceeds the
-number of members in which two sets differ. All links are confirmed on whole sets.
+Sets that share keys are first compared each with one hub (the set that shares most, of its family). Of two
+sets of one hub, a pair that could still link shares something that sets both apart from the hub, and is met
+by that; sets of different hubs meet in their keys' groups. In each such group a few leads (those that share
+most) are compared with all members of other components, then components are merged; each round has eight
+times the leads of the last one, so that a group ends after a few rounds and none is cut off. Before sets
+are brought together, a pair must pass a sketch of parities, whose distance never exceeds the number of
+members in which two sets differ (``_parity``). All links are confirmed on whole sets.
 
 Defined cases: A-Z counts as a-z; a text of fewer words than an n-gram has its whole sequence as one
 member; null texts and texts without words have no set, link with nothing and are their own
@@ -45,7 +46,7 @@ from pyspark.sql.window import Window
 from ._common import new_path, pick, slices, table, written
 from ._hashing import mix64, stream64
 from ._parity import most_apart, near, parities
-from .minhash import components, shingle_sets
+from .minhash import components, differences, shingle_sets
 
 #: Of so many segments one is wide.
 WIDE = 16
@@ -317,30 +318,61 @@ def _meets(percent: int):
     return (F.col("cls") != F.col("b")) & roles & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
 
 
-def _first_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: every class with the best of all leads of its groups."""
-    best = F.first(F.struct(F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"), F.col("score").alias("score_b"))).over(_by_score())
-    told = rows.join(classes, "cls").select("cls", "role", "n", best.alias("__lead")).select("cls", "role", "n", "__lead.*").where(_meets(percent))
-    one = told.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("score_b", "b")).alias("v"))
-    return one.select("a", "v.b")
+def _hubs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """cls and hub of every class (itself if no other is better): the best that any member of any of its groups has in any
+    of its own, so that a whole family has one hub; written."""
+    group = Window.partitionBy("key")
+    lead = F.struct("score", F.col("cls").alias("hub"), F.col("n").alias("n_hub"))
+    own = rows.join(classes, "cls").withColumn("own", F.max(lead).over(group)).groupBy("cls").agg(F.max("own").alias("own"))
+    sized = 100 * F.least(F.col("n"), F.col("best.n_hub")) >= percent * F.greatest(F.col("n"), F.col("best.n_hub"))
+    told = rows.join(own, "cls").withColumn("best", F.max("own").over(group)).select("cls", "best").join(classes, "cls").where(sized)
+    chosen = told.groupBy("cls").agg(F.max("best").alias("best")).select(F.col("cls").alias("__c"), F.col("best.hub").alias("hub"))
+    out = classes.join(chosen, F.col("cls") == F.col("__c"), "left").select("cls", F.coalesce("hub", "cls").alias("hub"))
+    return _written(out, "ngram-hubs")
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
-    """key, cls, role and what ``labels`` has, of groups with several components and leads beyond the first ``done``; written."""
+    """key, cls, role, star, lead and what ``labels`` has, of groups with several components and stars and with leads beyond the first
+    ``done``; written."""
     group = Window.partitionBy("key")
-    told = rows.join(labels, "cls").withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group)).withColumn("many", F.count("*").over(group))
-    return _written(told.where((F.col("lo") != F.col("hi")) & (F.col("many") > done)).drop("lo", "hi", "many"), "ngram-open")
+    told = rows.join(labels, "cls").select("*", *[f(c).over(group).alias(f"{n}_{c}") for c in ("label", "star") for n, f in (("lo", F.min), ("hi", F.max))], F.count_if("lead").over(group).alias("many"))
+    return _written(told.where(f"lo_label != hi_label and lo_star != hi_star and many > {done}").select("key", "cls", "role", "star", "lead", *[c for c in labels.columns if c != "cls"]), "ngram-open")
 
 
 def _pairs(rows: DataFrame, done: int, upto: int, percent: int) -> DataFrame:
-    """a, b: leads ``done`` + 1 to ``upto`` of each group as b, with members of other components as a."""
-    leads = rows.withColumn("place", F.row_number().over(_by_score())).where(F.col("place") <= upto).where(F.col("place") > done)
-    leads = leads.select(F.col("key").alias("__k"), F.col("cls").alias("b"), F.col("role").alias("role_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    return rows.join(leads, (F.col("key") == F.col("__k")) & (F.col("label") != F.col("label_b")) & _meets(percent)).select(F.col("cls").alias("a"), "b").distinct()
+    """a, b: leads ``done`` + 1 to ``upto`` of each group as b, with members of other components and stars as a."""
+    leads = rows.where("lead").withColumn("place", F.row_number().over(_by_score())).where(F.col("place") <= upto).where(F.col("place") > done)
+    leads = leads.select(F.col("key").alias("__k"), *[F.col(c).alias(x) for c, x in (("cls", "b"), ("role", "role_b"), ("n", "n_b"), ("label", "label_b"), ("star", "star_b"))])
+    others = (F.col("label") != F.col("label_b")) & (F.col("star") != F.col("star_b"))
+    pairs = rows.join(leads, (F.col("key") == F.col("__k")) & others & _meets(percent))
+    return pairs.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
+
+
+def _differing(told: DataFrame) -> DataFrame:
+    """key, cls, role, star and lead: members of a star by what sets them apart from its hub.
+
+    Two members that link, one of which doesn't link with the hub, share such a key (see
+    :func:`minhash.differences`): a member that the hub lacks, among the first of each, or one that both lack. Edits
+    that are independent share none, so copies of one original don't meet here.
+    """
+    failed = ~F.col("linked")
+    sums = told.groupBy("b").agg(F.min(F.when(failed & (F.size("lacks") > 0), F.col("short"))).alias("least"), F.max("gain").alias("most"), F.count_if(failed).alias("n_failed"), F.count("*").alias("many"))
+    rows = told.join(sums.where("many > 1 and n_failed > 0").withColumnRenamed("b", "__b"), F.col("b") == F.col("__b"))
+    lacks = F.when(failed & (F.col("short") <= F.col("most")), F.col("lacks")).when(F.col("gain") >= F.col("least"), F.slice("lacks", F.lit(1), "few"))
+    keys = rows.select("a", failed.alias("lead"), "b", F.explode(F.concat("added", F.coalesce(lacks, F.array().cast("array<long>")))).alias("x"))
+    keys = keys.select(F.xxhash64("b", "x", F.lit("apart")).alias("key"), F.col("a").alias("cls"), "lead")
+    group = Window.partitionBy("key")
+    met = keys.select("*", F.count("*").over(group).alias("many"), F.bool_or("lead").over(group).alias("led")).where("many > 1 and led")
+    return _written(met.select("key", "cls", F.lit(INDEX | PROBE).alias("role"), F.col("cls").alias("star"), "lead"), "ngram-apart")
+
 
+_TOLD = {"linked": pa.bool_(), "short": pa.int64(), "gain": pa.int64(), "few": pa.int32()}
+_LISTS = ("added", "lacks")
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked, on whole sets; written. A lead's set goes to as many tasks as its star needs."""
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+    """a, b, linked, on whole sets; with ``apart`` also the rest of :func:`minhash.differences` of a from b; written.
+    A hub's or lead's set goes to as many tasks as its star needs."""
     pairs = _written(pairs, "ngram-pairs")
     parts = F.ceil(F.col("many") / STAR_ROWS).cast("int")
     stars = pairs.groupBy(F.col("b").alias("__b")).agg(F.count("*").alias("many")).select("__b", parts.alias("parts"))
@@ -351,38 +383,32 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    return _written(rows.mapInArrow(run, "a long, b long, linked boolean"), "ngram-compared")
-
-
-def _links(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """node, root of all classes that link with another, and the number of pairs of sets compared."""
-    rows, known, done, upto, compared = shared.select("key", "cls", "role"), None, 0, FIRST_LEADS, 0
+            told = [differences(*(np.frombuffer(s.as_buffer(), np.uint64) for s in both), percent) for both in zip(batch.column(2), batch.column(3))]
+            plain = [pa.array([d[k] for d in told], t) for k, t in _TOLD.items()]
+            lists = [pa.array([d[k].view(np.int64) if apart else () for d in told], pa.list_(pa.int64())) for k in _LISTS]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *plain, *lists], names=["a", "b", *_TOLD, *_LISTS])
+
+    return _written(rows.mapInArrow(run, "a long, b long, linked boolean, short long, gain long, few int, added array<long>, lacks array<long>"), "ngram-compared")
+
+
+def _links(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root of all classes that link with another."""
+    rows, done, upto = shared.select("key", "cls", "role"), 0, FIRST_LEADS
+    hubs = _hubs(rows, classes, percent)
+    first = _compared(hubs.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets, percent, True)
+    # members of one star meet by what sets them apart, those of several by their segments
+    rows = rows.join(hubs, "cls").select("key", "cls", "role", F.col("hub").alias("star"), F.lit(True).alias("lead")).unionByName(_differing(first))
+    known = first.select("a", "b", "linked")
     while True:  # a group's leads grow by a factor each round, so rounds are few
-        if known is None:
-            pairs = _first_pairs(rows, classes, percent)
-        else:
-            links = components(known.where("linked").select("a", "b"))
-            labels = _written(_labelled(classes, links), "ngram-labels")
-            opened = _open_groups(rows, labels, done)
-            if opened.isEmpty():
-                return links, compared
-            pairs = _pairs(opened, done, upto, percent)
-            rows = opened.select("key", "cls", "role")  # a group that is one component stays so
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = near(pairs, sets.select(F.col("cls").alias("id"), "n", "sketch"), percent)
-        told = _compared(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), sets, percent)
-        compared += told.count()
-        if known is None:
-            known = told
-        else:
-            known, done, upto = known.unionByName(told), upto, upto * LEADS_GROW
+        links = components(known.where("linked").select("a", "b"))
+        opened = _open_groups(rows, _written(_labelled(classes, links), "ngram-labels"), done)
+        if opened.isEmpty():
+            return links
+        rows = opened.select("key", "cls", "role", "star", "lead")  # a group that is one component stays so
+        pairs = near(_pairs(opened, done, upto, percent), sets.select(F.col("cls").alias("id"), "n", "sketch"), percent)
+        old = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        known = known.unionByName(_compared(pairs.join(old, ["a", "b"], "left_anti"), sets, percent).select("a", "b", "linked"))
+        done, upto = upto, upto * LEADS_GROW
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -398,7 +424,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         sharing = _classes(shared, classes.select("cls", "n"))
         wanted = sharing.select("cls").join(classes, "cls").select("cls", "doc_id", "text_key")
         sets = _sets(_texts_of(docs, wanted), width)
-        links = _links(shared, sharing, sets, percent)[0]
+        links = _links(shared, sharing, sets, percent)
     else:
         links = None
     ids = _labelled(classes.select("cls", "fp", F.col("doc_id").alias("least")), links)
