@@ -12,6 +12,7 @@ from seekstone.chunkers.base import SCHEMA, Chunk, Chunker, FallbackChunker
 from seekstone.chunkers.markdown import MarkdownChunker
 from seekstone.chunkers.python import PythonChunker
 from seekstone.chunkers.script import ScriptChunker
+from seekstone.chunkers.sections import markdown_sections
 from seekstone.config import LANGUAGES, Settings
 from seekstone.functions import text as tx
 from seekstone.sources.tree import decoded
@@ -35,8 +36,22 @@ def naive_chunker(ext: str, settings: Settings | None = None) -> Chunker:
 
 
 def chunk_files(files: DataFrame, settings: Settings | None = None, factory: Callable[[str, Settings], Chunker] = chunker_for) -> DataFrame:
-    """All chunks of files (file_path, ext, content), each with its ordinal in the file."""
+    """All chunks of files (file_path, ext, content), each with its ordinal in the file.
+
+    Markdown is cut by :func:`markdown_sections` inside the JVM, other files by their chunkers; with a
+    ``factory`` of the caller's own, that cuts all.
+    """
     settings = settings or Settings()
+    if factory is not chunker_for:
+        return _by_chunker(files, settings, factory)
+    is_markdown = F.col("ext").isin(*[e for e, name in LANGUAGES.items() if name == "markdown"])
+    texts = files.where(is_markdown).select(F.translate("file_path", "\\", "/").alias("file_path"), tx.decoded(F.col("content")).alias("text"))
+    others = _by_chunker(files.where(~is_markdown), settings, factory)
+    return others.unionByName(markdown_sections(texts, settings).select(*others.columns))
+
+
+def _by_chunker(files: DataFrame, settings: Settings, factory: Callable[[str, Settings], Chunker]) -> DataFrame:
+    """The chunks that the chunker of each file's suffix makes, file by file."""
     names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
 
     def run(batches):

@@ -15,6 +15,11 @@ NOT_SPACE = SPACE.replace("[", "[^", 1)
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text: malformed parts of UTF-8 replaced, each by one U+FFFD, every line end a line feed."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"\r\n?", "\n")
+
+
 def token_count(text: Column) -> Column:
     """Number of white-space separated tokens."""
     plain = F.translate(text, _RARE, " " * len(_RARE))  # then a class of ASCII characters will do

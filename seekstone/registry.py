@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seekstone.chunkers.registry import fallback_windows
+from seekstone.chunkers.sections import blocks, markdown_sections as sections
 from seekstone.config import EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, LANGUAGES, Settings
 from seekstone.functions import embed as em
-from seekstone.functions import packing
+from seekstone.functions import html, packing
 from seekstone.functions import text as tx
 from seekstone.operators import evaluate as ev
 from seekstone.operators.search import nearest, post_filter, top_k
@@ -287,15 +288,9 @@ def context_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(tx.context_header(path, "#", held, imports), 256).alias("header_hash"))
 
 
-_HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"
-
-
 def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit(_HEADING), F.lit(0))
-    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "h"))
-    level = F.substring("h", 3, 1).cast("int")
-    title = F.trim(F.regexp_replace(F.regexp_extract("h", _HEADING, 2), "<[^>]+>", ""))
-    return rows.select("page_id", "pos", level.alias("level"), title.alias("title"))
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.headings(F.col("html"))).alias("pos", "h"))
+    return rows.select("page_id", "pos", "h.level", "h.title")
 
 
 _HEADINGS = r"""h AS (SELECT page_id, unnest(hs) AS h, unnest(range(0, len(hs))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)(<h1\b[^>]*>.*?</h1\s*>|<h2\b[^>]*>.*?</h2\s*>|<h3\b[^>]*>.*?</h3\s*>|<h4\b[^>]*>.*?</h4\s*>|<h5\b[^>]*>.*?</h5\s*>|<h6\b[^>]*>.*?</h6\s*>)') AS hs FROM pages)),
@@ -334,6 +329,79 @@ def oversize_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.unionByName(whole)
 
 
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of pages between blank lines, every tag on a line of its own, and titles of those that are one heading."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "(</(?:p|h[1-6]|div|ul)>)", "$1\n\n").alias("text"))
+    return blocks(rows, ["page_id"], "text").select("page_id", "ordinal", "start_line", "end_line", "title", F.sha2("text", 256).alias("text_hash"))
+
+
+_HTML_BLOCKS = r"""WITH l AS (SELECT page_id, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, string_split(regexp_replace(html, '(</(?:p|h[1-6]|div|ul)>)', '\1' || chr(10) || chr(10), 'g'), chr(10)) AS ls FROM pages)),
+c AS (SELECT *, regexp_matches(t, '[^ \t\n\r\f\v]') AS content FROM l),
+b AS (SELECT *, i - row_number() OVER (PARTITION BY page_id ORDER BY i) AS island FROM c WHERE content),
+g AS (SELECT page_id, min(i) AS a, max(i) AS z, string_agg(t, chr(10) ORDER BY i) AS text FROM b GROUP BY page_id, island),
+h AS (SELECT *, regexp_extract(trim(text, E' \n\t\r'), '(?is)^<h([1-6])[^>A-Za-z0-9_]?[^>]*>(.*)</h([1-6])\s*>$', ['o', 'x', 'c']) AS m FROM g)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY a) - 1)::INT AS ordinal, a::INT AS start_line, z::INT AS end_line,
+       CASE WHEN m.o <> '' AND m.o = m.c THEN nullif(trim(regexp_replace(m.x, '<[^>]+>', '', 'g'), E' \n\t\r'), '') END AS title, sha256(text) AS text_hash FROM h"""
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of the documents, into which headings, fences and HTML headings are put by their ids and line numbers."""
+
+    def lines(t, j):
+        at = F.col("doc_id") + j
+        mark = F.concat(F.repeat(F.lit("#"), (1 + at % 3).cast("int")), F.lit(" H"), j.cast("string"))
+        html_ = F.concat(F.lit("<h2>T <i>"), j.cast("string"), F.lit("</i></h2>"))
+        return F.when(at % 11 == 0, F.array(F.lit("```"))).when(at % 7 == 0, F.array(mark, t)).when(at % 5 == 0, F.array(F.lit(""), html_, F.lit(""), t)).otherwise(F.array(t))
+
+    text = F.array_join(F.flatten(F.transform(F.split("text", "\n", -1), lines)), "\n")
+    found = sections(_files(spark, sf_dir).select("file_path", text.alias("text")))
+    return found.select("file_path", "ordinal", "start_line", "end_line", "symbol_name", "qualified_name", "truncated", F.sha2("code_text", 256).alias("text_hash"))
+
+
+_SECTIONS = rf"""WITH d AS (SELECT doc_id, 'docs/' || doc_id || '.txt' AS file_path, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+m AS (SELECT doc_id, file_path, flatten(list_transform(range(0, len(raw)), lambda j: CASE
+        WHEN (doc_id + j) % 11 = 0 THEN ['```'] WHEN (doc_id + j) % 7 = 0 THEN [repeat('#', (1 + (doc_id + j) % 3)::INT) || ' H' || j, raw[j + 1]]
+        WHEN (doc_id + j) % 5 = 0 THEN ['', '<h2>T <i>' || j || '</i></h2>', '', raw[j + 1]] ELSE [raw[j + 1]] END)) AS ls FROM d),
+l AS (SELECT file_path, unnest(ls) AS t, unnest(range(0, len(ls))) AS i FROM m),
+f AS (SELECT *, t = '```' AS mark, sum((t = '```')::INT) OVER (PARTITION BY file_path ORDER BY i) AS nf FROM l),
+s AS (SELECT *, nf % 2 = 1 OR mark AS fenced, mark AND nf % 2 = 1 AS opens, mark AND nf % 2 = 0 AS ends FROM f),
+h AS (SELECT *, NOT fenced AND regexp_matches(t, '^ {{0,3}}#{{1,6}}([ 	]|$)') AS heading, fenced OR regexp_matches(t, '[^ 	
+]') AS filled FROM s),
+n AS (SELECT *, sum(heading::INT) OVER o AS section, filled AND NOT heading AS content,
+      coalesce(lag(filled AND NOT heading) OVER o, false) AND NOT coalesce(lag(ends) OVER o, false) AS joined FROM h WINDOW o AS (PARTITION BY file_path ORDER BY i)),
+b AS (SELECT *, sum((content AND (opens OR (NOT fenced AND NOT joined)))::INT) OVER (PARTITION BY file_path ORDER BY i) AS block FROM n),
+k AS (SELECT file_path, section, block, min(i) AS a, max(i) AS z, regexp_extract(string_agg(t, chr(10) ORDER BY i), '^<h2>T <i>([0-9]+)</i></h2>$', 1) AS html FROM b WHERE content GROUP BY ALL),
+q AS (SELECT *, count(*) FILTER (html <> '') OVER (PARTITION BY file_path, section ORDER BY block) AS piece FROM k),
+r AS (SELECT file_path, section, piece, a, z, nullif(html, '') AS html FROM q UNION ALL SELECT file_path, section, 0, i, i, NULL FROM b WHERE heading),
+p AS (SELECT file_path, section, piece, min(a) AS a, max(z) AS z, 'T ' || max(html) AS html FROM r GROUP BY ALL),
+e AS (SELECT file_path, section, len(regexp_extract(t, '^ *(#+)', 1)) AS level, trim(regexp_extract(t, '^ *#+(.*)$', 1)) AS title FROM b WHERE heading),
+c AS (SELECT x.file_path, x.section, x.title, string_agg(y.title, ' > ' ORDER BY y.section) AS path
+      FROM e x JOIN e y ON x.file_path = y.file_path AND (y.section = x.section OR (y.section < x.section AND y.level < x.level
+           AND NOT EXISTS (SELECT 1 FROM e w WHERE w.file_path = x.file_path AND w.section > y.section AND w.section < x.section AND w.level <= y.level)))
+      GROUP BY ALL),
+t AS (SELECT p.*, c.title, c.path, array_to_string(m.ls[a + 1 : z + 1], chr(10)) AS text FROM p JOIN m ON m.file_path = p.file_path LEFT JOIN c ON c.file_path = p.file_path AND c.section = p.section),
+u AS (SELECT *, coalesce(html, nullif(title, ''), 'intro') AS symbol_name, concat_ws(' > ', path, html) AS crumb, {tokens_sql('text')} > {Settings().max_chunk_tokens} AS truncated FROM t WHERE regexp_matches(text, '[^ 	
+]')),
+v AS (SELECT *, string_split(text, chr(10)) AS ls, unnest(range(0, CASE WHEN truncated THEN 1 + ceil(greatest(z - a + 1 - 60, 0) / 50.0)::BIGINT ELSE 1 END)) AS w FROM u),
+x AS (SELECT *, CASE WHEN truncated THEN a + w * 50 ELSE a END AS first, CASE WHEN truncated THEN least(a + w * 50 + 59, z) ELSE z END AS last FROM v)
+SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY first, w) - 1)::INT AS ordinal, (first + 1)::INT AS start_line, (last + 1)::INT AS end_line, symbol_name,
+       CASE WHEN crumb = '' THEN string_split(file_path, '/')[-1] ELSE crumb END AS qualified_name, truncated, sha256(array_to_string(ls[first - a + 1 : last - a + 1], chr(10))) AS text_hash FROM x"""
+
+
+#: Byte sequences that aren't UTF-8, and how many replacement characters each stands for.
+_DAMAGE = (("FF", 1), ("C3", 1), ("E282", 1), ("F0808080", 4), ("EDA080", 3), ("0D0A", 0), ("0D", 0))
+
+
+def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as bytes, damaged in a place and manner that follow from their ids, decoded again."""
+    at = (F.col("page_id") % 50).cast("int")
+    put = F.get(F.array(*[F.unhex(F.lit(x)) for x, _ in _DAMAGE]), (F.col("page_id") % len(_DAMAGE)).cast("int"))
+    html_ = F.coalesce("html", F.lit(""))
+    content = F.concat(F.encode(F.substring(html_, F.lit(1), at), "UTF-8"), put, F.encode(F.lit("|"), "UTF-8"), F.encode(F.substring(html_, at + 1, F.lit(1 << 30)), "UTF-8"))
+    text = tx.decoded(content)
+    return _table(spark, sf_dir, "pages").select("page_id", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_hash"))
+
+
 def pack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the documents in blocks of 400 tokens that overlap by 50."""
     s = Settings()
@@ -355,7 +423,7 @@ def queries() -> dict:
     own = (
         vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, hash_embed, fingerprint, language_dispatch, path_filters,
         change_plan, index_stats, merge_snapshot, bucket_merge, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
-        html_headings, breadcrumb, oversize_windows, pack_lines,
+        html_headings, breadcrumb, oversize_windows, pack_lines, html_blocks, markdown_sections, decode_text,
     )
     return {f.__name__: f for f in own} | {"line_windows_60_10": _windows(60, 10), "line_windows_20_5": _windows(20, 5)}
 
@@ -397,6 +465,10 @@ SELECT hit.query_id, (hit.i + 1)::INT AS rank, coalesce(key, '__miss__' || hit.i
         "html_headings": f"WITH {_HEADINGS} SELECT page_id, pos, level, title FROM t",
         "breadcrumb": f"WITH {_HEADINGS} SELECT page_id, pos, concat_ws(' > ', {_CRUMBS}, title) AS breadcrumb FROM t WINDOW o AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "pack_lines": _PACK,
+        "html_blocks": _HTML_BLOCKS,
+        "markdown_sections": _SECTIONS,
+        "decode_text": f"""WITH t AS (SELECT page_id, substr(coalesce(html, ''), 1, (page_id % 50)::INT) || ({_sql_list("\ufffd" * n if n else "@" for _, n in _DAMAGE)})[page_id % {len(_DAMAGE)} + 1] || '|' || substr(coalesce(html, ''), (page_id % 50)::INT + 1) AS text FROM pages),
+u AS (SELECT page_id, regexp_replace(replace(text, '@|', chr(10) || '|'), '\r\n?', chr(10), 'g') AS text FROM t) SELECT page_id, len(text)::INT AS n_chars, sha256(text) AS text_hash FROM u""",
         "oversize_windows": windows_sql(60, 10, f"WHERE {tokens} > 2000") + f"""SELECT replace(replace(file_path, 'docs/', ''), '.txt', '')::BIGINT AS doc_id, (i * 50 + 1)::INT AS start_line, least(i * 50 + 60, len(ls))::INT AS end_line, sha256(t) AS text_hash, true AS truncated FROM x
 UNION ALL SELECT doc_id, 1, len(string_split(coalesce(text, ''), chr(10)))::INT, sha256(coalesce(text, '')), false FROM documents WHERE {tokens} <= 2000""",
     }

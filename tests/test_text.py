@@ -40,3 +40,16 @@ def test_paths(spark):
     paths = {"a/b.d.ts": ".ts", ".bashrc": "", "a.b/c": "", "x.PY": ".PY", "a/.github/w.yml": ".yml", "pkg/__init__.py": ".py"}
     got = {r[0]: (r[1], r[2]) for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", tx.suffix(F.col("p")), tx.basename(F.col("p"))).collect()}
     assert got == {p: (e, p.split("/")[-1]) for p, e in paths.items()}
+
+
+def test_decoded_bytes(spark):
+    """As Python replaces malformed parts, on random bytes and on every kind of damage."""
+    import random
+
+    from seekstone.sources.tree import decoded
+
+    rng = random.Random(3)
+    parts = [b"a", b"\r", b"\n", b"\r\n", "é".encode(), "€".encode(), "🙂".encode(), b"\xff", b"\xc3", b"\xe2\x82", b"\xf0\x9f\x98", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\x80", b"\xf8\x88", b""]
+    rows = [(i, b"".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(400)] + [(1000 + i, bytes(rng.randrange(256) for _ in range(30))) for i in range(200)]
+    got = {r["id"]: r["t"] for r in spark.createDataFrame(rows, "id long, b binary").select("id", tx.decoded(F.col("b")).alias("t")).collect()}
+    assert got == {i: decoded(b) for i, b in rows}
