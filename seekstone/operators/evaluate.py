@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,19 +43,55 @@ def span_key(file: Column, symbol: Column) -> Column:
     return F.concat_ws("::", file, symbol)
 
 
+def overlapping(a: DataFrame, b: DataFrame, on: list[str], least_iou: float) -> DataFrame:
+    """The rows of ``a`` and ``b`` (columns ``on``, start_line, end_line, and others, in the structs a and b) with equal
+    ``on`` whose line ranges overlap by ``least_iou`` of their hull at least, with iou.
+
+    Ranges are dealt to bins as wide as the next power of two of their length, so each lies in two at most; as such
+    an overlap bounds how much longer one range is, the shorter ones go to the bins of a few more widths. A
+    pair meets in one bin only, that of its first common line, at the width of its longer range: the work is in proportion to the pairs
+    near each other, not to all pairs of a file. Ranges without lines, or with a null, meet nothing.
+    """
+    if not 0 < least_iou <= 1:
+        raise ValueError("the least overlap lies in (0, 1]")
+    more = math.ceil(-math.log2(least_iou))
+
+    def dealt(rows: DataFrame, side: str) -> DataFrame:
+        cols = [F.col(f"{side}.{c}").alias(f"__on{i}_{side}") for i, c in enumerate(on)]
+        rows = rows.where("end_line >= start_line").select(F.struct(*rows.columns).alias(side))
+        first, last = F.col(f"{side}.start_line"), F.col(f"{side}.end_line")
+        own = F.ceil(F.log2(last - first + 1)).cast("int")
+        levels = rows.select(side, *cols, own.alias("__own"), F.explode(F.sequence(own, own + more)).alias("__level"))
+        width = F.pow(F.lit(2), F.col("__level")).cast("long")
+        bins = F.sequence(F.floor(first / width), F.floor(last / width))
+        return levels.select(side, *[c for c in levels.columns if c.startswith("__on")], F.col("__level").alias(f"__level_{side}"), (F.col("__own") == F.col("__level")).alias(f"__widest_{side}"), width.alias(f"__width_{side}"), F.explode(bins).alias(f"__bin_{side}"))
+
+    x, y = dealt(a, "a"), dealt(b, "b")
+    keys = [f"__on{i}" for i in range(len(on))] + ["__level", "__bin"]
+    start = F.greatest("a.start_line", "b.start_line")
+    iou = line_iou(F.col("a.start_line"), F.col("a.end_line"), F.col("b.start_line"), F.col("b.end_line"))
+    met = [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys] + [F.col("__widest_a") | F.col("__widest_b"), F.floor(start / F.col("__width_a")) == F.col("__bin_a"), iou >= least_iou]
+    return x.join(y, reduce(and_, met)).select("a", "b", iou.alias("iou"))
+
+
 def match_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank, matched: the key of the first labelled span that a hit meets, or a miss.
 
     hits: query_id, rank, chunk_id, file_path, qualified_name, start_line, end_line. A span is met in
-    the same file by its symbol or by an overlap of half the hull; spans are few a query, so the join
-    is on query and file, and the first in list order wins by an aggregate.
+    the same file by its symbol (an equi-join) or by an overlap of half the hull (a join by bins of lines); the first
+    in list order wins by an aggregate.
     """
-    spans = queries.select(F.col("id").alias("q"), F.posexplode("relevant").alias("pos", "r"))
-    met = (F.col("qualified_name") == F.col("r.symbol")) | (line_iou(F.col("start_line"), F.col("end_line"), F.col("r.start_line"), F.col("r.end_line")) >= IOU_LIMIT)
-    joined = hits.join(spans, (F.col("query_id") == F.col("q")) & (F.col("file_path") == F.col("r.file")) & met, "left")
-    first = F.min_by(span_key(F.col("r.file"), F.col("r.symbol")), "pos")
-    matched = F.coalesce(first, F.concat(F.lit("__miss__"), F.first("chunk_id").cast("string")))
-    return joined.groupBy("query_id", "rank").agg(matched.alias("matched"))
+    spans = queries.select(F.col("id").alias("query_id"), F.posexplode("relevant").alias("pos", "r")).select("query_id", F.col("r.file").alias("file_path"), "pos", "r.symbol", "r.start_line", "r.end_line")
+    key = span_key(F.col("b.file_path"), F.col("b.symbol"))
+    told = ("query_id", "rank", "file_path")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("query_id", "file_path")]
+    named = hits.select(*told, "qualified_name").alias("a").join(spans.alias("b"), reduce(and_, [*same, F.col("a.qualified_name") == F.col("b.symbol")]))
+    lined = overlapping(hits.select(*told, "start_line", "end_line"), spans, ["query_id", "file_path"], IOU_LIMIT)
+    met = named.select("a.query_id", "a.rank", "b.pos", key.alias("key")).unionByName(lined.select("a.query_id", "a.rank", "b.pos", key.alias("key")))
+    first = met.groupBy(F.col("query_id").alias("__q"), F.col("rank").alias("__r")).agg(F.min_by("key", "pos").alias("key"))
+    own = hits.groupBy("query_id", "rank").agg(F.first("chunk_id").cast("string").alias("chunk_id"))
+    matched = F.coalesce("key", F.concat(F.lit("__miss__"), "chunk_id"))
+    return own.join(first, (F.col("query_id") == F.col("__q")) & (F.col("rank") == F.col("__r")), "left").select("query_id", "rank", matched.alias("matched"))
 
 
 def metrics(matched: DataFrame, relevant: DataFrame, ks: list[int], asked: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from seekstone.functions import text as tx
 from seekstone.operators import evaluate as ev
 from seekstone.operators.search import nearest, post_filter, top_k
 from seekstone.plans import store
+from seekstone.sources.ignore import IgnoreRules
 
 QUERY_STEP = 50
 K = 5
@@ -171,6 +172,22 @@ def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).where(kept).select("page_id", "path")
 
 
+_IGNORE = """# folders, suffixes, anchored and negated rules
+node_modules/
+*.pyc
+/lib/page1*
+dist
+!dist/**/*.md
+!page*7.pyc
+**/page?[0-4].txt
+"""
+
+
+def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' paths that an ignore file lets through; the last rule that matches a path, or a folder it lies in, decides."""
+    return _paths(spark, sf_dir).where(~IgnoreRules(_IGNORE).column(F.col("path"))).select("page_id", "path")
+
+
 # state: the previous snapshot lacks French documents, has older German ones, and has the pages
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -277,6 +294,13 @@ g AS (SELECT CASE WHEN grouping(label) = 1 THEN NULL ELSE 'label' || label END A
       FROM m GROUP BY GROUPING SETS ((k), (label, k)))"""
 
 
+def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of windows of a document (20 lines, 15 in common with the next one) that share a quarter of their hull."""
+    windows = fallback_windows(_files(spark, sf_dir), Settings(window_lines=20, overlap_lines=15)).select("file_path", "ordinal", "start_line", "end_line")
+    pairs = ev.overlapping(windows, windows, ["file_path"], 0.25).where("a.ordinal < b.ordinal")
+    return pairs.select("a.file_path", F.col("a.ordinal").alias("first"), F.col("b.ordinal").alias("second"), F.round("iou", 6).alias("iou"))
+
+
 # headers and headings
 
 def context_header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +390,8 @@ l AS (SELECT file_path, unnest(ls) AS t, unnest(range(0, len(ls))) AS i FROM m),
 f AS (SELECT *, t = '```' AS mark, sum((t = '```')::INT) OVER (PARTITION BY file_path ORDER BY i) AS nf FROM l),
 s AS (SELECT *, nf % 2 = 1 OR mark AS fenced, mark AND nf % 2 = 1 AS opens, mark AND nf % 2 = 0 AS ends FROM f),
 h AS (SELECT *, NOT fenced AND regexp_matches(t, '^ {{0,3}}#{{1,6}}([ 	]|$)') AS heading, fenced OR regexp_matches(t, '[^ 	
-]') AS filled FROM s),
+
+]') AS filled FROM s),
 n AS (SELECT *, sum(heading::INT) OVER o AS section, filled AND NOT heading AS content,
       coalesce(lag(filled AND NOT heading) OVER o, false) AND NOT coalesce(lag(ends) OVER o, false) AS joined FROM h WINDOW o AS (PARTITION BY file_path ORDER BY i)),
 b AS (SELECT *, sum((content AND (opens OR (NOT fenced AND NOT joined)))::INT) OVER (PARTITION BY file_path ORDER BY i) AS block FROM n),
@@ -381,7 +406,8 @@ c AS (SELECT x.file_path, x.section, x.title, string_agg(y.title, ' > ' ORDER BY
       GROUP BY ALL),
 t AS (SELECT p.*, c.title, c.path, array_to_string(m.ls[a + 1 : z + 1], chr(10)) AS text FROM p JOIN m ON m.file_path = p.file_path LEFT JOIN c ON c.file_path = p.file_path AND c.section = p.section),
 u AS (SELECT *, coalesce(html, nullif(title, ''), 'intro') AS symbol_name, concat_ws(' > ', path, html) AS crumb, {tokens_sql('text')} > {Settings().max_chunk_tokens} AS truncated FROM t WHERE regexp_matches(text, '[^ 	
-]')),
+
+]')),
 v AS (SELECT *, string_split(text, chr(10)) AS ls, unnest(range(0, CASE WHEN truncated THEN 1 + ceil(greatest(z - a + 1 - 60, 0) / 50.0)::BIGINT ELSE 1 END)) AS w FROM u),
 x AS (SELECT *, CASE WHEN truncated THEN a + w * 50 ELSE a END AS first, CASE WHEN truncated THEN least(a + w * 50 + 59, z) ELSE z END AS last FROM v)
 SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY first, w) - 1)::INT AS ordinal, (first + 1)::INT AS start_line, (last + 1)::INT AS end_line, symbol_name,
@@ -421,7 +447,7 @@ SELECT doc_id, k::INT AS ordinal, lines[f]::INT AS start_line, lines[g]::INT AS
 
 def queries() -> dict:
     own = (
-        vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, hash_embed, fingerprint, language_dispatch, path_filters,
+        vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, hash_embed, fingerprint, language_dispatch, path_filters, ignore_filter, span_overlap,
         change_plan, index_stats, merge_snapshot, bucket_merge, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
         html_headings, breadcrumb, oversize_windows, pack_lines, html_blocks, markdown_sections, decode_text,
     )
@@ -445,6 +471,13 @@ SELECT doc_id, slot, round(coalesce(x, 0), 6) AS value FROM (SELECT doc_id, unne
         "fingerprint": "SELECT DISTINCT 'model-' || source AS model, length(source)::INT AS dimension, left(sha256('model-' || source || ':' || length(source)), 16) AS fingerprint FROM documents",
         "language_dispatch": f"WITH {_PATHS} SELECT page_id, ext, string_split(path, '/')[-1] AS name, CASE {cases} ELSE 'text' END AS language FROM s",
         "path_filters": f"WITH {_PATHS} SELECT page_id, path FROM s WHERE NOT list_has_any(string_split(path, '/')[:-2], {_sql_list(EXCLUDED_DIRS)}) AND ext NOT IN ({', '.join(repr(e) for e in EXCLUDED_EXTENSIONS)})",
+        "ignore_filter": f"""WITH {_PATHS}, r AS (SELECT page_id, path, string_split(path, '/')[-1] AS name FROM s)
+SELECT page_id, path FROM r WHERE NOT CASE WHEN regexp_matches(name, '^page[^/][0-4]\\.txt$') THEN true WHEN regexp_matches(name, '^page[^/]*7\\.pyc$') THEN false
+       WHEN starts_with(path, 'dist/') AND ends_with(name, '.md') THEN false WHEN starts_with(path, 'dist/') THEN true WHEN starts_with(path, 'lib/page1') THEN true
+       WHEN ends_with(name, '.pyc') THEN true ELSE starts_with(path, 'node_modules/') END""",
+        "span_overlap": windows_sql(20, 15) + f""", spans AS (SELECT file_path, i, i * 5 + 1 AS a, least(i * 5 + 20, len(ls)) AS b FROM x WHERE {BLANK_SQL}),
+p AS (SELECT u.file_path, u.i AS first, v.i AS second, greatest(least(u.b, v.b) - greatest(u.a, v.a) + 1, 0) / (greatest(u.b, v.b) - least(u.a, v.a) + 1) AS iou FROM spans u JOIN spans v ON u.file_path = v.file_path AND u.i < v.i)
+SELECT file_path, first::INT AS first, second::INT AS second, round(iou, 6) AS iou FROM p WHERE iou >= 0.25""",
         "change_plan": f"WITH {_PLAN} SELECT file_path, file_hash, status FROM plan",
         "index_stats": f"WITH {_PLAN} SELECT count(*) FILTER (status <> 'removed') AS files_scanned, count(*) FILTER (status IN ('new', 'changed')) AS files_indexed, count(*) FILTER (status = 'unchanged') AS files_skipped, count(*) FILTER (status = 'removed') AS files_removed FROM plan",
         "merge_snapshot": f"WITH {_PLAN} SELECT file_path, file_hash FROM plan WHERE status <> 'removed'",

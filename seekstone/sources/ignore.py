@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def _segment(part: str) -> str:
     """A pattern without slashes as a regular expression."""
@@ -65,6 +68,14 @@ class IgnoreRules:
     def __init__(self, text: str = ""):
         self.rules = [r for r in map(compile_rule, text.splitlines()) if r]
 
+    def column(self, path: Column) -> Column:
+        """Whether a path is ignored, as a Column expression: one branch a rule, the last one first."""
+        out = F.lit(False)
+        for ignores, pattern in self.rules:  # a later rule's branch lies around the earlier ones'
+            java = "(?s)^" + pattern.pattern.removesuffix(r"\Z").replace("&&", r"\&\&") + r"\z"
+            out = F.when(path.rlike(java), F.lit(ignores)).otherwise(out)
+        return out
+
     def ignores(self, path: str) -> bool:
         """Whether a path (relative, with '/') is ignored."""
         for ignores, pattern in reversed(self.rules):

@@ -49,3 +49,32 @@ def test_missing_spans(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "1", "repo": "r", "query": "q"}\n')
     with pytest.raises(Exception, match="no relevant spans"):
         ev.load_queries(spark, str(tmp_path / "q.jsonl")).collect()
+
+
+@pytest.mark.parametrize("least", [0.5, 0.25, 0.03, 1.0])
+def test_overlapping_ranges(spark, least):
+    """The binned join against all pairs, with long, short, equal and empty ranges, and rows that repeat."""
+    import random
+
+    rng = random.Random(9)
+    side = lambda n: [(rng.choice("ab"), i, s, s + rng.choice((-1, 0, 0, 1, 3, 15, 16, 17, 200))) for i in range(n) for s in [rng.randint(1, 60)]]
+    a, b = side(120), side(120)
+    b += [a[0], a[0], ("a", 500, None, 4), (None, 501, 1, 9)]
+    frame = lambda rows: spark.createDataFrame(rows, "file string, n int, start_line int, end_line int")
+
+    def iou(x, y):
+        both = max(min(x[3], y[3]) - max(x[2], y[2]) + 1, 0)
+        return both / (max(x[3], y[3]) - min(x[2], y[2]) + 1)
+
+    fine = lambda r: r[0] is not None and r[2] is not None and r[3] >= r[2]
+    want = sorted((x[1], y[1], round(iou(x, y), 9)) for x in a for y in b if fine(x) and fine(y) and x[0] == y[0] and iou(x, y) >= least)
+    got = sorted((r["a"]["n"], r["b"]["n"], round(r["iou"], 9)) for r in ev.overlapping(frame(a), frame(b), ["file"], least).collect())
+    assert got == want and got
+
+
+def test_overlaps_are_not_all_pairs(spark):
+    """A file of 4,000 windows: the join makes rows in proportion to its windows."""
+    rows = spark.range(4000).selectExpr("'f' AS file", "int(id) AS n", "int(id * 10 + 1) AS start_line", "int(id * 10 + 20) AS end_line")
+    assert ev.overlapping(rows, rows, ["file"], 0.3).count() == 3 * 4000 - 2
+    plan = ev.overlapping(rows, rows, ["file"], 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -33,3 +33,17 @@ def test_tree(spark, tmp_path):
     assert got["a.PY"]["ext"] == ".PY" and bytes(got["pkg/__init__.py"]["content"]) == b""
     assert decoded(bytes(got["bad.txt"]["content"])) == "�\nz\n"
     assert not any(p.startswith("src/") for p, _ in list_files(str(tmp_path), Settings(excluded_dirs=("src",))))
+
+
+def test_ignore_column_equals_the_rules(spark):
+    """The Column form decides as the rules of single paths do."""
+    from pyspark.sql import functions as F
+
+    from seekstone.sources.ignore import IgnoreRules
+
+    text = "# c\n\n*.log\n!keep.log\n/top\nbuild/\ndoc/*.txt\n**/x/**\na/**/z\n[ab]?.c\n[!a-c].d\nsp\\ ace \n\\#hash\n!build/in.txt\nq&&r\n"
+    parts = ["a", "b", "top", "build", "doc", "x", "z", "keep.log", "d.log", "t.txt", "in.txt", "ax.c", "c1.c", "e.d", "b.d", "sp ace", "#hash", "q&&r", ".git", "új"]
+    paths = sorted({"/".join(p) for p in [(i, j, k)[:n] for i in parts for j in parts for k in parts[:9] for n in (1, 2, 3)]})
+    rules = IgnoreRules(text)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", rules.column(F.col("path")).alias("gone")).collect()
+    assert {r["path"]: r["gone"] for r in rows} == {p: rules.ignores(p) for p in paths} and len({r["gone"] for r in rows}) == 2
