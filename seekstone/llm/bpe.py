@@ -6,7 +6,10 @@ the root is the leftmost pair of least rank; a merge changes three leaves (the p
 its left neighbour and the absorbed token) and their paths to the root. Short pieces are
 merged side by side, one numpy column each; longer ones one by one.
 
-Texts: null counts as empty; empty texts have no ids. Repeated rows get equal results.
+Texts: null counts as empty; empty texts have no ids. Repeated rows get equal results. Texts are whole: long ones are
+split into pieces a part at a time, and their ids are held by one task. An empty table gives an empty
+result. Extra columns stay, whatever their names: one that differs from ``ids`` or ``n_tokens`` in case only
+stands beside it.
 """
 
 from __future__ import annotations
@@ -245,30 +248,37 @@ def _vocabulary(spark: SparkSession, path: str | None, pattern: str | None):
     return spark.sparkContext.broadcast(raw), pattern or public_tokenizers.PATTERN
 
 
-def encode(df: DataFrame, column: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Add ``ids`` (binary: little-endian unsigned 32-bit integers) to every row of ``df``.
-
-    Null texts have no ids, as empty ones. Every other column stays as it is; a column of
-    the name ``ids`` is replaced.
-    """
+def _encoded(df: DataFrame, column: str, path: str | None, pattern: str | None, counted: bool) -> DataFrame:
+    """The columns of ``df``, then ``ids`` and, if ``counted``, ``n_tokens``; own columns of just these names are replaced.
+    Columns go by position throughout, so names that differ in case only do no harm."""
     vocab, pattern = _vocabulary(df.sparkSession, path, pattern)
     packed, names = pack(df, f"{column} string")
     packed = packed.withColumnRenamed(column, "__text")
-    keep = [n for n in names if n != "ids"]
+    made = ["ids", "n_tokens"][: 1 + counted]
 
     def run(batches):
         c = codec(vocab.value, pattern)
         try:
             for batch in batches:
-                ids = pa.array(c.encode(batch.column(1).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["__row", "ids"])
+                ids = list(c.encode(batch.column(1).to_pylist()))
+                sizes = [pa.array([len(x) // 4 for x in ids], pa.int64())] if counted else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *sizes], names=["__row", *made])
         finally:
             c.cache.clear()  # the worker may go on to other stages
 
     row_type = packed.schema["__row"].dataType.simpleString()
-    out = packed.mapInArrow(run, f"__row {row_type}, ids binary")
-    cols = [F.col(f"__row.__c{i}").alias(f"__k{i}") for i, n in enumerate(names) if n != "ids"]
-    return out.select(*cols, "ids").toDF(*keep, "ids")
+    out = packed.mapInArrow(run, f"__row {row_type}, ids binary" + (", n_tokens long" if counted else ""))
+    kept = [(i, n) for i, n in enumerate(names) if n not in made]
+    return out.select(*[F.col(f"__row.__c{i}").alias(f"__k{i}") for i, _ in kept], *made).toDF(*[n for _, n in kept], *made)
+
+
+def encode(df: DataFrame, column: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Add ``ids`` (binary: little-endian unsigned 32-bit integers) to every row of ``df``.
+
+    Null texts have no ids, as empty ones. Every other column stays as it is; a column of
+    the name ``ids`` is replaced.
+    """
+    return _encoded(df, column, path, pattern, False)
 
 
 def decode(df: DataFrame, column: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -303,10 +313,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the columns of the documents, n_tokens and the ids."""
+    """Pipeline stage: the columns of the documents, the ids and n_tokens; own columns of just these names are replaced."""
     bound_batches(spark)
-    out = encode(docs)
-    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return _encoded(docs, "text", None, None, True)
 
 
 QUERIES = {"op8_bpe": op8_bpe}

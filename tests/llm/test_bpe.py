@@ -55,3 +55,20 @@ def test_awkward(spark, library):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["decoded_sha256"], r["n_tokens"]) for r in got) == want
     out = bpe.stage(spark, df, "")
     assert out.columns == [*df.columns, "ids", "n_tokens"] and out.count() == df.count() and bpe.digests(empty(spark)).count() == 0
+
+
+def test_columns_that_clash(spark, library):
+    """Columns whose names differ from the results' in case only stay; those of just these names are replaced."""
+    df = spark.createDataFrame([(1, "some text", "i", "n", "x"), (2, None, "j", "m", "y")], "doc_id long, text string, IDS string, N_TOKENS string, ids string")
+    out = bpe.stage(spark, df, "")
+    assert out.columns == ["doc_id", "text", "IDS", "N_TOKENS", "ids", "n_tokens"]
+    rows = {r[0]: r for r in out.collect()}
+    assert (rows[1][2], rows[1][3], rows[2][2], rows[2][3]) == ("i", "n", "j", "m")
+    assert np.frombuffer(rows[1][4], "<u4").tolist() == library.encode_ordinary("some text") and rows[1][5] == len(rows[1][4]) // 4 and rows[2][5] == 0
+
+
+def test_stage_by_brute_force(spark, library):
+    """The stage's whole rows against the library: ids, counts and every other column."""
+    df = awkward(spark)
+    got = sorted((str(tuple(r)[:-2]), bytes(r["ids"]), r["n_tokens"]) for r in bpe.stage(spark, df, "").collect())
+    assert got == sorted((str(tuple(r)), (x := np.array(library.encode_ordinary(r[1] or ""), "<u4")).tobytes(), len(x)) for r in df.collect())
