@@ -119,6 +119,12 @@ def all_of(frames: list[DataFrame]) -> DataFrame:
     return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*paths)
 
 
+def frequent(keyed: DataFrame, n: str, *keys: str, most: int, least: int = 2) -> DataFrame:
+    """The ``most`` rows of greatest ``n`` (``least`` at least); written. A key that isn't among them has fewer than a
+    ``most``-th of all rows, so it may be dealt by its hash, whatever its number."""
+    return written(keyed.where(F.col(n) >= least).orderBy(F.desc(n), *keys).limit(most), "frequent")
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most ``rows`` rows, so that long texts don't pile up in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

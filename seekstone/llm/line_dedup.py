@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import let, pack, table, unpack, written
+from ._common import frequent, let, pack, table, unpack, written
 
 WINDOW = 3
-#: Windows that occur so often are not dealt by their hash, up to this number of such windows.
+#: Windows that occur so often are not dealt by their hash, but for those that so many others outnumber.
 HOT, MOST_HOT = 5_000, 50_000
 _BLANKS = " \t\n\v\f\r"
 
@@ -62,12 +62,11 @@ def removed(packed: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "begin")
     first = seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first != last")
     first = written(first.select(F.col("h").alias("__h"), F.col("c").alias("__c"), "first", "n"), "line-repeated")
-    same, hot = (F.col("h") == F.col("__h")) & (F.col("c") == F.col("__c")), first.where(f"n >= {HOT}")
-    if 0 < hot.count() <= MOST_HOT:
-        few = F.broadcast(hot)
-        again = seen.join(few, same).unionByName(seen.join(few.select("__h", "__c"), same, "left_anti").join(first.where(f"n < {HOT}"), same))
-    else:
-        again = seen.join(first, same)
+    same = (F.col("h") == F.col("__h")) & (F.col("c") == F.col("__c"))
+    few = F.broadcast(frequent(first, "n", "__h", "__c", most=MOST_HOT, least=HOT))
+    keys = few.select("__h", "__c")
+    rest = first.join(keys.toDF("__i", "__d"), (F.col("__h") == F.col("__i")) & (F.col("__c") == F.col("__d")), "left_anti")
+    again = seen.join(few, same).unionByName(seen.join(keys, same, "left_anti").join(rest, same))
     again = again.where(place != F.col("first"))
     spans = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["end"]))))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, new_path, pick, table, written
+from ._common import bound_batches, frequent, new_path, pick, table, written
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -191,18 +191,25 @@ def read_pages(f) -> Iterator[dict]:
 def planned(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest (hex SHA-1) and refers_to (null for responses).
 
-    Only ids and digests are grouped. The largest ids of repeated payloads come back by a join on
-    the digest whose one side has unique keys: broadcast if they are few, so that payloads stay
-    where they are read, even if one of them is on a third of all pages; else shuffled.
+    Only ids and digests are grouped. The largest ids of repeated payloads come back by joins on
+    the digest: those of the BROADCAST_DIGESTS most frequent ones are broadcast, whatever there is beside them, so
+    that such payloads stay where they are read, even if one of them is on a third of all pages; if there are
+    more, the other pages are dealt by digest, of which each has few.
     """
     rows = pick(pages, "page_id long", "url string", "html string")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = rows.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     big = rows.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
-    big = written(big.where("__n > 1 and __last is not null").select(F.col("digest").alias("__digest"), "__last"), "warc-repeated")
-    big = F.broadcast(big) if big.count() <= BROADCAST_DIGESTS else big
+    big = written(big.where("__n > 1 and __last is not null").select(F.col("digest").alias("__digest"), "__last", "__n"), "warc-repeated")
+    few = frequent(big, "__n", "__digest", most=BROADCAST_DIGESTS).select("__digest", "__last")
+    told = rows.join(F.broadcast(few), F.col("digest") == F.col("__digest"), "left")
+    if big.count() > BROADCAST_DIGESTS:
+        rest = big.join(F.broadcast(few.select("__digest")), "__digest", "left_anti").select(F.col("__digest").alias("__rest"), F.col("__last").alias("__other"))
+        own = told.where("__digest is not null")
+        others = told.where("__digest is null").drop("__last").join(rest, F.col("digest") == F.col("__rest"), "left").withColumnRenamed("__other", "__last")
+        told = own.select("page_id", "url", "payload", "digest", "__last").unionByName(others.select("page_id", "url", "payload", "digest", "__last"))
     other = F.when(~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last"))
-    return rows.join(big, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "payload", "digest", other.alias("refers_to"))
+    return told.select("page_id", "url", "payload", "digest", other.alias("refers_to"))
 
 
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:

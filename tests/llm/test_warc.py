@@ -120,3 +120,14 @@ def test_foreign_archive(spark, tmp_path):
     (tmp_path / "a.warc.zst").write_bytes(struct.pack("<II", 0x184D2A5D, len(raw)) + raw + b"".join(map(packer.compress, records)))
     got = {r["url"]: r for r in warc.read(spark, str(tmp_path)).collect()}
     assert len(got) == 40 and all(bytes(got[f"http://f/{i}"]["payload"]) == b and got[f"http://f/{i}"]["payload_digest"] == hashlib.sha1(b).hexdigest() for i, b in enumerate(bodies))
+
+
+def test_more_repeated_digests_than_are_broadcast(spark, monkeypatch):
+    """Digests beyond those broadcast are met by a shuffle, with the same plan of records."""
+    pages = [(i, "u", f"{i % 7} " * 600 if i % 3 else "small") for i in range(60)] + [(None, "u", "1 " * 600), (100, "u", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    told = lambda: sorted(map(str, warc.planned(df).select("page_id", "digest", "refers_to").collect()))
+    want = told()
+    for most in (1, 3):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+        assert told() == want and sum("refers_to=None" not in r for r in want) > 20
