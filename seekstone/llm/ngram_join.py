@@ -51,6 +51,8 @@ from .minhash import components, differences, shingle_sets
 #: Of so many segments one is wide.
 WIDE = 16
 COUNTERS = 1 << 18
+#: What a subset of no, one, two or more members costs besides the rows that counters tell of.
+CHANCE = np.array([1e9, 1e4, 10.0, 0.0])
 #: Keys with so many index rows beyond the mean are taken as shared without a look at their group.
 HOT = 50_000
 #: Leads of a group in the first round, and how many times more in each later one.
@@ -125,13 +127,16 @@ class Segments:
 def allocate(parts: Segments, need: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which segments each set probes (exactly; and with one deletion): its ``need`` cheapest units.
 
-    ``cost`` has the rows that a key meets; a second unit of a segment costs what its keys meet, and not less than the first.
+    ``cost`` has the rows that a key meets; a second unit of a segment costs what its keys meet, and not
+    less than the first. To that comes what subsets of so few members meet by chance: empty ones every
+    other set with that segment empty, which counters of a large corpus don't tell from their noise.
     """
     slot = lambda keys: cost[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    first = slot(parts.exact)
+    chance = lambda members: CHANCE[np.clip(members, 0, len(CHANCE) - 1)]
+    first = slot(parts.exact) + chance(parts.size)
     second = np.bincount(parts.near_segment, slot(parts.shorter(_EXACT)), len(first))
     wide = np.flatnonzero(parts.wide)
-    second = np.maximum(first[wide], second[wide] + slot(parts.whole_as_shorter(wide)))
+    second = np.maximum(first[wide], second[wide] + slot(parts.whole_as_shorter(wide)) + chance(parts.size[wide] - 1))
     owner = np.concatenate([parts.owner, parts.owner[wide]])
     order = np.lexsort((np.concatenate([first, second]), owner))  # stable: a segment's first unit comes before its second
     begin = np.searchsorted(owner[order], np.arange(len(need)))
