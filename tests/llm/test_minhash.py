@@ -228,3 +228,23 @@ def test_stage_keeps_one_of_each_group_without_ids(spark):
         assert [sum(r["text"].startswith(t) for r in out) for t in (a, b)] == [1, 1] and len(out) == 5 and any(r["doc_id"] == 5 for r in out)
         seen.add(tuple(texts))
     assert len(seen) == 1
+
+
+def test_templated_texts_make_linear_pairs(spark, monkeypatch):
+    """Texts of 400 common words and 20 optional passages of 20 words: comparisons of sets grow as the texts do, and no link is lost."""
+    rng = random.Random(8)
+    word = lambda: str(rng.randint(0, 10**9))
+    common, passages = [word() for _ in range(400)], [[word() for _ in range(20)] for _ in range(20)]
+    made, verify = [], minhash._verify
+
+    def counted(pairs, *more):
+        made[-1] += pairs.count()
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(minhash, "_verify", counted)
+    for n in (125, 500):
+        rows = [(i, " ".join(common + [w for p in passages if rng.random() < 0.5 for w in p])) for i in range(n)]
+        made.append(0)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
+        assert got == brute_matrix(rows, 3, 85)
+    assert made[0] <= 25 * 125 and made[1] <= 25 * 500 and made[1] <= 6 * made[0], made  # of 7,750 and 124,750 pairs
