@@ -278,9 +278,10 @@ def _shared_keys(texts: DataFrame, width: int, percent: int, cost: np.ndarray) -
     return _written(kept.select("key", "cls", "role", F.when(F.col("hot"), HOT).otherwise(F.col("many")).alias("many")), "ngram-keys")
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
+@contextlib.contextmanager
+def _sets(texts: DataFrame, width: int):
     """cls, n, set (sorted hashes as bytes) and sketch, in a table bucketed by cls: pairs are brought to
-    the sets' buckets, round after round, and the sets stay where they are."""
+    the sets' buckets, round after round, and the sets stay where they are. The table's name goes in the end."""
     spark = texts.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -294,7 +295,10 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     made = texts.repartition(buckets, "cls").mapInArrow(run, "cls long, n long, set binary, sketch array<long>")
     with _settings(spark):
         made.write.format("parquet").bucketBy(buckets, "cls").option("path", new_path(spark, "ngram-sets")).saveAsTable(name)
-    return spark.table(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files lie in the application's folder, which goes at exit
 
 
 def _classes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -428,8 +432,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         shared = _shared_keys(_texts_of(docs, banded.select("cls", "doc_id", "text_key")), width, percent, _costs(counters))
         sharing = _classes(shared, classes.select("cls", "n"))
         wanted = sharing.select("cls").join(classes, "cls").select("cls", "doc_id", "text_key")
-        sets = _sets(_texts_of(docs, wanted), width)
-        links = _links(shared, sharing, sets, percent)
+        with _sets(_texts_of(docs, wanted), width) as sets:
+            links = _links(shared, sharing, sets, percent)
     else:
         links = None
     ids = _labelled(classes.select("cls", "fp", F.col("doc_id").alias("least")), links)

@@ -132,6 +132,12 @@ def test_templates_grow_with_texts(spark, monkeypatch):
     assert counts[0] <= 3 * 100 and counts[1] <= 3 * 400, counts  # of 4,950 and 79,800 pairs
 
 
+def test_session_is_left_as_it_was(spark):
+    before = dict(spark.conf.getAll), {t.name for t in spark.catalog.listTables()}
+    nj.groups(docs(spark, [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k")]), 2, 80).collect()
+    assert before == (dict(spark.conf.getAll), {t.name for t in spark.catalog.listTables()})
+
+
 def test_awkward_rows(spark):
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in nj.groups(awkward(spark), 4, 85).collect()}
     assert nj.groups(awkward(spark), 4, 85).count() == awkward(spark).count()
