@@ -1,12 +1,9 @@
-"""What the jobs share: configuration files, and folders for their registered queries."""
+"""What the jobs share: configuration files and their sessions."""
 
 from __future__ import annotations
 
 import json
 import logging
-import re
-import tempfile
-import uuid
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
@@ -23,17 +20,6 @@ def read_config(cls, path: str | None):
     return cls(**given)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which stays; where that is unset and all runs on one
-    machine, as in tests, a temporary one."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="seekstone-jobs-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def start(name: str) -> SparkSession:
     """The session of a command line, with logging to stderr."""
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")

@@ -34,6 +34,7 @@ from seekstone import registry
 from seekstone.chunkers.registry import fallback_windows
 from seekstone.config import Settings
 from seekstone.functions import text as tx
+from seekstone.plans.folders import new_folder
 
 log = logging.getLogger("refresh_windows")
 
@@ -124,7 +125,7 @@ def refresh(spark: SparkSession, documents: str, output: str, checkpoint: str, c
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over all documents into one new folder; what is there after the second."""
-    folder = common.new_folder(spark, "refresh-windows")
+    folder = new_folder(spark, "refresh-windows")
     for _ in range(2):
         refresh(spark, f"{sf_dir}/documents.parquet", f"{folder}/out", f"{folder}/checkpoint")
     return current(spark, f"{folder}/out")

@@ -20,6 +20,14 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"\r\n?", "\n")
 
 
+#: Bytes of a file that are looked at for a NUL, which texts don't have.
+SNIFF_BYTES = 8192
+
+
+def looks_binary(content: Column) -> Column:
+    return F.contains(F.substring(content, 1, SNIFF_BYTES), F.lit(bytearray(1)))
+
+
 def token_count(text: Column) -> Column:
     """Number of white-space separated tokens."""
     plain = F.translate(text, _RARE, " " * len(_RARE))  # then a class of ASCII characters will do

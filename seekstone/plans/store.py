@@ -175,14 +175,29 @@ def index_tree(
     embedder: em.Embedder | None = None,
     factory: Callable = chunker_for,
 ) -> IndexStats:
-    """Bring the index of a tree up to date: only new and changed files are chunked and embedded.
+    """Bring the index of a tree up to date; see :func:`index_files`."""
+    index = Index.of(spark, root, folder)
+    files = read_tree(spark, root, settings or Settings(), skip=(index.folder.removeprefix("file://"),))
+    return index_files(spark, files, index.folder, settings, rebuild, embedder, factory)
+
+
+def index_files(
+    spark: SparkSession,
+    files: DataFrame,
+    folder: str,
+    settings: Settings | None = None,
+    rebuild: bool = False,
+    embedder: em.Embedder | None = None,
+    factory: Callable = chunker_for,
+) -> IndexStats:
+    """Bring an index up to date with all its files (file_path, ext, content): only new and changed files are chunked and embedded.
 
     An index of another embedding model is an error unless it is rebuilt; other chunk settings or an
     older chunker rebuild it.
     """
     settings = settings or Settings()
     own = embedder or em.build_embedder(settings)
-    index = Index.of(spark, root, folder)
+    index = Index(spark, folder)
     old = index.manifest()
     if old and not rebuild and old["embedding_fingerprint"] != em.fingerprint(own):
         raise ValueError(f"the index was made with {old['embedding_model']}, not {own.name}. Re-run with --rebuild")
@@ -193,7 +208,6 @@ def index_tree(
     top = f"{index.folder}/snapshots/{number}"
     previous = spark.createDataFrame([], FILES) if fresh_start else index.files()
 
-    files = read_tree(spark, root, settings, skip=(index.folder.removeprefix("file://"),))
     files = files.withColumn("file_path", F.translate("file_path", "\\", "/")).withColumn("file_hash", F.sha2("content", 256))
     plan = change_plan(files, previous)
     content = F.when(F.col("status").isin("new", "changed"), F.col("content"))

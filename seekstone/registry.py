@@ -16,8 +16,9 @@ from seekstone.functions import embed as em
 from seekstone.functions import html, packing
 from seekstone.functions import text as tx
 from seekstone.operators import evaluate as ev
-from seekstone.operators.search import nearest, post_filter, top_k
+from seekstone.operators.search import nearest, post_filter, search, top_k
 from seekstone.plans import store
+from seekstone.plans.folders import new_folder
 from seekstone.sources.ignore import IgnoreRules
 
 QUERY_STEP = 50
@@ -241,8 +242,45 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks")).crossJoin(files.agg(F.count("*").alias("files")))  # one row each
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of an index of the documents as files, made in two runs: of the English ones, some with an older text, then of all."""
+    docs = _files(spark, sf_dir).select("doc_id", "file_path", F.lit(".txt").alias("ext"), "text", "lang")
+    older = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nolder"))).otherwise(F.col("text"))
+    first = docs.where("lang = 'en'").select("file_path", "ext", F.encode(older, "UTF-8").alias("content"))
+    folder, settings = new_folder(spark, "document-index"), Settings(embedding_model="hashing-32")
+    store.index_files(spark, first, folder, settings)
+    store.index_files(spark, docs.select("file_path", "ext", F.encode("text", "UTF-8").alias("content")), folder, settings)
+    index = store.Index(spark, folder)
+    kept = index.chunks().join(index.files(), "file_path")
+    return kept.select("file_path", "start_line", "end_line", "symbol_name", "content_hash", "file_hash", F.size("embedding").alias("dimension"))
+
+
 # evaluation
 
+def labelled_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled queries written as JSON lines and loaded again: the second lines of documents ask for their first ones."""
+    lines = F.split("text", "\n")
+    span = F.struct(F.col("file_path").alias("file"), F.lit("top").alias("symbol"), F.lit(1).alias("start_line"), F.size(lines).alias("end_line"))
+    made = _files(spark, sf_dir).where(F.size(lines) > 1).select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("repo"), lines[1].alias("query"), F.array(span, span.withField("symbol", F.lit("again"))).alias("relevant"))
+    folder = new_folder(spark, "labelled-queries")
+    made.write.json(folder)
+    told = ev.load_queries(spark, folder).select("id", "repo", F.sha2("query", 256).alias("query_hash"), F.posexplode("relevant").alias("pos", "r"))
+    return told.select("id", "repo", "query_hash", "pos", ev.span_key(F.col("r.file"), F.col("r.symbol")).alias("key"), F.col("r.end_line").alias("end_line"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    vectors = _vectors(spark, sf_dir)[0].select(F.col("id").alias("chunk_id"), "embedding", F.concat(F.lit("lang"), F.col("label").cast("string")).alias("language"))
+    return vectors, vectors.where("chunk_id = 0").first()["embedding"]  # one vector
+
+
+def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question with a language: filtered after four times as many were fetched, before ranking, and not at all."""
+    vectors, question = _asked(spark, sf_dir)
+    ways = {"after": search(vectors, question, K, "lang1"), "before": search(vectors, question, K, "lang1", exact_filter=True), "none": search(vectors, question, K)}
+    told = [hits.select(F.lit(way).alias("way"), "rank", "chunk_id", F.round("score", 6).alias("score")) for way, hits in ways.items()]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 def line_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20-line windows of every document against two labelled spans."""
     files = _files(spark, sf_dir)
@@ -418,6 +456,14 @@ SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY first, w)
 _DAMAGE = (("FF", 1), ("C3", 1), ("E282", 1), ("F0808080", 4), ("EDA080", 3), ("0D0A", 0), ("0D", 0))
 
 
+def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes with a NUL in a place that follows from their ids: first, last of those looked at, first beyond, or nowhere."""
+    pad = F.get(F.array(F.lit(0), F.lit(tx.SNIFF_BYTES - 1), F.lit(tx.SNIFF_BYTES)), (F.col("page_id") % 4).cast("int"))
+    head = F.when(pad.isNotNull(), F.concat(F.encode(F.repeat(F.lit("x"), pad), "UTF-8"), F.lit(bytearray(1)))).otherwise(F.lit(bytearray()))
+    content = F.concat(head, F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.octet_length(content).alias("n_bytes"), tx.looks_binary(content).alias("binary"))
+
+
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as bytes, damaged in a place and manner that follow from their ids, decoded again."""
     at = (F.col("page_id") % 50).cast("int")
@@ -450,6 +496,7 @@ def queries() -> dict:
         vector_topk, vector_topk_label_postfilter, vector_topk_label_exact, token_count, content_hash, hash_embed, fingerprint, language_dispatch, path_filters, ignore_filter, span_overlap,
         change_plan, index_stats, merge_snapshot, bucket_merge, index_status, line_iou_match, retrieval_metrics, metrics_summary, metrics_markdown, context_header,
         html_headings, breadcrumb, oversize_windows, pack_lines, html_blocks, markdown_sections, decode_text,
+        binary_sniff, document_index, labelled_queries, search_filtered,
     )
     return {f.__name__: f for f in own} | {"line_windows_60_10": _windows(60, 10), "line_windows_20_5": _windows(20, 5)}
 
@@ -499,6 +546,15 @@ SELECT hit.query_id, (hit.i + 1)::INT AS rank, coalesce(key, '__miss__' || hit.i
         "breadcrumb": f"WITH {_HEADINGS} SELECT page_id, pos, concat_ws(' > ', {_CRUMBS}, title) AS breadcrumb FROM t WINDOW o AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "pack_lines": _PACK,
         "html_blocks": _HTML_BLOCKS,
+        "binary_sniff": f"SELECT page_id, (CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN {tx.SNIFF_BYTES} WHEN 2 THEN {tx.SNIFF_BYTES + 1} ELSE 0 END + strlen(coalesce(html, '')))::INT AS n_bytes, page_id % 4 < 2 AS binary FROM pages",
+        "document_index": windows_sql(60, 10) + f"""SELECT file_path, (i * 50 + 1)::INT AS start_line, least(i * 50 + 60, len(ls))::INT AS end_line, name || ':window' || (i + 1) AS symbol_name, sha256(t) AS content_hash, sha256(text) AS file_hash, 32 AS dimension FROM x WHERE {BLANK_SQL}""",
+        "labelled_queries": """SELECT doc_id::VARCHAR AS id, lang AS repo, sha256(ls[2]) AS query_hash, pos, 'docs/' || doc_id || '.txt::' || symbol AS key, len(ls)::INT AS end_line
+FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), (VALUES (0, 'top'), (1, 'again')) t(pos, symbol) WHERE len(ls) > 1""",
+        "search_filtered": f"""WITH s AS (SELECT v.vec_id AS id, 'lang' || v.label AS language, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS s FROM embeddings q, embeddings v WHERE q.vec_id = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS rank FROM s),
+w AS (SELECT 'none' AS way, * FROM r UNION ALL SELECT 'before', * FROM r WHERE language = 'lang1' UNION ALL SELECT 'after', * FROM r WHERE language = 'lang1' AND rank <= {4 * K}),
+o AS (SELECT way, id, s, row_number() OVER (PARTITION BY way ORDER BY rank) AS rank FROM w)
+SELECT way, rank::INT AS rank, id AS chunk_id, round(s, 6) AS score FROM o WHERE rank <= {K}""",
         "markdown_sections": _SECTIONS,
         "decode_text": f"""WITH t AS (SELECT page_id, substr(coalesce(html, ''), 1, (page_id % 50)::INT) || ({_sql_list("\ufffd" * n if n else "@" for _, n in _DAMAGE)})[page_id % {len(_DAMAGE)} + 1] || '|' || substr(coalesce(html, ''), (page_id % 50)::INT + 1) AS text FROM pages),
 u AS (SELECT page_id, regexp_replace(replace(text, '@|', chr(10) || '|'), '\r\n?', chr(10), 'g') AS text FROM t) SELECT page_id, len(text)::INT AS n_chars, sha256(text) AS text_hash FROM u""",

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seekstone.config import Settings
+from seekstone.functions.text import SNIFF_BYTES
 from seekstone.sources.ignore import IgnoreRules
 
 SCHEMA = "file_path string, ext string, content binary"
-SNIFF_BYTES = 8192
 #: Files, and bytes, that one partition has, about.
 FILES_A_PARTITION, BYTES_A_PARTITION = 500, 32 << 20
 
