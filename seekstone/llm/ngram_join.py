@@ -247,11 +247,14 @@ def _costs(counters: DataFrame) -> np.ndarray:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and text of the classes ``wanted`` (cls, doc_id, text_key); repeats are combined before the shuffle."""
-    rows = _rows(docs).groupBy("doc_id", "text_key").agg(F.first("text").alias("text")).alias("r")
-    w = wanted.alias("w")
-    on = (F.col("r.text_key") == F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
-    return rows.join(w, on).select("w.cls", "r.text")
+    """cls and text of the classes ``wanted`` (cls, doc_id, text_key); repeats are combined before the shuffle.
+
+    Both sides have the same keys without nulls, so that the join keeps the partitioning of the aggregate.
+    """
+    keyed = lambda df, *more: df.select("text_key", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), *more)
+    keys = ["text_key", "id", "no_id"]
+    rows = keyed(_rows(docs), "text").groupBy(*keys).agg(F.first("text").alias("text"))
+    return rows.join(keyed(wanted, "cls"), keys).select("cls", "text")
 
 
 def _shared_keys(texts: DataFrame, width: int, percent: int, cost: np.ndarray) -> DataFrame:

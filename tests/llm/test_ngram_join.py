@@ -132,6 +132,16 @@ def test_templates_grow_with_texts(spark, monkeypatch):
     assert counts[0] <= 3 * 100 and counts[1] <= 3 * 400, counts  # of 4,950 and 79,800 pairs
 
 
+def test_texts_are_shuffled_once(spark):
+    """The aggregate of repeats and the join share one exchange of texts; only the classes have another."""
+    df = docs(spark, [(1, "a b c"), (None, "d e f"), (None, None)])
+    wanted = spark.createDataFrame([(7, None, 0)], "cls long, doc_id long, text_key long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = nj._texts_of(df, wanted)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_session_is_left_as_it_was(spark):
     before = dict(spark.conf.getAll), {t.name for t in spark.catalog.listTables()}
     nj.groups(docs(spark, [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k")]), 2, 80).collect()
