@@ -7,9 +7,11 @@ import json
 from dataclasses import asdict, dataclass
 
 DEFAULT_MODEL = "hashing-384"
-CHUNKER_VERSION = 3
 INDEX_DIR = ".seekstone"
 
+# Fixed value: the version of chunks that indexes of this kind agree on.
+CHUNKER_VERSION = 3
+
 # The directories, suffixes and languages that indexes of this kind agree on.
 EXCLUDED_DIRS = (".git", INDEX_DIR, "node_modules", "venv", ".venv", "__pycache__", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", "eval_repos", ".tox", "egg-info")
 EXCLUDED_EXTENSIONS = (".pyc", ".pyo", ".so", ".dll", ".dylib", ".exe", ".bin", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".tar", ".gz", ".lock")
@@ -20,6 +22,7 @@ LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs":
 class Settings:
     """All tunables; frozen, so that it travels to workers by closure."""
 
+    # The defaults that indexes of this kind agree on.
     embedding_model: str = DEFAULT_MODEL
     embedding_batch_size: int = 32
     max_chunk_tokens: int = 2000
