@@ -31,7 +31,9 @@ linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), and no long band
 Defined cases: null and empty texts have no set, and stay; rows without doc_id link like others,
 but a component's id is its least doc_id, and null only if it has none; a row is kept if its
 doc_id is its component's (so rows that repeat doc_id and text go together). An empty table
-gives an empty result.
+gives an empty result. Texts are whole, however long: one text's set is held by one task. Classes of equal score are
+ordered by their fingerprints, so reruns agree. Extra columns never matter, and the stage keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
