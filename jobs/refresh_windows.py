@@ -62,7 +62,7 @@ def _stored(spark: SparkSession, output: str, name: str, schema: str) -> DataFra
 
 def versions(spark: SparkSession, output: str, before: int | None = None) -> DataFrame:
     """file_path, doc_id, file_hash, n_windows and batch of every document's last version (of batches below ``before``)."""
-    files = _stored(spark, output, "files", FILES)
+    files = spark.createDataFrame([], FILES) if before == 0 else _stored(spark, output, "files", FILES)
     if before is not None:
         files = files.where(F.col("batch") < before)
     last = files.groupBy("file_path").agg(F.max(F.struct("batch", "doc_id", "file_hash", "n_windows")).alias("v"))
