@@ -104,8 +104,27 @@ def metrics(matched: DataFrame, relevant: DataFrame, ks: list[int], asked: DataF
     """
     keys = relevant.select(F.col("query_id").alias("q"), "key").distinct()
     found = matched.join(keys, (F.col("query_id") == F.col("q")) & (F.col("matched") == F.col("key")), "left")
-    found = found.select("query_id", "rank", "key")
     sizes = keys.groupBy("q").agg(F.count("*").alias("n_relevant"))
+    if asked is not None:
+        sizes = asked.select(F.col("query_id").alias("q")).distinct().join(sizes, "q", "left")
+    return _measured(found.select("query_id", "rank", "key"), sizes, ks)
+
+
+def metrics_by_class(hits: DataFrame, asked: DataFrame, rows: DataFrame, ks: list[int]) -> DataFrame:
+    """As :func:`metrics`, where all rows of a query's own class are relevant to it.
+
+    hits: query_id, rank, matched, class (of the row found); asked: query_id, class; rows: key, class. The
+    relevant rows are counted by class and a hit compared by its own, so pairs of queries and relevant rows, whose number
+    grows with the square of the rows, are never made. Queries whose class is null or has no rows are left out.
+    """
+    sizes = rows.select("class", "key").distinct().groupBy("class").agg(F.count("*").alias("n_relevant"))
+    own = asked.select(F.col("query_id").alias("q"), F.col("class").alias("wanted")).distinct()
+    found = hits.join(own, F.col("query_id") == F.col("q")).select("query_id", "rank", F.when(F.col("class") == F.col("wanted"), F.col("matched")).alias("key"))
+    return _measured(found, own.join(sizes, F.col("wanted") == F.col("class")).select("q", "n_relevant"), ks)
+
+
+def _measured(found: DataFrame, sizes: DataFrame, ks: list[int]) -> DataFrame:
+    """The metrics of hits (query_id, rank, key: null if it is a miss) and numbers of relevant keys (q, n_relevant)."""
     cuts = F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k")
     within = F.col("rank") <= F.col("k")
     told = found.select("*", cuts).groupBy("query_id", "k").agg(
@@ -114,8 +133,6 @@ def metrics(matched: DataFrame, relevant: DataFrame, ks: list[int], asked: DataF
         F.count_distinct(F.when(within, F.col("key"))).alias("kinds"),
         F.min(F.when(F.col("key").isNotNull(), F.col("rank"))).alias("first"),
     )
-    if asked is not None:
-        sizes = asked.select(F.col("query_id").alias("q")).distinct().join(sizes, "q", "left")
     every = sizes.select("q", "n_relevant", cuts).withColumnRenamed("k", "kk")
     all_ = every.join(told, (F.col("q") == F.col("query_id")) & (F.col("kk") == F.col("k")), "left")
     return all_.select(
