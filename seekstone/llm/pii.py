@@ -200,10 +200,10 @@ def _scored_patterns(edges: DataFrame) -> DataFrame:
 def _met(rows: DataFrame, column: str, keyed: DataFrame, key: str, outer: bool) -> DataFrame:
     """The rows with what ``keyed`` (unique in ``key``, with the number of rows __n) has for their column: the most frequent keys
     are broadcast, the others dealt by the key. With ``outer``, rows without a key stay as well."""
+    if keyed.count() <= BROADCAST_PATTERNS:  # all of them, also those that one row has
+        return rows.join(F.broadcast(keyed.drop("__n")), F.col(column) == F.col(key), "left" if outer else "inner")
     few = frequent(keyed, "__n", key, most=BROADCAST_PATTERNS)
     own = F.broadcast(few.drop("__n"))
-    if keyed.count() <= BROADCAST_PATTERNS:
-        return rows.join(own, F.col(column) == F.col(key), "left" if outer else "inner")
     rest = keyed.join(F.broadcast(few.select(key)), key, "left_anti").drop("__n")
     hit = rows.join(own, F.col(column) == F.col(key))
     others = rows.join(F.broadcast(few.select(key)), F.col(column) == F.col(key), "left_anti")
