@@ -18,12 +18,14 @@ that a star can still hold are found by how its members differ from the hub:
 * Or they have none in common. Then one is smaller than the hub by more than the other lacks to
   the limit, and any few of the shingles that it lacks hold one that the other lacks as well.
 
-Both are exact. Members that share such a shingle make a new bucket; independent edits of one
+Both are exact: what shares no such shingle is settled. Members that share such a shingle make a new bucket; independent edits of one
 original share none, so large families end here. Members so far from the hub that no member linked
 to it can be linked with them are
-dealt by many long bands instead. In the new buckets some classes (of those that failed with the hub,
-the best first) are compared with all others that aren't in their component, then components are
-merged, and many times more are taken, until none is left whose bucket has several components. Before
+dealt by many long bands instead. In the new buckets one class (of those that failed with the hub,
+the best) is compared with all others that aren't in its component, then components are
+merged. Classes still in buckets of several components share a difference, but may share it in many buckets and
+with a whole family, so they are dealt by long bands as well, in which those far from a link seldom meet; there more classes
+lead, then many times more, until no bucket with leads has several components. Before
 sets are brought together there, a pair must pass a sketch of parities, which rules out nothing that
 links (``_parity``). All links are confirmed on whole sets. At similarity 0.85 a
 linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), and no long band with 2e-6.
@@ -56,7 +58,7 @@ BANDS, ROWS = 25, 5
 FINE_BANDS, FINE_LOSS = 180, 2e-6
 #: Edges of components in one file, about.
 EDGES_A_FILE = 100_000
-#: Classes of a bucket that are compared with all others of it at once, after the first stars, and how many times more in each later round.
+#: Classes of a bucket of long bands that are compared with all others of it at once, and how many times more in each later round.
 FIRST_LEADS, LEADS_GROW = 16, 128
 #: Stars with more near members that failed try another hub, the class nearest to theirs.
 CROWD = 16
@@ -324,10 +326,13 @@ def _dealt_again(told: DataFrame) -> DataFrame:
 
 def _several(rows: DataFrame, links: DataFrame) -> DataFrame:
     """bucket, fp, score, lead, label and n_lead (the bucket's leads) of the buckets with leads and
-    more than one component; written."""
+    more than one component, one of those with the same members; written."""
     rows = _labelled(rows, links)
-    sums = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("lead").alias("n_lead")).where("lo != hi and n_lead > 0")
-    many = sums.select(F.col("bucket").alias("__b"), "n_lead")
+    told = F.xxhash64("fp", "lead"), F.xxhash64(F.lit("again"), "fp", "lead")
+    members = [F.count("*").alias("n"), F.bit_xor(told[0]).alias("x"), F.bit_xor(told[1]).alias("y")]
+    sums = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("lead").alias("n_lead"), *members).where("lo != hi and n_lead > 0")
+    # what shares a passage shares many shingles: of buckets with the same members, which hold the same pairs, one is enough
+    many = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("__b"), F.first("n_lead").alias("n_lead")).select("__b", "n_lead")
     return written(rows.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp", "score", "lead", "label", "n_lead"), "minhash-rows")
 
 
@@ -385,10 +390,14 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     far = told.where("far and n_failed > 1 and not linked").groupBy(F.col("a").alias("__fp")).agg(F.first("score").alias("score"), F.bool_or(~F.col("near")).alias("lead"))
     fine = written(_fine(sets.join(far, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
 
-    rows, known, leads = _dealt_again(told).unionByName(_shared(fine)), [first, second, third], FIRST_LEADS
+    rows, known, leads = _dealt_again(told).unionByName(_shared(fine)), [first, second, third], 1
     while True:  # the leads of a bucket get fewer, and the more of them are compared at once
         links = components(all_of(known).where("linked").select("a", "b"))
         several = _several(rows, links)
+        if len(known) == 4 and not several.isEmpty():  # one lead was enough for those that link with it; the others by long bands
+            left = several.groupBy(F.col("fp").alias("__fp")).agg(F.max("score").alias("score"), F.bool_or("lead").alias("lead"))
+            dealt = written(_fine(sets.join(left, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
+            several, leads = _several(_shared(dealt), links), FIRST_LEADS
         if several.isEmpty():
             return links
         pairs, rows = _led(several, leads)
