@@ -23,9 +23,9 @@ original share none, so large families end here. Members so far from the hub tha
 to it can be linked with them are
 dealt by many long bands instead. In the new buckets one class (of those that failed with the hub,
 the best) is compared with all others that aren't in its component, then components are
-merged. Classes still in buckets of several components share a difference, but may share it in many buckets and
-with a whole family, so they are dealt by long bands as well, in which those far from a link seldom meet; there more classes
-lead, then many times more, until no bucket with leads has several components. Before
+merged. In buckets still of several components more classes lead, then many times more, until no bucket with leads
+has several. Only where very many share a difference (``CROWDED``), as a whole family shares a passage, they are dealt by long bands
+instead, in which those far from a link seldom meet; a smaller bucket makes pairs in proportion to its rows. Before
 sets are brought together there, a pair must pass a sketch of parities, which rules out nothing that
 links (``_parity``). All links are confirmed on whole sets. At similarity 0.85 a
 linked pair shares no bucket with probability 4e-7 (0.8: 5e-5), and no long band with 2e-6.
@@ -58,7 +58,9 @@ BANDS, ROWS = 25, 5
 FINE_BANDS, FINE_LOSS = 180, 2e-6
 #: Edges of components in one file, about.
 EDGES_A_FILE = 100_000
-#: Classes of a bucket of long bands that are compared with all others of it at once, and how many times more in each later round.
+#: Classes that share a difference, above which those left after one lead are dealt by long bands.
+CROWDED = 48
+#: Classes of a bucket that are compared with all others of it at once after the first, and how many times more in each later round.
 FIRST_LEADS, LEADS_GROW = 16, 128
 #: Stars with more near members that failed try another hub, the class nearest to theirs.
 CROWD = 16
@@ -317,23 +319,24 @@ def _recentred(second: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
 
 
 def _dealt_again(told: DataFrame) -> DataFrame:
-    """bucket, fp, score and lead (it failed) of members that share a shingle in which they differ
+    """bucket, fp, score, lead (it failed) and long (false) of members that share a shingle in which they differ
     from the hub."""
     keys = F.concat("added", F.coalesce("lacks", F.array().cast("array<long>")))
     rows = told.select(F.col("a").alias("fp"), "score", (~F.col("linked")).alias("lead"), "b", F.explode(keys).alias("key"))
-    return _shared(rows.select(F.xxhash64("b", "key").alias("bucket"), "fp", "score", "lead"))
+    return _shared(rows.select(F.xxhash64("b", "key").alias("bucket"), "fp", "score", "lead", F.lit(False).alias("long")))
 
 
 def _several(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, fp, score, lead, label and n_lead (the bucket's leads) of the buckets with leads and
+    """bucket, fp, score, lead, long, label, n (the bucket's classes) and n_lead (its leads) of the buckets with leads and
     more than one component, one of those with the same members; written."""
     rows = _labelled(rows, links)
     told = F.xxhash64("fp", "lead"), F.xxhash64(F.lit("again"), "fp", "lead")
     members = [F.count("*").alias("n"), F.bit_xor(told[0]).alias("x"), F.bit_xor(told[1]).alias("y")]
-    sums = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("lead").alias("n_lead"), *members).where("lo != hi and n_lead > 0")
+    sums = rows.groupBy("bucket", "long").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("lead").alias("n_lead"), *members).where("lo != hi and n_lead > 0")
     # what shares a passage shares many shingles: of buckets with the same members, which hold the same pairs, one is enough
-    many = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("__b"), F.first("n_lead").alias("n_lead")).select("__b", "n_lead")
-    return written(rows.join(many, F.col("bucket") == F.col("__b")).select("bucket", "fp", "score", "lead", "label", "n_lead"), "minhash-rows")
+    many = sums.groupBy("n", "x", "y", "long").agg(F.min("bucket").alias("__b"), F.first("n_lead").alias("n_lead")).select("__b", F.col("long").alias("__long"), "n", "n_lead")
+    rows = rows.join(many, (F.col("bucket") == F.col("__b")) & (F.col("long") == F.col("__long")))
+    return written(rows.select("bucket", "fp", "score", "lead", "long", "label", "n", "n_lead"), "minhash-rows")
 
 
 def _led(rows: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +348,7 @@ def _led(rows: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
     pairs = rows.join(best, (F.col("bucket") == F.col("__b")) & (F.col("label") != F.col("__label")))
     pairs = pairs.select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"), F.lit(0).cast("long").alias("score")).distinct()
     rest = rows.where(f"n_lead > {leads}").join(best, (F.col("bucket") == F.col("__b")) & (F.col("fp") == F.col("b")), "left")
-    return written(pairs, "minhash-pairs"), rest.select("bucket", "fp", "score", (F.col("lead") & F.col("b").isNull()).alias("lead"))
+    return written(pairs, "minhash-pairs"), rest.select("bucket", "fp", "score", (F.col("lead") & F.col("b").isNull()).alias("lead"), "long")
 
 
 def fine_rows(percent: int) -> int:
@@ -355,7 +358,7 @@ def fine_rows(percent: int) -> int:
 
 
 def _fine(sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, fp, score and lead of the classes by many long bands of coordinates of their own."""
+    """bucket, fp, score, lead and long (true) of the classes by many long bands of coordinates of their own."""
     rows = fine_rows(percent)
 
     def run(batches):
@@ -365,7 +368,7 @@ def _fine(sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([k for k in keys], pa.list_(pa.int64()))], names=["fp", "score", "lead", "buckets"])
 
     keys = sets.select("fp", "set", "score", "lead").mapInArrow(run, "fp binary, score long, lead boolean, buckets array<long>")
-    return keys.select(F.explode("buckets").alias("bucket"), "fp", "score", "lead")
+    return keys.select(F.explode("buckets").alias("bucket"), "fp", "score", "lead", F.lit(True).alias("long"))
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -394,10 +397,12 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
     while True:  # the leads of a bucket get fewer, and the more of them are compared at once
         links = components(all_of(known).where("linked").select("a", "b"))
         several = _several(rows, links)
-        if len(known) == 4 and not several.isEmpty():  # one lead was enough for those that link with it; the others by long bands
-            left = several.groupBy(F.col("fp").alias("__fp")).agg(F.max("score").alias("score"), F.bool_or("lead").alias("lead"))
-            dealt = written(_fine(sets.join(left, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
-            several, leads = _several(_shared(dealt), links), FIRST_LEADS
+        if len(known) == 4:  # one lead was enough for those that link with it
+            leads, crowd = FIRST_LEADS, several.where(f"n > {CROWDED} and not long")
+            if not crowd.isEmpty():
+                left = crowd.groupBy(F.col("fp").alias("__fp")).agg(F.max("score").alias("score"), F.bool_or("lead").alias("lead"))
+                dealt = written(_fine(sets.join(left, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
+                several = _several(several.where(f"n <= {CROWDED} or long").select(*dealt.columns).unionByName(_shared(dealt)), links)
         if several.isEmpty():
             return links
         pairs, rows = _led(several, leads)

@@ -248,3 +248,41 @@ def test_templated_texts_make_linear_pairs(spark, monkeypatch):
         got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
         assert got == brute_matrix(rows, 3, 85)
     assert made[0] <= 25 * 125 and made[1] <= 25 * 500 and made[1] <= 6 * made[0], made  # of 7,750 and 124,750 pairs
+
+
+def test_differences_shared_by_few_make_few_pairs(spark, monkeypatch):
+    """Copies of one text in which places have one of a few other words, most of them not linked: classes meet those that share
+    a difference with them, not the whole family."""
+    rng = random.Random(31)
+    base, other = [f"b{i}" for i in range(146)], [[f"o{i}x{j}" for j in range(25)] for i in range(146)]
+    rows, made, led = [], [], minhash._led
+    for i in range(600):
+        w = list(base)
+        for at in rng.sample(range(146), rng.randint(3, 6)):
+            w[at] = rng.choice(other[at])
+        rows.append((i, " ".join(w)))
+
+    def counted(*args):
+        pairs, rest = led(*args)
+        made.append(pairs.count())
+        return pairs, rest
+
+    monkeypatch.setattr(minhash, "_led", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 5, 80).collect()}
+    assert got == brute_matrix(rows, 5, 80) and len(set(got.values())) > 100
+    assert sum(made) < 6 * len(rows), made
+
+
+def test_few_classes_are_crowded(spark, monkeypatch):
+    """Buckets of differences on both sides of the bound in one family: links as by brute force."""
+    monkeypatch.setattr(minhash, "CROWDED", 6)
+    rng = random.Random(32)
+    base, shared = [f"b{i}" for i in range(150)], [[f"s{i}x{j}" for j in range(9)] for i in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(base) + [x for s in shared if rng.random() < 0.25 for x in s]
+        for at in rng.sample(range(150), rng.randint(0, 4)):
+            w[at] = f"o{at}x{rng.randint(0, 4)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
+    assert got == brute_matrix(rows, 3, 85)
