@@ -68,6 +68,8 @@ CROWD = 16
 STAR_ROWS = 512
 #: Places of the circulant permutation, and coordinates that are made at once at most.
 PLACES_LOG, MOST_SHIFTS = 22, 8192
+#: Bits by which rows are left out that a join can't want (a power of two): 2 MB when all are used.
+LIKELY_BITS = 1 << 24
 _SIGMA = stream64(2, 21)
 _CHUNK = 1 << 20
 
@@ -149,10 +151,19 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return written(rows.mapInArrow(run, "doc_id long, text_key long, n long, fp binary, buckets array<long>"), "minhash-sketches")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys are in ``wanted``, and a few others: those left out needn't be shuffled for a join."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(LIKELY_BITS))
+    marks = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(marks), (F.bitmap_bucket_number(at) == F.col("__part")) & (F.getbit(byte, (bit % 8).cast("int")) == 1), "left_semi")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp, set (sorted hashes as bytes), n and sketch (parities) of the classes ``wanted`` (fp, doc_id, text_key)."""
-    rows = pick(docs, "doc_id long", "text string").select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("r")
-    w = wanted.alias("w")
+    rows = pick(docs, "doc_id long", "text string").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows, w = _likely(rows, wanted, "doc_id", "text_key").alias("r"), wanted.alias("w")
     on = (F.col("r.text_key") == F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
     found = rows.join(w, on).select("w.fp", "r.text").dropDuplicates(["fp"])
 
@@ -195,12 +206,14 @@ def differences(p: np.ndarray, q: np.ndarray, percent: int) -> dict:
 _COMPARED = "a binary, b binary, score long, linked boolean, apart double, near boolean, short long, gain long, few int, added array<long>, lacks array<long>"
 
 
-def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = False) -> DataFrame:
+def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = False, few: bool = True) -> DataFrame:
     """The pairs (a, b, score) with what :func:`differences` says of them, on whole sets; written.
 
     A centre's set goes to as many tasks as its star needs. The lists of shingles are filled only
-    if wanted, and for near members.
+    if wanted, and for near members. Where the pairs have ``few`` of the sets, only these are shuffled.
     """
+    if few:
+        sets = _likely(sets.select("fp", "set"), stars.select(F.explode(F.array("a", "b")).alias("fp")), "fp")
     parts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
     salts = stars.groupBy("b").agg(F.count("*").alias("n")).select(F.col("b").alias("__b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__salt"), parts.alias("parts"))
     sizes = salts.where("__salt = 0 and parts > 1").select("__b", "parts")
@@ -371,6 +384,12 @@ def _fine(sets: DataFrame, percent: int) -> DataFrame:
     return keys.select(F.explode("buckets").alias("bucket"), "fp", "score", "lead", F.lit(True).alias("long"))
 
 
+def _long_bands(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """The long bands of the chosen classes (__fp, score, lead)."""
+    likely = _likely(sets.select("fp", "set"), chosen.select(F.col("__fp").alias("fp")), "fp")
+    return _fine(likely.join(chosen, F.col("fp") == F.col("__fp")), percent)
+
+
 def _shared(dealt: DataFrame) -> DataFrame:
     """The rows (bucket, fp and more) of buckets with two classes at least, and a lead where there are leads."""
     lead = F.bool_or("lead") if "lead" in dealt.columns else F.lit(True)
@@ -380,18 +399,20 @@ def _shared(dealt: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root of all classes that are linked with another."""
-    classes = sketched.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key", "buckets")).alias("r"))
-    left = written(_shared(classes.select("fp", F.explode("r.buckets").alias("bucket"))), "minhash-buckets")
-    wanted = left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key")
+    full = sketched.where("n > 0")
+    dealt = full.groupBy("fp").agg(F.first("buckets").alias("buckets")).select("fp", F.explode("buckets").alias("bucket"))
+    left = written(_shared(dealt.repartition("bucket")), "minhash-buckets")  # shuffled once for the sums and the join
+    classes = full.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    wanted = written(left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key"), "minhash-wanted")
     sets = _sets_of(docs, wanted, width)
 
     hubs = _hubs(_ranked(left))
-    first = _verify(_stars(hubs, "centre"), sets, percent)
+    first = _verify(_stars(hubs, "centre"), sets, percent, False, False)
     second = _verify(_stars(_unsettled(hubs, first), "hub"), sets, percent, True)
     third, stars = _recentred(second, sets, percent)
     told = written(_open(stars), "minhash-open")
     far = told.where("far and n_failed > 1 and not linked").groupBy(F.col("a").alias("__fp")).agg(F.first("score").alias("score"), F.bool_or(~F.col("near")).alias("lead"))
-    fine = written(_fine(sets.join(far, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
+    fine = written(_long_bands(sets, written(far, "minhash-far"), percent), "minhash-fine")
 
     rows, known, leads = _dealt_again(told).unionByName(_shared(fine)), [first, second, third], 1
     while True:  # the leads of a bucket get fewer, and the more of them are compared at once
@@ -401,7 +422,7 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
             leads, crowd = FIRST_LEADS, several.where(f"n > {CROWDED} and not long")
             if not crowd.isEmpty():
                 left = crowd.groupBy(F.col("fp").alias("__fp")).agg(F.max("score").alias("score"), F.bool_or("lead").alias("lead"))
-                dealt = written(_fine(sets.join(left, F.col("fp") == F.col("__fp")), percent), "minhash-fine")
+                dealt = written(_long_bands(sets, written(left, "minhash-crowd"), percent), "minhash-fine")
                 several = _several(several.where(f"n <= {CROWDED} or long").select(*dealt.columns).unionByName(_shared(dealt)), links)
         if several.isEmpty():
             return links

@@ -286,3 +286,22 @@ def test_few_classes_are_crowded(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
     assert got == brute_matrix(rows, 3, 85)
+
+
+def test_only_what_joins_is_shuffled(spark, monkeypatch):
+    """Of the documents and the sets, only rows that a join wants are shuffled for it, and none of them is lost."""
+    rng = random.Random(33)
+    rows = [(i, " ".join(str(rng.randint(0, 10**9)) for _ in range(40))) for i in range(500)] + family(rng, 100, 20, (0, 1, 3, 6), 1000)
+    rows += [(None, rows[-1][1]), (None, rows[0][1] + " more")]
+    seen, likely = [], minhash._likely
+
+    def counted(table, wanted, *keys):
+        out = likely(table, wanted, *keys)
+        want = wanted.select(*keys).distinct()
+        seen.append((keys, table.count(), want.count(), out.count(), out.select(*keys).distinct().intersect(want).count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_likely", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect() if r["doc_id"] is not None}
+    assert all(n == kept for _, _, n, _, kept in seen) and all(out <= n + 2 for _, _, n, out, _ in seen), seen
+    assert seen[0][0] == ("doc_id", "text_key") and seen[0][1] == len(rows) and seen[0][3] < 40 and len(seen) > 2
