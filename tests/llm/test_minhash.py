@@ -251,11 +251,11 @@ def test_templated_texts_make_linear_pairs(spark, monkeypatch):
 
 
 def test_differences_shared_by_few_make_few_pairs(spark, monkeypatch):
-    """Copies of one text in which places have one of a few other words, most of them not linked: classes meet those that share
-    a difference with them, not the whole family."""
+    """Copies of one text (which is there too) in which places have one of a few other words, most of them not linked: classes meet
+    those that share a difference with them, not the whole family."""
     rng = random.Random(31)
     base, other = [f"b{i}" for i in range(146)], [[f"o{i}x{j}" for j in range(25)] for i in range(146)]
-    rows, made, led = [], [], minhash._led
+    rows, made, led = [(1000, " ".join(base))], [], minhash._led
     for i in range(600):
         w = list(base)
         for at in rng.sample(range(146), rng.randint(3, 6)):
