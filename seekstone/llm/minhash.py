@@ -42,6 +42,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,8 @@ CROWD = 16
 STAR_ROWS = 512
 #: Places of the circulant permutation, and coordinates that are made at once at most.
 PLACES_LOG, MOST_SHIFTS = 22, 8192
+#: Rows of a written table in one file, and sets or pairs of sets that one task takes, about (an Arrow batch).
+ROWS_A_FILE, SETS_A_TASK = 20_000, 2000
 #: Bits by which rows are left out that a join can't want (a power of two): 2 MB when all are used.
 LIKELY_BITS = 1 << 24
 _SIGMA = stream64(2, 21)
@@ -151,6 +154,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return written(rows.mapInArrow(run, "doc_id long, text_key long, n long, fp binary, buckets array<long>"), "minhash-sketches")
 
 
+def _few(df: DataFrame, most: int, each: int = ROWS_A_FILE) -> DataFrame:
+    """df, of ``most`` rows at most, in as many partitions as these rows need, or keep the cores busy, where it has more: each
+    costs a task, a file, often a Python worker, and work for whatever reads it."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-most // each)))
+
+
 def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """The rows whose keys are in ``wanted``, and a few others: those left out needn't be shuffled for a join."""
     at = F.pmod(F.xxhash64(*keys), F.lit(LIKELY_BITS))
@@ -163,9 +172,10 @@ def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp, set (sorted hashes as bytes), n and sketch (parities) of the classes ``wanted`` (fp, doc_id, text_key)."""
     rows = pick(docs, "doc_id long", "text string").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    most = wanted.count()
     rows, w = _likely(rows, wanted, "doc_id", "text_key").alias("r"), wanted.alias("w")
     on = (F.col("r.text_key") == F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
-    found = rows.join(w, on).select("w.fp", "r.text").dropDuplicates(["fp"])
+    found = _few(rows.join(w, on).select("w.fp", "r.text").dropDuplicates(["fp"]), most, SETS_A_TASK)
 
     def run(batches):
         for batch in batches:
@@ -212,6 +222,7 @@ def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = Fa
     A centre's set goes to as many tasks as its star needs. The lists of shingles are filled only
     if wanted, and for near members. Where the pairs have ``few`` of the sets, only these are shuffled.
     """
+    most = stars.count()
     if few:
         sets = _likely(sets.select("fp", "set"), stars.select(F.explode(F.array("a", "b")).alias("fp")), "fp")
     parts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
@@ -223,6 +234,7 @@ def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = Fa
     left = pairs.join(sets.alias("x"), F.col("a") == F.col("x.fp")).select("a", "b", "score", "salt", F.col("x.set").alias("set_a"))
     right = salts.join(sets.alias("y"), F.col("__b") == F.col("y.fp")).select("__b", "__salt", F.col("y.set").alias("set_b"))
     rows = left.join(right, (F.col("b") == F.col("__b")) & (F.col("salt") == F.col("__salt"))).select("a", "b", "score", "set_a", "set_b")
+    rows = _few(rows, most, SETS_A_TASK)
 
     def run(batches):
         for batch in batches:
@@ -242,18 +254,21 @@ def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = Fa
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each component of the edges (a, b), by alternating large
-    and small stars until nothing changes; every step works on edges only."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    now = written(now, "components")
+    and small stars until nothing changes; every step works on edges only. A file's worth of edges
+    isn't shuffled: that would take as many tasks for each step as there are partitions."""
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), "components")
     n, mark = now.count(), None
     while True:
-        both = now.union(now.select("b", "a"))
+        if n <= EDGES_A_FILE:
+            now = now.coalesce(1)  # the only partition: what follows needs no exchange
+        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         low = lower.withColumnRenamed("a", "u")
         small = large.join(low, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = small.union(lower.select("a", F.col("m").alias("b"))).distinct()
+        stars = small.union(lower.select("a", F.col("m").alias("b")))
+        stars = (stars.coalesce(1) if n <= EDGES_A_FILE else stars).distinct()
         # the edges don't grow in number: as many files as they need, not as there are partitions
         now = written(stars.coalesce(max(1, -(-n // EDGES_A_FILE))), "components")
         last, mark = mark, now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -269,25 +284,29 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """Add score: classes that share buckets with many others come first as centres."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("__n")).withColumnRenamed("bucket", "__b")
-    score = rows.join(sizes, F.col("bucket") == F.col("__b")).groupBy("fp").agg(F.sum(F.col("__n") - 1).alias("score"))
-    return rows.join(score.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp")).select("bucket", "fp", "score")
+    """bucket, fp and score of the rows (bucket, fp, n: the bucket's classes): classes that share buckets with many others
+    come first as centres."""
+    told = rows.groupBy("fp").agg(F.sum(F.col("n") - 1).alias("score"), F.collect_list("bucket").alias("buckets"))
+    return told.select(F.explode("buckets").alias("bucket"), "fp", "score")
 
 
-def _hubs(rows: DataFrame) -> DataFrame:
-    """bucket, fp, score, centre (the best of its bucket) and hub (the best of its members' centres); written."""
-    best = rows.groupBy("bucket").agg(F.max(F.struct("score", "fp")).alias("centre"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi")
-    told = rows.join(best.select(F.col("bucket").alias("__b"), "centre"), F.col("bucket") == F.col("__b")).drop("__b")
-    own = told.groupBy("fp").agg(F.max("centre").alias("own")).withColumnRenamed("fp", "__fp")
-    hub = told.join(own, F.col("fp") == F.col("__fp")).groupBy("bucket").agg(F.max("own").alias("hub")).withColumnRenamed("bucket", "__b")
-    out = told.join(hub, F.col("bucket") == F.col("__b"))
-    return written(out.select("bucket", "fp", "score", F.col("centre.fp").alias("centre"), F.col("hub.fp").alias("hub")), "minhash-hubs")
+def _hubs(rows: DataFrame, most: int) -> DataFrame:
+    """bucket, fp, score, centre (the best of its bucket) and hub (the best of its members' centres); written.
 
+    A class's buckets, BANDS at most, stay together where its own best centre is found, so they needn't be joined with it.
+    """
+    best = rows.groupBy("bucket").agg(F.max(F.struct("score", "fp")).alias("centre")).withColumnRenamed("bucket", "__b")
+    told = rows.join(best, F.col("bucket") == F.col("__b"))
+    own = told.groupBy("fp", "score").agg(F.max("centre").alias("own"), F.collect_list(F.struct("bucket", F.col("centre.fp").alias("centre"))).alias("stars"))
+    own = own.select("fp", "score", "own", F.inline("stars"))
+    hub = own.groupBy("bucket").agg(F.max("own").alias("hub")).withColumnRenamed("bucket", "__b")
+    out = own.join(hub, F.col("bucket") == F.col("__b"))
+    return written(_few(out.select("bucket", "fp", "score", "centre", F.col("hub.fp").alias("hub")), most), "minhash-hubs")
 
-def _stars(rows: DataFrame, centre: str) -> DataFrame:
+
+def _stars(rows: DataFrame, centre: str, most: int) -> DataFrame:
     """a, b, score (of a): every class a with its ``centre`` b; written."""
-    return written(rows.where(F.col("fp") != F.col(centre)).select(F.col("fp").alias("a"), F.col(centre).alias("b"), "score").distinct(), "minhash-stars")
+    return written(_few(rows.where(F.col("fp") != F.col(centre)).select(F.col("fp").alias("a"), F.col(centre).alias("b"), "score").distinct(), most), "minhash-stars")
 
 
 def _unsettled(hubs: DataFrame, compared: DataFrame) -> DataFrame:
@@ -321,12 +340,14 @@ def _recentred(second: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     the hub with which fewer members fail."""
     crowd = second.groupBy("b").agg(F.count_if(~F.col("linked") & F.col("near")).alias("n"), F.min_by("a", F.struct("apart", "a")).alias("other"))
     crowd = crowd.where(f"n > {CROWD}").select(F.col("b").alias("__b"), "other")
-    moved = written(second.join(crowd, F.col("b") == F.col("__b")).where("a != other").select("a", "b", "score", "linked", "other"), "minhash-crowds")
-    more = _verify(written(moved.select("a", F.col("other").alias("b"), "score").distinct(), "minhash-stars"), sets, percent, True)
+    most = second.count()
+    moved = second.join(crowd, F.col("b") == F.col("__b")).where("a != other").select("a", "b", "score", "linked", "other")
+    moved = written(_few(moved, most), "minhash-crowds")
+    more = _verify(written(_few(moved.select("a", F.col("other").alias("b"), "score").distinct(), most), "minhash-stars"), sets, percent, True)
     now = more.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("linked").alias("__linked"))
     both = moved.join(now, (F.col("a") == F.col("__a")) & (F.col("other") == F.col("__b")))
     better = both.groupBy("b", "other").agg(F.count_if(~F.col("linked")).alias("old"), F.count_if(~F.col("__linked")).alias("new")).where("new < old")
-    better = written(better.select("b", "other"), "minhash-moved")
+    better = written(_few(better.select("b", "other"), most), "minhash-moved")
     stay = second.join(better.select("b").distinct(), "b", "left_anti")
     return more, stay.unionByName(more.join(better.select(F.col("other").alias("b")).distinct(), "b", "left_semi"))
 
@@ -339,7 +360,7 @@ def _dealt_again(told: DataFrame) -> DataFrame:
     return _shared(rows.select(F.xxhash64("b", "key").alias("bucket"), "fp", "score", "lead", F.lit(False).alias("long")))
 
 
-def _several(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _several(rows: DataFrame, links: DataFrame, most: int) -> DataFrame:
     """bucket, fp, score, lead, long, label, n (the bucket's classes) and n_lead (its leads) of the buckets with leads and
     more than one component, one of those with the same members; written."""
     rows = _labelled(rows, links)
@@ -349,10 +370,10 @@ def _several(rows: DataFrame, links: DataFrame) -> DataFrame:
     # what shares a passage shares many shingles: of buckets with the same members, which hold the same pairs, one is enough
     many = sums.groupBy("n", "x", "y", "long").agg(F.min("bucket").alias("__b"), F.first("n_lead").alias("n_lead")).select("__b", F.col("long").alias("__long"), "n", "n_lead")
     rows = rows.join(many, (F.col("bucket") == F.col("__b")) & (F.col("long") == F.col("__long")))
-    return written(rows.select("bucket", "fp", "score", "lead", "long", "label", "n", "n_lead"), "minhash-rows")
+    return written(_few(rows.select("bucket", "fp", "score", "lead", "long", "label", "n", "n_lead"), most), "minhash-rows")
 
 
-def _led(rows: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
+def _led(rows: DataFrame, leads: int, most: int) -> tuple[DataFrame, DataFrame]:
     """The pairs a, b, score of the buckets' best leads with members of other components, written;
     and the rows, these leads no longer leading."""
     order = Window.partitionBy("bucket").orderBy(F.desc("score"), F.desc("fp"))
@@ -361,7 +382,7 @@ def _led(rows: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
     pairs = rows.join(best, (F.col("bucket") == F.col("__b")) & (F.col("label") != F.col("__label")))
     pairs = pairs.select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"), F.lit(0).cast("long").alias("score")).distinct()
     rest = rows.where(f"n_lead > {leads}").join(best, (F.col("bucket") == F.col("__b")) & (F.col("fp") == F.col("b")), "left")
-    return written(pairs, "minhash-pairs"), rest.select("bucket", "fp", "score", (F.col("lead") & F.col("b").isNull()).alias("lead"), "long")
+    return written(_few(pairs, most * leads), "minhash-pairs"), rest.select("bucket", "fp", "score", (F.col("lead") & F.col("b").isNull()).alias("lead"), "long")
 
 
 def fine_rows(percent: int) -> int:
@@ -390,45 +411,54 @@ def _long_bands(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     return _fine(likely.join(chosen, F.col("fp") == F.col("__fp")), percent)
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """The rows (bucket, fp and more) of buckets with two classes at least, and a lead where there are leads."""
+def _shared(dealt: DataFrame, *sums: Column) -> DataFrame:
+    """The rows (bucket, fp and more) of buckets with two classes at least, and a lead where there are leads; with ``sums``
+    of their buckets."""
     lead = F.bool_or("lead") if "lead" in dealt.columns else F.lit(True)
-    told = dealt.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), lead.alias("led")).where("lo != hi and led")
-    return dealt.join(told.select(F.col("bucket").alias("__b")), F.col("bucket") == F.col("__b")).drop("__b")
+    told = dealt.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), lead.alias("led"), *sums).where("lo != hi and led")
+    return dealt.join(told.withColumnRenamed("bucket", "__b"), F.col("bucket") == F.col("__b")).drop("__b", "lo", "hi", "led")
 
 
 def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root of all classes that are linked with another."""
     full = sketched.where("n > 0")
     dealt = full.groupBy("fp").agg(F.first("buckets").alias("buckets")).select("fp", F.explode("buckets").alias("bucket"))
-    left = written(_shared(dealt.repartition("bucket")), "minhash-buckets")  # shuffled once for the sums and the join
+    n_docs = sketched.count()
+    left = _shared(dealt.repartition("bucket"), F.count("*").alias("n"))  # shuffled once for the sums and the join
+    left = written(_few(left, BANDS * n_docs), "minhash-buckets")
     classes = full.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    wanted = written(left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key"), "minhash-wanted")
+    wanted = written(_few(left.select("fp").distinct().join(classes, "fp").select("fp", "r.doc_id", "r.text_key"), n_docs), "minhash-wanted")
     sets = _sets_of(docs, wanted, width)
 
-    hubs = _hubs(_ranked(left))
-    first = _verify(_stars(hubs, "centre"), sets, percent, False, False)
-    second = _verify(_stars(_unsettled(hubs, first), "hub"), sets, percent, True)
+    n_rows = left.count()
+    hubs = _hubs(_ranked(left), n_rows)
+    first = _verify(_stars(hubs, "centre", n_rows), sets, percent, False, False)
+    second = _verify(_stars(_unsettled(hubs, first), "hub", n_rows), sets, percent, True)
     third, stars = _recentred(second, sets, percent)
-    told = written(_open(stars), "minhash-open")
+    told = written(_few(_open(stars), n_rows), "minhash-open")
     far = told.where("far and n_failed > 1 and not linked").groupBy(F.col("a").alias("__fp")).agg(F.first("score").alias("score"), F.bool_or(~F.col("near")).alias("lead"))
-    fine = written(_long_bands(sets, written(far, "minhash-far"), percent), "minhash-fine")
-
-    rows, known, leads = _dealt_again(told).unionByName(_shared(fine)), [first, second, third], 1
-    while True:  # the leads of a bucket get fewer, and the more of them are compared at once
-        links = components(all_of(known).where("linked").select("a", "b"))
-        several = _several(rows, links)
-        if len(known) == 4:  # one lead was enough for those that link with it
+    fine = written(_long_bands(sets, written(_few(far, n_rows), "minhash-far"), percent), "minhash-fine")
+
+    most = told.select(F.sum(F.size("added") + F.coalesce(F.size("lacks"), F.lit(0)))).first()[0] or 0
+    most += fine.count()
+    rows, leads = _dealt_again(told).unionByName(_shared(fine)), 1
+    links = components(all_of([first, second, third]).where("linked").select("a", "b"))
+    for turn in itertools.count():  # the leads of a bucket get fewer, and the more of them are compared at once
+        several = _several(rows, links, most)
+        if turn == 1:  # one lead was enough for those that link with it
             leads, crowd = FIRST_LEADS, several.where(f"n > {CROWDED} and not long")
             if not crowd.isEmpty():
                 left = crowd.groupBy(F.col("fp").alias("__fp")).agg(F.max("score").alias("score"), F.bool_or("lead").alias("lead"))
                 dealt = written(_long_bands(sets, written(left, "minhash-crowd"), percent), "minhash-fine")
-                several = _several(several.where(f"n <= {CROWDED} or long").select(*dealt.columns).unionByName(_shared(dealt)), links)
-        if several.isEmpty():
+                several = _several(several.where(f"n <= {CROWDED} or long").select(*dealt.columns).unionByName(_shared(dealt)), links, most + dealt.count())
+        most = several.count()
+        if not most:
             return links
-        pairs, rows = _led(several, leads)
-        pairs = near(pairs, sets.select(F.col("fp").alias("id"), "n", "sketch"), percent)
-        known.append(_verify(written(pairs, "minhash-near"), sets.select("fp", "set"), percent))
+        pairs, rows = _led(several, leads, most)
+        pairs = _few(near(pairs, sets.select(F.col("fp").alias("id"), "n", "sketch"), percent), pairs.count())
+        fresh = _verify(written(pairs, "minhash-near"), sets.select("fp", "set"), percent).where("linked").select("a", "b")
+        if not fresh.isEmpty():  # components of before, each as a star, and what joins them
+            links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
         leads *= LEADS_GROW
 
 

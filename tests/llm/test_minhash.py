@@ -305,3 +305,34 @@ def test_only_what_joins_is_shuffled(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in minhash.groups(docs(spark, rows), 3, 85).collect() if r["doc_id"] is not None}
     assert all(n == kept for _, _, n, _, kept in seen) and all(out <= n + 2 for _, _, n, out, _ in seen), seen
     assert seen[0][0] == ("doc_id", "text_key") and seen[0][1] == len(rows) and seen[0][3] < 40 and len(seen) > 2
+
+
+def test_few_rows_make_few_tasks(spark, monkeypatch):
+    """However many partitions shuffles have: small tables are written in as many files as the cores want, and components of few
+    edges are found without an exchange."""
+    rng = random.Random(34)
+    rows = [r for k in range(6) for r in family(rng, 120, 20, (0, 1, 2, 4, 6, 9), 100 * k)]
+    files, exchanges, written = {}, [], minhash.written
+
+    def counted(df, name):
+        if name == "components":
+            exchanges.append("Exchange" in df._jdf.queryExecution().executedPlan().toString())
+        out = written(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows, 3, 85)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert exchanges and not any(exchanges) and most < 61
+    assert {"minhash-buckets", "minhash-hubs", "minhash-verified", "minhash-rows"} < files.keys()
+    assert all(n <= most for name, n in files.items() if name != "minhash-fine"), files
