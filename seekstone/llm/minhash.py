@@ -260,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
     n, mark = now.count(), None
     while True:
         if n <= EDGES_A_FILE:
-            now = now.coalesce(1)  # the only partition: what follows needs no exchange
+            now = now.coalesce(1)  # the only partition: what follows needs no shuffle
         both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
