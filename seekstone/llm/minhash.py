@@ -254,27 +254,35 @@ def _verify(stars: DataFrame, sets: DataFrame, percent: int, shingles: bool = Fa
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each component of the edges (a, b), by alternating large
-    and small stars until nothing changes; every step works on edges only. A file's worth of edges
+    and small stars until nothing changes; every step makes as many rows as there are edges. A file's worth of edges
     isn't shuffled: that would take as many tasks for each step as there are partitions."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), "components")
-    n, mark = now.count(), None
+    last = None
     while True:
+        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        if mark == last:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        n, last = mark[0], mark
         if n <= EDGES_A_FILE:
             now = now.coalesce(1)  # the only partition: what follows needs no shuffle
-        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        low = lower.withColumnRenamed("a", "u")
-        small = large.join(low, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = small.union(lower.select("a", F.col("m").alias("b")))
-        stars = (stars.coalesce(1) if n <= EDGES_A_FILE else stars).distinct()
+        # a is the greater of each edge, so a node's least neighbour, if less than itself, is among its b
+        least = now.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = now.join(least, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        lower = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(lower, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         # the edges don't grow in number: as many files as they need, not as there are partitions
-        now = written(stars.coalesce(max(1, -(-n // EDGES_A_FILE))), "components")
-        last, mark = mark, now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        n = mark[0]
-        if last == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        now = written(small.distinct().coalesce(max(1, -(-n // EDGES_A_FILE))), "components")
+
+
+def merged(links: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
+    """The components ``links`` (node, root; ``most`` nodes at most), those that the ``fresh`` edges (a, b) join made one; written.
+    Only the roots that fresh edges join go through rounds, not what the components hold."""
+    for side in "ab":
+        fresh = _labelled(fresh.withColumnRenamed(side, "fp"), links).drop("fp").withColumnRenamed("label", side)
+    roots = components(fresh)
+    to = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    moved = links.join(to, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root"))
+    return written(_few(moved.union(roots), most), "components-merged")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -457,8 +465,8 @@ def _links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Da
         pairs, rows = _led(several, leads, most)
         pairs = _few(near(pairs, sets.select(F.col("fp").alias("id"), "n", "sketch"), percent), pairs.count())
         fresh = _verify(written(pairs, "minhash-near"), sets.select("fp", "set"), percent).where("linked").select("a", "b")
-        if not fresh.isEmpty():  # components of before, each as a star, and what joins them
-            links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
+        if not fresh.isEmpty():
+            links = merged(links, fresh, n_docs)
         leads *= LEADS_GROW
 
 

@@ -336,3 +336,45 @@ def test_few_rows_make_few_tasks(spark, monkeypatch):
     assert shuffles and not any(shuffles) and most < 61
     assert {"minhash-buckets", "minhash-hubs", "minhash-verified", "minhash-rows"} < files.keys()
     assert all(n <= most for name, n in files.items() if name != "minhash-fine"), files
+
+
+def test_components_make_rows_as_there_are_edges(spark, monkeypatch):
+    """The steps of components make rows in proportion to the edges, and links found later go through them alone, not with all before."""
+    rng = random.Random(3)
+    base, shared = [f"b{i}" for i in range(150)], [[f"s{i}x{j}" for j in range(9)] for i in range(12)]
+    rows, calls, components, written = [], [], minhash.components, minhash.written
+    for i in range(300):
+        w = list(base) + [x for s in shared if rng.random() < 0.25 for x in s]
+        for at in rng.sample(range(150), rng.randint(0, 4)):
+            w[at] = f"o{at}x{rng.randint(0, 4)}"
+        rows.append((i, " ".join(w)))
+
+    def called(edges):
+        calls.append([])
+        return components(edges)
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "components":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            calls[-1].append((out.count(), plan.count("Relation [") * (2 if "Generate" in plan else 1)))
+        return out
+
+    monkeypatch.setattr(minhash, "components", called)
+    monkeypatch.setattr(minhash, "written", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.groups(docs(spark, rows), 3, 85).collect()}
+    assert got == brute(rows, 3, 85) and len(calls) > 1
+    # a step reads what the one before wrote, as often as its plan has it
+    made = sum(n * times for call in calls for (n, _), (_, times) in zip(call, call[1:]))
+    assert made <= 16 * calls[0][0][0], calls
+    assert sum(call[0][0] for call in calls[1:]) < len(rows) / 4, calls  # of so many links as are new
+
+
+def test_merged_components(spark):
+    """Components of before and fresh edges among their members, their roots and nodes without any: as components of all edges."""
+    rng = random.Random(36)
+    old = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(150)] + [(1000, 1000 + i) for i in range(1, 50)]
+    for fresh in ([], [(0, 1000), (1049, 399), (2000, 2001)], [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(60)] + [(7, 7), (2001, 2000), (3, 1049)]):
+        a, b, both = (spark.createDataFrame(e, "a long, b long") for e in (old, fresh, old + fresh))
+        got = minhash.merged(minhash.components(a), b, 1000)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, minhash.components(both).collect()))
