@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 from ._common import new_path, pick, slices, table, written
 from ._hashing import mix64, stream64
 from ._parity import most_apart, near, parities
-from .minhash import components, differences, shingle_sets
+from .minhash import components, differences, merged, shingle_sets
 
 #: Of so many segments one is wide.
 WIDE = 16
@@ -410,16 +410,19 @@ def _links(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     first = _compared(hubs.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets, percent, True)
     # members of one star meet by what sets them apart, those of several by their segments
     rows = rows.join(hubs, "cls").select("key", "cls", "role", F.col("hub").alias("star"), F.lit(True).alias("lead")).unionByName(_differing(first))
-    known = first.select("a", "b", "linked")
+    known, most = first.select("a", "b", "linked"), classes.count()
+    links = components(known.where("linked").select("a", "b"))
     while True:  # a group's leads grow by a factor each round, so rounds are few
-        links = components(known.where("linked").select("a", "b"))
         opened = _open_groups(rows, _written(_labelled(classes, links), "ngram-labels"), done)
         if opened.isEmpty():
             return links
         rows = opened.select("key", "cls", "role", "star", "lead")  # a group that is one component stays so
         pairs = near(_pairs(opened, done, upto, percent), sets.select(F.col("cls").alias("id"), "n", "sketch"), percent)
         old = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        known = known.unionByName(_compared(pairs.join(old, ["a", "b"], "left_anti"), sets, percent).select("a", "b", "linked"))
+        told = _compared(pairs.join(old, ["a", "b"], "left_anti"), sets, percent).select("a", "b", "linked")
+        known, fresh = known.unionByName(told), told.where("linked").select("a", "b")
+        if not fresh.isEmpty():
+            links = merged(links, fresh, most)
         done, upto = upto, upto * LEADS_GROW
 
 
