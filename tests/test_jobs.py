@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import shutil
 
 import duckdb
@@ -12,6 +13,7 @@ from jobs import answer_questions as aq
 from jobs import common
 from jobs import refresh_windows as rw
 from seekstone.functions.text import py_line_windows
+from seekstone.operators import search
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -151,3 +153,32 @@ def test_command_lines(spark, tmp_path, monkeypatch):
     assert rw.main(["--documents", str(docs), "--output", str(tmp_path / "w"), "--checkpoint", str(tmp_path / "m"), "--config", os.path.dirname(jobs.__file__) + "/refresh_windows.json"]) == 0
     assert aq.main(["--documents", str(docs), "--conversations", str(talk), "--output", str(tmp_path / "a"), "--shard", "1"]) == 0
     assert rw.current(spark, str(tmp_path / "w")).count() == 1 and spark.read.parquet(str(tmp_path / "a")).count() == 1
+
+
+def test_questions_of_many_blocks(spark, tmp_path, monkeypatch):
+    """More questions than one block holds: the vectors of the windows are not shuffled for any block, and answers are those of one block."""
+    rng = random.Random(4)
+    said = lambda: " ".join(rng.choice(("cache", "entry", "route", "table", "parse", "evict", "token")) + str(rng.randrange(9)) for _ in range(8))
+    docs, talk = tmp_path / "docs", tmp_path / "talk"
+    spark.createDataFrame([(i, said(), "en", "s", 0) for i in range(200)], DOCS).repartition(8).write.parquet(str(docs))
+    conversations(spark, talk, [(i, 0, "user", said()) for i in range(150)] + [(i, 1, "user", "which cache") for i in range(20)])
+    config = aq.Config(k=3, dimension=32, shards=4)
+    plans, plain = [], aq.top_k
+
+    def told(out):
+        done = aq.answer(spark, str(docs), str(talk), out, config)
+        assert done == {"answers": 510, "questions": 170, "shards": 4}
+        assert not list((tmp_path / out).glob("_hits-*/block=*"))
+        return sorted(map(tuple, spark.read.schema(aq.ANSWERS).parquet(out).collect()))
+
+    def watched(*given):
+        hits = plain(*given)
+        plans.append(hits._jdf.queryExecution().optimizedPlan().toString())
+        return hits
+
+    one = told(str(tmp_path / "one"))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(search, "DEALT", 1)
+    monkeypatch.setattr(aq, "top_k", watched)
+    assert told(str(tmp_path / "many")) == one
+    assert len(plans) > 3 and not any("CoGroups" in p or "RepartitionByExpression" in p for p in plans)
